@@ -23,6 +23,16 @@ def parse_price(c: Column, kind: str = "decimal(12,2)") -> Column:
     return ascii_digits(F.regexp_replace(c, "[¥,]", "")).try_cast(kind)
 
 
+# Year of four digits, month and day of one or two; a one-digit day may follow a space.
+_BIRTHDAY = r"\A(?!0000)[0-9]{4}/(1[0-2]|0[1-9]|[1-9])/(3[01]|[12][0-9]|0[1-9]| ?[1-9])\z"
+
+
+def parse_birthday(c: Column) -> Column:
+    """``'2024/1/5'`` to a date; null when it is no real day in that form."""
+    text = ascii_digits(c)
+    return F.when(F.regexp_like(text, F.lit(_BIRTHDAY)), F.try_to_date(F.replace(text, F.lit(" ")), "yyyy/M/d"))
+
+
 def whole_yen(c: Column) -> Column:
     """A price as shown: the integer part."""
     return c.cast("bigint")

@@ -42,8 +42,7 @@ def keyword_search(listings: DataFrame, terms: list[str] | DataFrame, wildcards:
         if wildcards:
             raise ValueError("wildcards need the terms as a list")
         wanted = terms.select("term").where(F.col("term").isNotNull()).distinct()
-        # Names are short, so only a few lengths can ever match.
-        lengths = wanted.agg(F.collect_set(F.least(F.length("term"), F.lit(1000))).alias("_lengths")).scalar()
+        lengths = wanted.agg(F.collect_set(F.length("term")).alias("_lengths")).scalar()
         starts = F.when(
             F.col("_len") <= F.length("name"), F.sequence(F.lit(1), F.length("name") - F.col("_len") + 1)
         )
@@ -55,12 +54,10 @@ def keyword_search(listings: DataFrame, terms: list[str] | DataFrame, wildcards:
         )
         return pieces.join(wanted, "term", "left_semi").select("term", *listings.columns)
 
-    def hit(term: Column) -> Column:
-        if wildcards:
-            return F.col("name").like(F.concat(F.lit("%"), term, F.lit("%")))
-        return F.contains(F.col("name"), term)
+    def hit(term: str) -> Column:
+        return F.col("name").like(f"%{term}%") if wildcards else F.col("name").contains(term)
 
-    found = F.filter(F.array(*[F.lit(t) for t in terms]), hit)
+    found = _tags([(term, hit(term)) for term in terms])
     return listings.withColumn("term", F.explode(found)).select("term", *listings.columns)
 
 

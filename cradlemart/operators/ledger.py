@@ -29,14 +29,22 @@ def points_commands(searches: DataFrame) -> DataFrame:
     )
 
 
-def _steps(events: DataFrame, part: list[str], order: str) -> DataFrame:
+EVENT_ORDER = ["seq", "kind"]  # one settlement may credit and debit an account under the same seq
+
+
+def _newest(value: str | Column) -> Column:
+    """The value at the last event; the opening row (no seq) comes first."""
+    return F.max_by(value, F.struct(F.coalesce("seq", F.lit(-(2**63))), "kind"))
+
+
+def _steps(events: DataFrame, part: list[str], order: list[str]) -> DataFrame:
     """Sums along ``order`` within ``part``, restarted at every row with a ``set_to`` value.
 
     ``delta`` is what the row adds; ``peak`` is set where the balance is cut to the cap and holds
     what was added up to that cut. Adds ``sets`` (restarts so far), ``cum`` (sum since the restart)
     and ``top`` (highest sum at a cut since the restart).
     """
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         events.withColumn("sets", F.count("set_to").over(w))
         .withColumn("_sum", F.sum("delta").over(w))
@@ -75,7 +83,7 @@ def points_ledger(
 ) -> DataFrame:
     """Balance after every event (account_id, seq, kind, amount), applied in ``seq`` order.
 
-    grant n adds n and stops at the cap; reset sets 0; credit and debit are not limited.
+    An account has at most one event per (seq, kind). grant n adds n and stops at the cap; reset sets 0; credit and debit are not limited.
     ``opening`` (account_id, points) gives balances before the first event; its rows carry no seq.
     """
     known = events.select("account_id", "seq", "kind", F.col("amount").cast("bigint").alias("amount")).where(
@@ -99,13 +107,14 @@ def points_ledger(
     moves = moves.withColumn("peak", F.when((kind == "grant") & F.col("set_to").isNull(), F.col("delta")))
 
     blocks = with_blocks(moves, ["account_id"], "seq", share, min_rows)
-    local = _steps(blocks, ["account_id", BLOCK], "seq")
+    local = _steps(blocks, ["account_id", BLOCK], EVENT_ORDER)
 
     # One row per block of a large account, in the shape of an event: what the block does as a whole.
+    large = with_blocks(moves, ["account_id"], "seq", share, min_rows, only_large=True)
     ends = (
-        _steps(with_blocks(moves, ["account_id"], "seq", share, min_rows, only_large=True), ["account_id", BLOCK], "seq")
+        _steps(large, ["account_id", BLOCK], EVENT_ORDER)
         .groupBy("account_id", BLOCK)
-        .agg(F.max_by(F.struct("sets", "cum", "top"), F.coalesce("seq", F.lit(-(2**63)))).alias("end"))
+        .agg(_newest(F.struct("sets", "cum", "top")).alias("end"))
         .select("account_id", BLOCK, "end.*")
     )
     as_events = ends.select(
@@ -115,7 +124,7 @@ def points_ledger(
         F.when(F.col("sets") > 0, _balance(F.lit(0))).otherwise(F.col("cum")).alias("delta"),
         F.when(F.col("sets") == 0, F.col("top")).alias("peak"),
     )
-    closing = _steps(as_events, ["account_id"], BLOCK).withColumn("_close", _balance(F.lit(0)))
+    closing = _steps(as_events, ["account_id"], [BLOCK]).withColumn("_close", _balance(F.lit(0)))
     opened = closing.select(
         "account_id",
         BLOCK,
@@ -128,9 +137,7 @@ def points_ledger(
 
 def last_balance(ledger: DataFrame) -> DataFrame:
     """The newest balance of each account that has a ledger row."""
-    return ledger.groupBy("account_id").agg(
-        F.max_by("balance", F.coalesce("seq", F.lit(-(2**63)))).alias("points")
-    )
+    return ledger.groupBy("account_id").agg(_newest("balance").alias("points"))
 
 
 def points_balance(accounts: DataFrame, ledger: DataFrame) -> DataFrame:

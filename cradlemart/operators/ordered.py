@@ -76,57 +76,59 @@ def carry(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(F.broadcast(small), match, "left").drop("_hot_block", *[f"_hot_{k}" for k in keys])
 
 
-def running_number(
+def running_sums(
     df: DataFrame,
     keys: list[str],
     order: str,
+    sums: dict[str, Column],
     ties: list[str | Column] = (),
-    name: str = "n",
     share: float = SHARE,
     min_rows: int = MIN_ROWS,
     keep_block: bool = False,
 ) -> DataFrame:
-    """``row_number`` per key by (order, ties), starting at 1."""
-    blocks = with_blocks(df, keys, order, share, min_rows)
-    local = blocks.withColumn(
-        name, F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(order, *ties)).cast("bigint")
-    )
-    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    """Running totals per key by (order, ties), the current row included.
+
+    Without keys the totals run over the whole table, which is then always cut into blocks.
+    """
+    if keys:
+        cut = with_blocks(df, keys, order, share, min_rows)
+        large = with_blocks(df, keys, order, share, min_rows, only_large=True)
+    else:
+        cut = large = _even_blocks(df, order, share)
+    along = Window.partitionBy(*keys, BLOCK).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
-        with_blocks(df, keys, order, share, min_rows, only_large=True)
-        .groupBy(*keys, BLOCK)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, BLOCK, F.sum("_rows").over(before).alias("_before"))
+        large.groupBy(*keys, BLOCK)
+        .agg(*[F.sum(value).alias(f"_in_{name}") for name, value in sums.items()])
+        .select(*keys, BLOCK, *[F.sum(f"_in_{name}").over(before).alias(f"_before_{name}") for name in sums])
     )
-    numbered = carry(local, earlier, keys).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
-    return numbered.drop("_before", *([] if keep_block else [BLOCK]))
-
+    local = cut.withColumns({name: F.sum(value).over(along) for name, value in sums.items()})
+    total = {name: (F.col(name) + F.coalesce(f"_before_{name}", F.lit(0))).cast("bigint") for name in sums}
+    drop = [f"_before_{name}" for name in sums] + ([] if keep_block else [BLOCK])
+    return carry(local, earlier, keys).withColumns(total).drop(*drop)
 
-def dense_number(
-    df: DataFrame, order: str, ties: list[str | Column] = (), name: str = "n", blocks: int = 1000
-) -> DataFrame:
-    """1, 2, 3, ... over the whole table by (order, ties) without a one-task window.
 
-    The table is cut into ``blocks`` equal steps of ``order``; only the row counts per block pass
-    through one task.
-    """
+def _even_blocks(df: DataFrame, order: str, share: float) -> DataFrame:
+    """``_block`` over the whole table: 1/share equal steps of ``order``."""
     number = _as_number(df, order)
-    lo = df.agg(F.min(number).alias("_lo")).scalar()
-    step = df.agg(F.greatest((F.max(number) - F.min(number)) / blocks, F.lit(1e-6)).alias("_step")).scalar()
-    position = F.coalesce(number, lo)
-    cut = df.withColumn(BLOCK, F.coalesce(F.floor((position - lo) / step), F.lit(0)).cast("bigint"))
-    local = cut.withColumn(name, F.row_number().over(Window.partitionBy(BLOCK).orderBy(order, *ties)).cast("bigint"))
-    before = Window.partitionBy(F.lit(0)).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = (
-        cut.groupBy(BLOCK)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(BLOCK, F.sum("_rows").over(before).alias("_before"))
-    )
-    return (
-        carry(local, earlier, [])
-        .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
-        .drop("_before", BLOCK)
-    )
+    step = F.greatest((F.max(number) - F.min(number)) * share, F.lit(1e-6))
+    extent = df.agg(F.struct(F.min(number).alias("lo"), step.alias("step")).alias("_extent")).scalar()
+    block = F.floor((F.coalesce(number, extent["lo"]) - extent["lo"]) / extent["step"])
+    return df.withColumn(BLOCK, F.coalesce(block, F.lit(0)).cast("bigint"))
+
+
+def running_number(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    ties: list[str | Column] = (),
+    name: str = "n",
+    share: float = SHARE,
+    min_rows: int = MIN_ROWS,
+    keep_block: bool = False,
+) -> DataFrame:
+    """``row_number`` per key (or over the whole table) by (order, ties), starting at 1."""
+    return running_sums(df, keys, order, {name: F.lit(1)}, ties, share, min_rows, keep_block)
 
 
 def paged_lists(

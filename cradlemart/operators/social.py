@@ -25,12 +25,12 @@ def follow_now(log: DataFrame) -> DataFrame:
 def follow_add(requests: DataFrame, follows: DataFrame) -> DataFrame:
     """New edges of a batch, each once with its first request; edges that exist already are left out."""
     first = requests.groupBy(*EDGE).agg(F.min("seq").alias("seq"))
-    return first.join(follows, EDGE, "left_anti")
+    return first.join(follows.select(*EDGE), EDGE, "left_anti")
 
 
 def follow_remove(follows: DataFrame, requests: DataFrame) -> DataFrame:
     """The graph without the edges a batch removes."""
-    return follows.join(requests, EDGE, "left_anti")
+    return follows.join(requests.select(*EDGE), EDGE, "left_anti")
 
 
 def follow_counts(follows: DataFrame) -> DataFrame:
