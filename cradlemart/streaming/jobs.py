@@ -211,7 +211,8 @@ def run_follow(v: DriverViews) -> DataFrame:
 
 
 def run_registration(v: DriverViews) -> DataFrame:
-    forms = StreamedViews(v.spark, v.dir).registration().withColumn("sent_at", F.timestamp_seconds("seq"))
+    forms = StreamedViews(v.spark, v.dir).registration()
+    forms = forms.withColumn("sent_at", F.timestamp_seconds(F.col("seq") + 1704067200))
     return v.spark.read.parquet(live_registration(forms, v.account(), work_dir(v.spark))).drop("batch")
 
 
