@@ -57,40 +57,47 @@ def keyword_search(listings: DataFrame, terms: list[str] | DataFrame, wildcards:
     def hit(term: str) -> Column:
         return F.col("name").like(f"%{term}%") if wildcards else F.col("name").contains(term)
 
-    found = _tags([(term, hit(term)) for term in terms])
-    return listings.withColumn("term", F.explode(found)).select("term", *listings.columns)
+    found = _one_row_each(listings, "term", [F.when(hit(term), F.lit(term)) for term in terms])
+    return found.select("term", *listings.columns)
 
 
-def _tags(rows: list[tuple[str, Column]]) -> Column:
-    """The labels whose test holds, as an array."""
-    return F.array_compact(F.array(*[F.when(test, F.lit(label)) for label, test in rows]))
+def _one_row_each(df: DataFrame, name: str, values: list[Column]) -> DataFrame:
+    """One row per value that is not null; stays within generated code, unlike array filters."""
+    return df.withColumn(name, F.explode(F.array(*values))).where(F.col(name).isNotNull())
 
 
-def category_tags() -> Column:
-    return _tags([(name, same_id(F.col("category_id"), int(key))) for key, name in CATEGORIES.items()])
+def _case(rows: list[tuple[Column, str]]) -> Column:
+    """The label of the first test that holds."""
+    return F.coalesce(*[F.when(test, F.lit(label)) for test, label in rows])
 
 
-def condition_tags() -> Column:
+def category_tags() -> list[Column]:
+    return [_case([(same_id(F.col("category_id"), int(key)), name) for key, name in CATEGORIES.items()])]
+
+
+def condition_tags() -> list[Column]:
     def test(label: str, stored: str) -> Column:
         same = F.col("condition") == stored
         return same & (F.col("channel") == TAG_ONLY_IN[label]) if label in TAG_ONLY_IN else same
 
-    return _tags([(label, test(label, stored)) for label, stored in CONDITION_TAGS.items()])
+    return [_case([(test(label, stored), label) for label, stored in CONDITION_TAGS.items()])]
 
 
-def price_tags() -> Column:
-    bands = [(label, F.col("price").between(lo, hi)) for label, (lo, hi) in PRICE_BANDS.items()]
-    return _tags([*bands, (PRICE_ABOVE[0], F.col("price") > PRICE_ABOVE[1])])
+def price_tags() -> list[Column]:
+    """Bands share their ends, so a price may have two tags."""
+    price = F.col("price")
+    bands = [F.when(price.between(lo, hi), F.lit(label)) for label, (lo, hi) in PRICE_BANDS.items()]
+    return [*bands, F.when(price > PRICE_ABOVE[1], F.lit(PRICE_ABOVE[0]))]
 
 
-def facet(listings: DataFrame, tags: Column) -> DataFrame:
-    """One row per (listing, tag) for one family of tags."""
-    return listings.withColumn("tag", F.explode(tags))
+def facet(listings: DataFrame, tags: list[Column]) -> DataFrame:
+    """One row per (listing, tag) for some of the tags."""
+    return _one_row_each(listings, "tag", tags)
 
 
 def facet_index(listings: DataFrame) -> DataFrame:
     """Every (listing, tag) pair of the 15 tags in one pass, without a join or a shuffle."""
-    return facet(listings, F.concat(category_tags(), condition_tags(), price_tags()))
+    return facet(listings, [*category_tags(), *condition_tags(), *price_tags()])
 
 
 def facet_counts(listings: DataFrame) -> DataFrame:

@@ -76,6 +76,16 @@ def carry(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(F.broadcast(small), match, "left").drop("_hot_block", *[f"_hot_{k}" for k in keys])
 
 
+def _carried(large: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Totals of the earlier blocks of a key, one row per block, as ``_before_<name>``."""
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        large.groupBy(*keys, BLOCK)
+        .agg(*[F.sum(value).alias(f"_in_{name}") for name, value in sums.items()])
+        .select(*keys, BLOCK, *[F.sum(f"_in_{name}").over(before).alias(f"_before_{name}") for name in sums])
+    )
+
+
 def running_sums(
     df: DataFrame,
     keys: list[str],
@@ -84,28 +94,27 @@ def running_sums(
     ties: list[str | Column] = (),
     share: float = SHARE,
     min_rows: int = MIN_ROWS,
-    keep_block: bool = False,
+    cut_all: bool = False,
 ) -> DataFrame:
     """Running totals per key by (order, ties), the current row included.
 
     Without keys the totals run over the whole table, which is then always cut into blocks.
+    ``cut_all`` does the same for keys of few values that each hold much of the table. The input is
+    read up to four times (twice for key sizes, once for block totals), so it should be a stored one.
     """
-    if keys:
+    if keys and not cut_all:
         cut = with_blocks(df, keys, order, share, min_rows)
         large = with_blocks(df, keys, order, share, min_rows, only_large=True)
     else:
         cut = large = _even_blocks(df, order, share)
     along = Window.partitionBy(*keys, BLOCK).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = (
-        large.groupBy(*keys, BLOCK)
-        .agg(*[F.sum(value).alias(f"_in_{name}") for name, value in sums.items()])
-        .select(*keys, BLOCK, *[F.sum(f"_in_{name}").over(before).alias(f"_before_{name}") for name in sums])
-    )
     local = cut.withColumns({name: F.sum(value).over(along) for name, value in sums.items()})
     total = {name: (F.col(name) + F.coalesce(f"_before_{name}", F.lit(0))).cast("bigint") for name in sums}
-    drop = [f"_before_{name}" for name in sums] + ([] if keep_block else [BLOCK])
-    return carry(local, earlier, keys).withColumns(total).drop(*drop)
+    return (
+        carry(local, _carried(large, keys, sums), keys)
+        .withColumns(total)
+        .drop(BLOCK, *[f"_before_{name}" for name in sums])
+    )
 
 
 def _even_blocks(df: DataFrame, order: str, share: float) -> DataFrame:
@@ -118,17 +127,10 @@ def _even_blocks(df: DataFrame, order: str, share: float) -> DataFrame:
 
 
 def running_number(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    ties: list[str | Column] = (),
-    name: str = "n",
-    share: float = SHARE,
-    min_rows: int = MIN_ROWS,
-    keep_block: bool = False,
+    df: DataFrame, keys: list[str], order: str, ties: list[str | Column] = (), name: str = "n", **options: object
 ) -> DataFrame:
     """``row_number`` per key (or over the whole table) by (order, ties), starting at 1."""
-    return running_sums(df, keys, order, {name: F.lit(1)}, ties, share, min_rows, keep_block)
+    return running_sums(df, keys, order, {name: F.lit(1)}, ties, **options)
 
 
 def paged_lists(
@@ -146,16 +148,22 @@ def paged_lists(
     A key with up to ``page_rows`` rows gives one row with ``first_no`` = 1; a longer one goes on
     in further rows. ``lists`` maps output names to columns; nulls are skipped as in GROUP_CONCAT.
     """
-    numbered = running_number(df, keys, order, ties, "_no", share, min_rows, keep_block=True)
-    local = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy("_no"))
-    pages = numbered.withColumn("_page", F.floor((local - 1) / page_rows))
+    cut = with_blocks(df, keys, order, share, min_rows)
+    large = with_blocks(df, keys, order, share, min_rows, only_large=True)
+    # The window, the pages and the arrays all use one shuffle by (keys, block).
+    place = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(order, *ties))
+    pages = cut.withColumn("_no", place).withColumn("_page", F.floor((F.col("_no") - 1) / page_rows))
 
     def collected(column: str) -> Column:
         entry = F.when(F.col(column).isNotNull(), F.struct("_no", F.col(column).alias("v")))
-        return F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["v"])
+        return F.sort_array(F.collect_list(entry)).getField("v")
 
+    arrays = pages.groupBy(*keys, BLOCK, "_page").agg(
+        F.min("_no").alias("_first"), *[collected(column).alias(out) for out, column in lists.items()]
+    )
+    first = F.col("_first") + F.coalesce("_before_rows", F.lit(0))
     return (
-        pages.groupBy(*keys, BLOCK, "_page")
-        .agg(F.min("_no").alias("first_no"), *[collected(column).alias(out) for out, column in lists.items()])
-        .drop(BLOCK, "_page")
+        carry(arrays, _carried(large, keys, {"rows": F.lit(1)}), keys)
+        .withColumn("first_no", first.cast("bigint"))
+        .select(*keys, "first_no", *lists)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_breaks
@@ -35,17 +35,14 @@ def post_detail(
 
     Equal texts of one post show once. Lists longer than 1,000 go on in rows with ``first_no`` > 1.
     """
-    def part(kind: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value")))
-
-    place = F.col("content_id").try_cast("bigint").alias("_order")
-    texts = contents.select(
-        "post_id", place, F.explode(F.array_compact(F.array(part("content_id", F.col("content_id")), part("text", F.col("text"))))).alias("p")
-    )
-    files = media.join(contents.select("content_id", "post_id"), "content_id").select(
-        "post_id", place, F.explode(F.array_compact(F.array(part("media_id", F.col("media_id")), part("media", F.col("path"))))).alias("p")
-    )
-    distinct = texts.unionByName(files).groupBy("post_id", "p.kind", "p.value").agg(F.min("_order").alias("_order"))
+    def parts(rows: DataFrame, **values: str) -> DataFrame:
+        place = F.col("content_id").try_cast("bigint").alias("_order")
+        each = [F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in values.items()]
+        return rows.select("post_id", place, F.inline(F.array(*each))).where(F.col("value").isNotNull())
+
+    texts = parts(contents, content_id="content_id", text="text")
+    files = parts(media.join(contents.select("content_id", "post_id"), "content_id"), media_id="media_id", media="path")
+    distinct = texts.unionByName(files).groupBy("post_id", "kind", "value").agg(F.min("_order").alias("_order"))
     lists = paged_lists(
         distinct, ["post_id", "kind"], "_order", {"items": "value"}, ["value"], share=share, min_rows=min_rows
     )

@@ -10,7 +10,7 @@ from ..schemas import (
     CATEGORIES, CHILDREN, CONDITIONS, GENDERS, IMAGE_EXTENSIONS, MAX_PRICE, MIN_PRICE, PREFECTURES, RENTAL_PERIODS,
     SHIPPING_ESTIMATES, SHIPPING_PAYERS,
 )
-from ..session import work_dir
+from ..session import stored
 
 # (?d) leaves \n as the only line end and (?U) lets \d take the digits of every script.
 PASSWORD = r"(?dU)^(?=.*[a-zA-Z])(?=.*\d).{8,}$"
@@ -28,20 +28,32 @@ def _outside(c: Column, values: list[str], optional: bool = False) -> Column:
     return ~(inside | (F.coalesce(c, F.lit("")) == "")) if optional else ~inside
 
 
-def error_map(rules: list[tuple[str, Column]]) -> Column:
-    """Field -> code for every rule that gives a code."""
-    return F.map_from_entries(
-        F.array_compact(F.array(*[F.when(code.isNotNull(), F.struct(F.lit(field), code)) for field, code in rules]))
-    )
+Rules = list[tuple[str, Column]]  # (field, code or null)
+
+
+def _codes(rules: Rules) -> Column:
+    """Broken rules as text ``field:code,field:code``."""
+    return F.concat_ws(",", *[F.concat(F.lit(f"{field}:"), code) for field, code in rules])
+
+
+def _as_map(codes: Column) -> Column:
+    none = F.create_map().cast("map<string,string>")
+    return F.when(codes == "", none).otherwise(F.str_to_map(codes, F.lit(","), F.lit(":")))
+
+
+def validate(forms: DataFrame, rules: Rules) -> DataFrame:
+    """The forms with an ``errors`` map (field -> code), empty for a good form."""
+    return forms.withColumn("_codes", _codes(rules)).withColumn("errors", _as_map(F.col("_codes"))).drop("_codes")
 
 
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows without and with errors."""
+    """Checked rows without and with errors."""
     clean = F.size("errors") == 0
     return checked.where(clean).drop("errors"), checked.where(~clean)
 
 
-def _registration_rules() -> list[tuple[str, Column]]:
+def registration_rules() -> Rules:
+    """Rules of a registration that look at the form alone."""
     c = F.col
     weak = _fails(c("password"), PASSWORD)
     required = [(f, F.when(F.coalesce(c(f), F.lit("")) == "", "required")) for f in ("username", "email", "phone")]
@@ -65,10 +77,7 @@ def first_come(claims: DataFrame, names: list[str]) -> DataFrame:
     serves the rows that come first under every name and turns away those that clash with them.
     Rounds go on until nothing is open; only rows with a clash reach the second round.
     """
-    spark = claims.sparkSession
-    folder = work_dir(spark)
-    schema = claims.select("seq", *names).schema
-    opened, served, n = claims.select("seq", *names), [], 0
+    opened, served = claims.select("seq", *names), []
     while True:
         ranked = opened
         for name in names:
@@ -77,8 +86,7 @@ def first_come(claims: DataFrame, names: list[str]) -> DataFrame:
         wins = F.lit(True)
         for name in names:
             wins = wins & (F.col("seq") == F.col(f"_first_{name}"))
-        ranked.select("seq", *names, wins.alias("wins")).write.mode("overwrite").parquet(f"{folder}/round={n}")
-        result = spark.read.schema("seq bigint, wins boolean, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "seq")).parquet(f"{folder}/round={n}")
+        result = stored(ranked.select("seq", *names, wins.alias("wins")))
         winners = result.where("wins").select("seq", *names)
         served.append(winners)
         opened = result.where("not wins").select("seq", *names)
@@ -86,7 +94,6 @@ def first_come(claims: DataFrame, names: list[str]) -> DataFrame:
             opened = opened.join(winners.select(name), name, "left_anti")
         if opened.isEmpty():
             break
-        n += 1
     out = served[0]
     for more in served[1:]:
         out = out.unionByName(more)
@@ -100,7 +107,7 @@ def validate_registrations(forms: DataFrame, accounts: DataFrame) -> DataFrame:
     passwords are tested and then dropped.
     """
     names = {"username": "account_name", "email": "email"}
-    own = forms.withColumn("errors", error_map(_registration_rules())).drop("password", "password_confirm")
+    own = validate(forms, registration_rules()).drop("password", "password_confirm")
     for field, column in names.items():
         held = accounts.select(F.col(column).alias(field)).where(F.col(field).isNotNull()).distinct()
         own = own.join(held.withColumn(f"_held_{field}", F.lit(True)), field, "left")
@@ -111,9 +118,18 @@ def validate_registrations(forms: DataFrame, accounts: DataFrame) -> DataFrame:
         winner = winners.select(field, F.col("seq").alias(f"_winner_{field}"))
         checked = checked.join(winner, field, "left")
     taken = [
-        (field, F.when(F.col(f"_held_{field}") | (F.col(f"_winner_{field}") < F.col("seq")), "taken")) for field in names
+        (
+            field,
+            F.when(
+                (F.col(f"_held_{field}") | (F.col(f"_winner_{field}") < F.col("seq")))
+                & ~F.map_contains_key("errors", field),
+                "taken",
+            ),
+        )
+        for field in names
     ]
-    return checked.withColumn("errors", F.map_concat("errors", error_map(taken))).select(
+    more = checked.withColumn("_taken", _codes(taken))
+    return more.withColumn("errors", F.map_concat("errors", _as_map(F.col("_taken")))).select(
         *[c for c in forms.columns if c not in ("password", "password_confirm")], "errors"
     )
 
@@ -130,23 +146,30 @@ def validate_profile_changes(changes: DataFrame, accounts: DataFrame) -> DataFra
     return (
         changes.join(held, "account_name", "left")
         .join(first, "account_name", "left")
-        .withColumn("errors", error_map([("username", F.when(taken, "taken"))]))
+        .transform(validate, [("username", F.when(taken, "taken"))])
         .select(*changes.columns, "errors")
     )
 
 
+def _has_file(slot: int) -> Column:
+    return F.coalesce(F.get("uploads", F.lit(slot)), F.lit("")) != ""
+
+
+def _bad_type(slots: range) -> Column:
+    """Does one of the slots hold a file that is no image?"""
+    bad = F.lit(False)
+    for slot in slots:
+        extension = file_extension(F.get("uploads", F.lit(slot)))
+        bad = bad | (_has_file(slot) & ~F.coalesce(extension.isin(*IMAGE_EXTENSIONS), F.lit(False)))
+    return bad
+
+
 def validate_listings(forms: DataFrame) -> DataFrame:
     """Listing forms with an ``errors`` map. As on the site, upload slots 1 to 3 have their type checked."""
     c = F.col
-    price = parse_price(c("sellingPrice"), "decimal(38,18)")
-    bad_type = lambda x: (F.coalesce(x, F.lit("")) != "") & ~file_extension(x).isin(*IMAGE_EXTENSIONS)
+    price = c("_price")
     rules = [
-        (
-            "upload",
-            F.when(F.coalesce(F.get("uploads", F.lit(0)), F.lit("")) == "", "required").when(
-                F.exists(F.slice("uploads", 1, 3), bad_type), "type"
-            ),
-        ),
+        ("upload", F.when(~_has_file(0), "required").when(_bad_type(range(3)), "type")),
         ("price", F.when(price.isNull(), "number").when(~price.between(MIN_PRICE, MAX_PRICE), "range")),
         (
             "name",
@@ -163,28 +186,23 @@ def validate_listings(forms: DataFrame) -> DataFrame:
             F.when((c("channel") == "rental") & _outside(c("rentalPeriod"), RENTAL_PERIODS), "domain"),
         ),
     ]
-    return forms.withColumn("errors", error_map(rules))
+    return validate(forms.withColumn("_price", parse_price(c("sellingPrice"), "decimal(38,18)")), rules).drop("_price")
 
 
-def validate_posts(forms: DataFrame) -> DataFrame:
-    """Post forms with an ``errors`` map: title of 1 to 40 characters, images only in slots 1 to 4."""
-    bad_type = lambda x: (F.coalesce(x, F.lit("")) != "") & ~file_extension(x).isin(*IMAGE_EXTENSIONS)
-    rules = [
-        ("upload", F.when(F.exists(F.slice("uploads", 1, 4), bad_type), "type")),
-        (
-            "title",
-            F.when(F.coalesce("postTitle", F.lit("")) == "", "required").when(
-                F.length("postTitle") > TITLE_LENGTH, "too_long"
-            ),
-        ),
-    ]
-    return forms.withColumn("errors", error_map(rules))
+def post_rules() -> Rules:
+    """Rules of a post form: title of 1 to 40 characters, images only in slots 1 to 4."""
+    title = F.when(F.coalesce("postTitle", F.lit("")) == "", "required").when(
+        F.length("postTitle") > TITLE_LENGTH, "too_long"
+    )
+    return [("upload", F.when(_bad_type(range(4)), "type")), ("title", title)]
 
 
-def validate_icons(uploads: DataFrame) -> DataFrame:
-    """Icon uploads (account_id, seq, file) with an ``errors`` map; an empty file name changes nothing."""
-    rule = F.when(~file_extension(F.col("file")).isin(*IMAGE_EXTENSIONS), "type")
-    return uploads.where(F.coalesce("file", F.lit("")) != "").withColumn("errors", error_map([("upload", rule)]))
+def icon_rules() -> Rules:
+    """Rule of an icon upload (account_id, seq, file): without a file nothing changes."""
+    missing = F.coalesce("file", F.lit("")) == ""
+    return [
+        ("upload", F.when(missing, "missing").when(~file_extension(F.col("file")).isin(*IMAGE_EXTENSIONS), "type"))
+    ]
 
 
 POSTAL_REPLY = "results array<struct<zipcode: string, address1: string, address2: string, address3: string>>"

@@ -77,9 +77,9 @@ def split_settlement(checked: DataFrame, transactions: DataFrame) -> Settlement:
         transactions=numbered.select(
             "channel", "transaction_id", "listing_id", "buyer_id", "payment_method", F.lit(0).alias("status")
         ),
-        events=accepted.select("seq", "price", F.explode(F.array_compact(F.array(credit, debit))).alias("e")).select(
-            "e.account_id", "seq", "e.kind", F.col("price").alias("amount")
-        ),
+        events=accepted.select("seq", F.col("price").alias("amount"), F.explode(F.array(credit, debit)).alias("e"))
+        .where(F.col("e").isNotNull())
+        .select("e.account_id", "seq", "e.kind", "amount"),
         listing_updates=accepted.select(*LISTING).distinct().withColumn("status", F.lit(SOLD)),
         rejects=checked.where(F.col("reason").isNotNull()).select(
             "seq", *LISTING, "buyer_id", "payment_method", "price", "claimed", "reason"

@@ -79,7 +79,7 @@ def dm_threads(
         F.greatest("sender_id", "receiver_id").alias("high_id"),
         "dm_id", "sender_id", "receiver_id", "content", "media", "sent_at",
     )
-    placed = running_number(pairs, ["low_id", "high_id"], "sent_at", ["dm_id"], "position", share, min_rows)
+    placed = running_number(pairs, ["low_id", "high_id"], "sent_at", ["dm_id"], "position", share=share, min_rows=min_rows)
     named = accounts.select(F.col("account_id").alias("receiver_id"), F.col("account_name").alias("receiver_name"))
     return placed.join(named, "receiver_id", "left").select(
         "low_id", "high_id", "position", "dm_id", "sender_id", "receiver_id", "receiver_name", "content", "media",

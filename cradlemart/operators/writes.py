@@ -37,12 +37,15 @@ def assign_ids(
     per_channel: bool = False,
     existing_id: str | None = None,
 ) -> DataFrame:
-    """Give new rows the ids after the largest existing one, in (order, ties) order."""
+    """Give new rows the ids after the largest existing one, in (order, ties) order.
+
+    ``per_channel`` keeps one sequence for sales and one for rentals.
+    """
     known = existing_id or id_col
     if not per_channel:
         numbered = running_number(new, [], order, ties, "_no")
         return numbered.withColumn(id_col, _next(_last_id(existing, known), F.col("_no"))).drop("_no")
-    numbered = _last_id_per_channel(running_number(new, ["channel"], order, ties, "_no"), existing, known, "_last")
+    numbered = _last_id_per_channel(running_number(new, ["channel"], order, ties, "_no", cut_all=True), existing, known, "_last")
     return numbered.withColumn(id_col, _next(F.col("_last"), F.col("_no"))).drop("_no", "_last")
 
 
@@ -68,10 +71,13 @@ def register_accounts(forms: DataFrame, accounts: DataFrame, addresses: DataFram
     return account, address
 
 
-def _filled(files: str) -> Column:
-    """Slot numbers (from 0) of the uploads that hold a file."""
-    slots = F.transform(F.col(files), lambda x, i: F.when(F.coalesce(x, F.lit("")) != "", i))
-    return F.array_compact(slots)
+def _filled(slot: int) -> Column:
+    return F.coalesce(F.get("uploads", F.lit(slot)), F.lit("")) != ""
+
+
+def _files(slots: int) -> Column:
+    """Number of the first ``slots`` upload slots that hold a file."""
+    return sum((F.when(_filled(i), 1).otherwise(0) for i in range(slots)), F.lit(0))
 
 
 def _upload(account: str, slot: Column) -> Column:
@@ -92,8 +98,8 @@ def list_items(
 
     One running pass numbers the forms and their photos; all ids follow from it.
     """
-    counted = forms.withColumn("_slots", _filled("uploads"))
-    numbered = running_sums(counted, ["channel"], "seq", {"_no": F.lit(1), "_photos": F.size("_slots")})
+    totals = {"_no": F.lit(1), "_photos": _files(4)}
+    numbered = running_sums(forms, ["channel"], "seq", totals, cut_all=True)
     placed = _last_id_per_channel(numbered, listings, "listing_id", "_last").withColumn(
         "listing_id", _next(F.col("_last"), F.col("_no"))
     )
@@ -109,11 +115,14 @@ def list_items(
         "channel", _next(F.col("_last_status"), F.col("_no")).alias("status_id"), "listing_id",
         F.col("categoryId").alias("category_id"),
     )
-    pictures = placed.select("*", F.posexplode("_slots").alias("_i", "_slot"))
-    before = F.col("_photos") - F.size("_slots")
-    pictures = _last_id_per_channel(pictures, photos, "photo_id", "_last_photo").select(
-        "channel", _next(F.col("_last_photo"), before + F.col("_i") + 1).alias("photo_id"), "listing_id",
-        _upload("account_id", F.col("_slot") + 1).alias("path"),
+    earlier = F.col("_photos") - _files(4)
+    each = [
+        F.when(_filled(i), F.struct((earlier + _files(i + 1)).alias("no"), _upload("account_id", F.lit(i + 1)).alias("path")))
+        for i in range(4)
+    ]
+    shown = placed.select(*LISTING, F.explode(F.array(*each)).alias("p")).where(F.col("p").isNotNull())
+    pictures = _last_id_per_channel(shown, photos, "photo_id", "_last_photo").select(
+        "channel", _next(F.col("_last_photo"), F.col("p.no")).alias("photo_id"), "listing_id", "p.path"
     )
     return NewListings(new, bridge, pictures)
 
@@ -127,31 +136,30 @@ class NewPosts:
 
 def publish_posts(forms: DataFrame, posts: DataFrame, contents: DataFrame, media: DataFrame, at: Column) -> NewPosts:
     """Post forms to a post, its four contents (empty ones too) and one media row per filled upload."""
-    counted = forms.withColumn("_slots", _filled("uploads"))
-    numbered = running_sums(counted, [], "seq", {"_no": F.lit(1), "_files": F.size("_slots")})
+    numbered = running_sums(forms, [], "seq", {"_no": F.lit(1), "_files": _files(4)})
     placed = numbered.withColumn("post_id", _next(_last_id(posts, "post_id"), F.col("_no")))
-    slots = F.sequence(F.lit(0), F.lit(3))
-    content = F.transform(
-        slots, lambda i: F.struct(((F.col("_no") - 1) * 4 + i + 1).alias("no"), F.get("contents", i).alias("text"))
-    )
-    first = F.col("_files") - F.size("_slots")
-    file = F.transform(
-        F.col("_slots"),
-        lambda slot, i: F.struct(
-            (first + i + 1).alias("no"), ((F.col("_no") - 1) * 4 + slot + 1).alias("content_no"),
-            F.concat_ws("_", _upload("account_id", slot + 1), F.get("uploads", slot)).alias("path"),
-        ),
-    )
+    content_no = [(F.col("_no") - 1) * 4 + i + 1 for i in range(4)]
+    content = [F.struct(content_no[i].alias("no"), F.get("contents", F.lit(i)).alias("text")) for i in range(4)]
+    file = [
+        F.when(
+            _filled(i),
+            F.struct(
+                (F.col("_files") - _files(4) + _files(i + 1)).alias("no"), content_no[i].alias("content_no"),
+                F.concat_ws("_", _upload("account_id", F.lit(i + 1)), F.get("uploads", F.lit(i))).alias("path"),
+            ),
+        )
+        for i in range(4)
+    ]
     content_base = _last_id(contents, "content_id")
     return NewPosts(
         placed.select(
             "post_id", "account_id", F.col("postTitle").alias("title"), at.alias("posted_at"),
             F.lit(0).alias("visibility"), F.lit(0).alias("deleted"),
         ),
-        placed.select("post_id", F.explode(content).alias("c")).select(
+        placed.select("post_id", F.explode(F.array(*content)).alias("c")).select(
             _next(content_base, F.col("c.no")).alias("content_id"), "post_id", F.col("c.text").alias("text")
         ),
-        placed.select(F.explode(file).alias("m")).select(
+        placed.select(F.explode(F.array(*file)).alias("m")).where(F.col("m").isNotNull()).select(
             _next(_last_id(media, "media_id"), F.col("m.no")).alias("media_id"),
             _next(content_base, F.col("m.content_no")).alias("content_id"),
             F.col("m.path").alias("path"),

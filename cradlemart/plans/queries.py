@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog, ledger, posts, quality, settlement, social, writes
+from ..session import stored
 from ..sources.driver import AT, DriverViews
 from ..sources.tables import catalog as union
 from ..streaming import jobs
@@ -87,7 +88,7 @@ def keyword_terms(v: V) -> DataFrame:
     return catalog.keyword_search(rows, v.term()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _facet(v: V, tags: Column) -> DataFrame:
+def _facet(v: V, tags: list[Column]) -> DataFrame:
     return catalog.facet(v.listing().select("channel", "listing_id", "category_id", "condition", "price"), tags).select(
         "channel", "listing_id", "tag"
     )
@@ -212,7 +213,7 @@ def post_html(v: V) -> DataFrame:
 
 
 def _new_posts(v: V) -> writes.NewPosts:
-    forms, _ = quality.split(quality.validate_posts(v.post_form()))
+    forms, _ = quality.split(stored(quality.validate(v.post_form(), quality.post_rules())))
     return writes.publish_posts(forms, v.post(), v.post_content(), v.post_media(), _now())
 
 
@@ -299,8 +300,8 @@ def assign_ids(v: V) -> DataFrame:
 
 
 def _registered(v: V) -> tuple[DataFrame, DataFrame]:
-    accepted, _ = quality.split(quality.validate_registrations(v.registration(), v.account()))
-    return writes.register_accounts(accepted, v.account(), v.address())
+    good, _ = quality.split(stored(quality.validate_registrations(v.registration(), v.account())))
+    return writes.register_accounts(good, v.account(), v.address())
 
 
 def register(v: V) -> DataFrame:
@@ -312,7 +313,7 @@ def register_addresses(v: V) -> DataFrame:
 
 
 def _listed(v: V) -> writes.NewListings:
-    forms, _ = quality.split(quality.validate_listings(v.listing_form()))
+    forms, _ = quality.split(stored(quality.validate_listings(v.listing_form())))
     return writes.list_items(forms, v.listing(), v.category_status(), v.photo(), _now())
 
 
@@ -377,7 +378,7 @@ def replace_photos(v: V) -> DataFrame:
 
 
 def replace_icon(v: V) -> DataFrame:
-    good, _ = quality.split(quality.validate_icons(v.icon_upload()))
+    good, _ = quality.split(quality.validate(v.icon_upload(), quality.icon_rules()))
     uploads = good.withColumn("icon", F.concat(F.lit("./static/upload/"), c("account_id").cast("string"), F.lit("_"), c("file")))
     return writes.replace_icons(v.account(), uploads).select(
         "account_id", "icon", tx.public_path(c("icon")).alias("public_icon")
@@ -402,7 +403,7 @@ def valid_listing(v: V) -> DataFrame:
 
 
 def valid_post(v: V) -> DataFrame:
-    return _errors(quality.validate_posts(v.post_form())).select("seq", "errors")
+    return _errors(quality.validate(v.post_form(), quality.post_rules())).select("seq", "errors")
 
 
 def normalise(v: V) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,3 +40,14 @@ def work_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return os.path.join(root, f"cradlemart-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write rows to the shared folder and read them back.
+
+    Used where several passes follow: each then reads only its columns, and a lost executor costs
+    no more than reading them again.
+    """
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
