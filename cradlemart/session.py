@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # The JVM never compiles methods above 8,000 bytes of code; long rule lists get there.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Without call sites in error messages a plan is built in about half the time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -6,7 +6,7 @@ from a whole test table. Only columns are derived; no rows are left out to save
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import postal_dimension
@@ -16,20 +16,23 @@ from ..schemas import (
     SHIPPING_PAYERS, SOLD, UPLOAD_DIR,
 )
 
-c = F.col
 AT = "2024-01-01 00:00:00"  # the time of writing used by queries that add rows
 
 
-def _pick(values: list[str], key: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), (key % len(values)).cast("int"))
+def _pick(values: list[str], key: str) -> str:
+    """SQL: one of the values by the key's remainder."""
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"get(array({listed}), int({key} % {len(values)}))"
 
 
-def _channel(listing_id: Column) -> Column:
-    return F.when(listing_id % 3 == 0, "rental").otherwise("sale")
+def _channel(listing_id: str) -> str:
+    return f"if({listing_id} % 3 = 0, 'rental', 'sale') AS channel"
 
 
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+K = "bigint(get_json_object(props, '$.k'))"
+ORDER = [_channel("o_orderkey"), "o_orderkey AS listing_id"]
+EVENT = [_channel("event_id % 1500"), "event_id % 1500 AS listing_id"]
+YEN = "bigint(floor(o_totalprice / 50))"
 
 
 class DriverViews:
@@ -41,349 +44,261 @@ class DriverViews:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def events(self, where: str) -> DataFrame:
+        return self.table("events").where(where)
+
+    # ---- stored tables ------------------------------------------------------------------------
+
     def account(self) -> DataFrame:
-        key = c("c_custkey")
-        return self.table("customer").select(
-            key.alias("account_id"),
-            c("c_name").alias("account_name"),
-            _text("./static/images/", c("c_mktsegment"), ".jpg").alias("icon"),
-            _text(F.lower("c_name"), "@example.com").alias("email"),
-            F.format_string("%010d", key * 7919).alias("phone"),
-            (key % 3).cast("int").alias("children"),
-            F.floor("c_acctbal").cast("bigint").alias("points"),
+        return self.table("customer").selectExpr(
+            "c_custkey AS account_id", "c_name AS account_name",
+            "concat('./static/images/', c_mktsegment, '.jpg') AS icon",
+            "concat(lower(c_name), '@example.com') AS email",
+            "format_string('%010d', c_custkey * 7919) AS phone", "int(c_custkey % 3) AS children",
+            "bigint(floor(c_acctbal)) AS points",
         )
 
     def address(self) -> DataFrame:
-        key = c("c_custkey")
-        code = F.format_string("%07d", c("c_nationkey").cast("bigint") * 10007)
-        postal = (
-            F.when(key % 9 == 4, "")
-            .when(key % 9 == 5, "9999999")
-            .otherwise(F.concat(F.substring(code, 1, 3), F.lit("-"), F.substring(code, 4, 4)))
-        )
-        return self.table("customer").select(
-            F.format_string("%05d", key + 1).alias("address_id"),
-            key.alias("account_id"),
-            postal.alias("postal_code"),
-            _pick(PREFECTURES, key).alias("prefecture"),
-            c("c_mktsegment").alias("city_ward"),
-            c("c_nationkey").cast("string").alias("address_number"),
-            F.when(key % 4 == 0, c("c_name")).alias("building"),
+        code = "format_string('%07d', bigint(c_nationkey) * 10007)"
+        return self.table("customer").selectExpr(
+            "format_string('%05d', c_custkey + 1) AS address_id", "c_custkey AS account_id",
+            f"""CASE WHEN c_custkey % 9 = 4 THEN '' WHEN c_custkey % 9 = 5 THEN '9999999'
+                ELSE concat(substring({code}, 1, 3), '-', substring({code}, 4, 4)) END AS postal_code""",
+            f"{_pick(PREFECTURES, 'c_custkey')} AS prefecture", "c_mktsegment AS city_ward",
+            "string(c_nationkey) AS address_number", "if(c_custkey % 4 = 0, c_name, NULL) AS building",
         )
 
     def category(self) -> DataFrame:
         return self.spark.createDataFrame(list(CATEGORIES.items()), "category_id string, category_name string")
 
     def listing(self) -> DataFrame:
-        key = c("o_orderkey")
-        names = self.table("part").select("p_partkey", "p_name", "p_type")
-        return (
-            self.table("orders")
-            .join(names, c("p_partkey") == key % 200)
-            .select(
-                _channel(key).alias("channel"),
-                key.alias("listing_id"),
-                c("o_custkey").alias("seller_id"),
-                _text("0000", F.substring("o_orderpriority", 1, 1)).alias("category_id"),
-                c("p_name").alias("name"),
-                _pick(CONDITIONS, key).alias("condition"),
-                c("p_type").alias("description"),
-                F.floor(c("o_totalprice") / 50).cast("decimal(12,2)").alias("price"),
-                _pick(SHIPPING_PAYERS, key).alias("shipping_payer"),
-                _pick(SHIPPING_ESTIMATES, key).alias("shipping_estimate"),
-                F.when(key % 3 == 0, _pick(RENTAL_PERIODS, key)).alias("rental_period"),
-                c("o_orderdate").alias("listed_at"),
-                F.when(c("o_orderstatus") == "F", SOLD).otherwise(LISTED).alias("status"),
-                (key % 17 == 0).cast("int").alias("deleted"),
-            )
+        orders = self.table("orders").selectExpr("*", "o_orderkey % 200 AS p_partkey")
+        return orders.join(self.table("part").select("p_partkey", "p_name", "p_type"), "p_partkey").selectExpr(
+            *ORDER, "o_custkey AS seller_id", "concat('0000', substring(o_orderpriority, 1, 1)) AS category_id",
+            "p_name AS name", f"{_pick(CONDITIONS, 'o_orderkey')} AS condition", "p_type AS description",
+            "CAST(floor(o_totalprice / 50) AS DECIMAL(12,2)) AS price",
+            f"{_pick(SHIPPING_PAYERS, 'o_orderkey')} AS shipping_payer",
+            f"{_pick(SHIPPING_ESTIMATES, 'o_orderkey')} AS shipping_estimate",
+            f"if(o_orderkey % 3 = 0, {_pick(RENTAL_PERIODS, 'o_orderkey')}, NULL) AS rental_period",
+            "o_orderdate AS listed_at", f"if(o_orderstatus = 'F', '{SOLD}', '{LISTED}') AS status",
+            "int(o_orderkey % 17 = 0) AS deleted",
         )
 
     def category_status(self) -> DataFrame:
-        key = c("o_orderkey")
-        drifted = F.when(key % 10 == 3, "00001").otherwise(_text("0000", F.substring("o_orderpriority", 1, 1)))
-        return self.table("orders").select(
-            _channel(key).alias("channel"),
-            F.format_string("%05d", key + 1).alias("status_id"),
-            key.alias("listing_id"),
-            drifted.alias("category_id"),
+        return self.table("orders").selectExpr(
+            *ORDER, "format_string('%05d', o_orderkey + 1) AS status_id",
+            "if(o_orderkey % 10 = 3, '00001', concat('0000', substring(o_orderpriority, 1, 1))) AS category_id",
         )
 
     def photo(self) -> DataFrame:
-        path = F.when(c("l_partkey") % 31 == 0, " ").otherwise(
-            _text(f"{UPLOAD_DIR}/", c("l_partkey"), "_", c("l_linenumber"), ".jpg")
+        return self.table("lineitem").selectExpr(
+            _channel("l_orderkey"), "l_partkey * 100 + l_linenumber AS photo_id", "l_orderkey AS listing_id",
+            f"""if(l_partkey % 31 = 0, ' ', concat('{UPLOAD_DIR}/', l_partkey, '_', l_linenumber, '.jpg')) AS path""",
         )
-        return self.table("lineitem").select(
-            _channel(c("l_orderkey")).alias("channel"),
-            (c("l_partkey") * 100 + c("l_linenumber")).alias("photo_id"),
-            c("l_orderkey").alias("listing_id"),
-            path.alias("path"),
+
+    def comment(self) -> DataFrame:
+        return self.comment_form().selectExpr(
+            "channel", "seq AS comment_id", "listing_id", "author_id", "content", "int(seq % 10 = 3) AS deleted"
         )
 
-    def _events(self, kind: str | None = None) -> DataFrame:
-        events = self.table("events")
-        return events if kind is None else events.where(c("event_type") == kind)
+    def follow(self) -> DataFrame:
+        number = "format_string('%05d', follower_id * 100 + followed_id) AS follow_id"
+        return follow_now(self.follow_log()).selectExpr("*", number)
 
-    def comment(self) -> DataFrame:
-        return self.comment_form().select(
-            "channel", c("seq").alias("comment_id"), "listing_id", "author_id", "content",
-            (c("seq") % 10 == 3).cast("int").alias("deleted"),
+    def transaction(self) -> DataFrame:
+        return self.spark.createDataFrame(
+            [], "channel string, transaction_id string, listing_id bigint, buyer_id bigint, payment_method string, status int"
         )
 
+    def dm(self) -> DataFrame:
+        return self.dm_form().selectExpr(
+            "seq AS dm_id", "receiver_id", "sender_id", "content", "string(NULL) AS media", "ts AS sent_at",
+            "int(seq % 10 = 0) AS deleted",
+        )
+
+    def post(self) -> DataFrame:
+        return self.table("conversations").select("conv_id").distinct().selectExpr(
+            "conv_id AS post_id", "conv_id % 100 AS account_id", "concat('post ', conv_id) AS title",
+            f"timestamp_ntz'{AT}' + make_dt_interval(0, 0, int(conv_id)) AS posted_at",
+            "int(conv_id % 5 = 0) AS visibility", "int(conv_id % 7 = 0) AS deleted",
+        )
+
+    def post_content(self) -> DataFrame:
+        return self.table("conversations").selectExpr("conv_id * 1000 + turn AS content_id", "conv_id AS post_id", "text")
+
+    def post_media(self) -> DataFrame:
+        return self.table("conversations").where("role = 'assistant'").selectExpr(
+            "conv_id * 1000 + turn AS media_id", "conv_id * 1000 + turn AS content_id",
+            f"concat('{UPLOAD_DIR}/', conv_id * 1000 + turn, '.jpg') AS path",
+        )
+
+    def postal(self) -> DataFrame:
+        """The postal table, read from replies in the shape of the address service."""
+        nations = self.table("nation").withColumnRenamed("n_regionkey", "r_regionkey")
+        replies = nations.join(self.table("region"), "r_regionkey").selectExpr(
+            """to_json(struct(array(struct(
+                format_string('%07d', bigint(n_nationkey) * 10007) AS zipcode, r_name AS address1, n_name AS address2,
+                concat(n_name, '-', n_nationkey) AS address3)) AS results)) AS body"""
+        )
+        return postal_dimension(replies)
+
+    # ---- change feeds -------------------------------------------------------------------------
+
     def comment_form(self) -> DataFrame:
-        listing = c("event_id") % 1500
-        return self._events("view").select(
-            c("event_id").alias("seq"),
-            _channel(listing).alias("channel"),
-            listing.alias("listing_id"),
-            c("user_id").alias("author_id"),
-            _text("comment ", c("props")).alias("content"),
+        return self.events("event_type = 'view'").selectExpr(
+            "event_id AS seq", *EVENT, "user_id AS author_id", "concat('comment ', props) AS content"
         )
 
     def follow_log(self) -> DataFrame:
-        return self.table("events").where(c("event_type").isin("click", "error")).select(
-            c("event_id").alias("seq"),
-            F.get_json_object("props", "$.k").cast("bigint").alias("followed_id"),
-            c("user_id").alias("follower_id"),
-            F.when(c("event_type") == "click", "follow").otherwise("unfollow").alias("action"),
+        return self.events("event_type IN ('click', 'error')").selectExpr(
+            "event_id AS seq", f"{K} AS followed_id", "user_id AS follower_id",
+            "if(event_type = 'click', 'follow', 'unfollow') AS action",
         )
 
-    def follow(self) -> DataFrame:
-        number = c("follower_id") * 100 + c("followed_id")
-        return follow_now(self.follow_log()).withColumn("follow_id", F.format_string("%05d", number))
-
     def candidates(self) -> DataFrame:
-        return self._events().select(
-            c("user_id").alias("viewer_id"), F.get_json_object("props", "$.k").cast("bigint").alias("account_id")
-        ).distinct()
+        return self.table("events").selectExpr("user_id AS viewer_id", f"{K} AS account_id").distinct()
 
     def ledger_event(self) -> DataFrame:
-        kind = (
-            F.when(c("event_type") == "signup", "reset")
-            .when(c("event_type") == "click", "grant")
-            .when(c("event_type") == "view", "credit")
-            .when(c("event_type") == "purchase", "debit")
+        return self.events("event_type <> 'error'").selectExpr(
+            "user_id AS account_id", "event_id AS seq",
+            """CASE event_type WHEN 'signup' THEN 'reset' WHEN 'click' THEN 'grant' WHEN 'view' THEN 'credit'
+               WHEN 'purchase' THEN 'debit' END AS kind""",
+            """bigint(CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN floor(value * 1000000)
+               ELSE floor(value) END) AS amount""",
         )
-        amount = F.when(c("event_type") == "signup", 0).otherwise(
-            F.floor(F.when(c("event_type") == "click", c("value") * 1000000).otherwise(c("value")))
-        )
-        return self._events().select(
-            c("user_id").alias("account_id"), c("event_id").alias("seq"), kind.alias("kind"),
-            amount.cast("bigint").alias("amount"),
-        ).where(c("kind").isNotNull())
 
     def search(self) -> DataFrame:
-        key, n = c("event_id"), F.floor(c("value") * 1000000).cast("bigint")
-        text = (
-            F.when(c("event_type") == "signup", "pointReset")
-            .when(c("event_type") != "click", _text("search ", c("props")))
-            .when(key % 5 == 0, _text("pointGet", n, "\n"))
-            .when(key % 5 == 1, _text("pointGet", F.translate(n.cast("string"), "0123456789", "０１２３４５６７８９")))
-            .when(key % 5 == 2, _text("pointGet", F.repeat(F.lit("9"), 45)))
-            .otherwise(_text("pointGet", n))
+        n = "bigint(floor(value * 1000000))"
+        return self.table("events").selectExpr(
+            "event_id AS seq", "user_id AS account_id",
+            f"""CASE WHEN event_type = 'signup' THEN 'pointReset'
+                WHEN event_type <> 'click' THEN concat('search ', props)
+                WHEN event_id % 5 = 0 THEN concat('pointGet', {n}, chr(10))
+                WHEN event_id % 5 = 1 THEN concat('pointGet', translate({n}, '0123456789', '０１２３４５６７８９'))
+                WHEN event_id % 5 = 2 THEN concat('pointGet', repeat('9', 45))
+                ELSE concat('pointGet', {n}) END AS search_box""",
         )
-        return self._events().select(key.alias("seq"), c("user_id").alias("account_id"), text.alias("search_box"))
 
     def purchase(self) -> DataFrame:
-        key = c("event_id")
-        listing = F.when(key % 40 == 7, -key).otherwise(key % 1500)
-        return self._events("purchase").select(
-            key.alias("seq"),
-            _channel(listing).alias("channel"),
-            listing.alias("listing_id"),
-            c("user_id").alias("account_id"),
-            F.when(key % 2 == 0, PAY_POINTS).otherwise(PAY_CARD).alias("payMethod"),
-            (key * 37 % 9700 + 300).cast("string").alias("sellingPrice"),
-            F.when(key % 50 == 12, "abc").otherwise(F.floor(c("value") * 100).cast("bigint").cast("string")).alias("point"),
+        listed = self.events("event_type = 'purchase'").selectExpr(
+            "*", "if(event_id % 40 = 7, -event_id, event_id % 1500) AS listing_id"
         )
-
-    def transaction(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            [], "channel string, transaction_id string, listing_id bigint, buyer_id bigint, payment_method string, status int"
+        return listed.selectExpr(
+            "event_id AS seq", _channel("listing_id"), "listing_id", "user_id AS account_id",
+            f"if(event_id % 2 = 0, '{PAY_POINTS}', '{PAY_CARD}') AS payMethod",
+            "string(event_id * 37 % 9700 + 300) AS sellingPrice",
+            "if(event_id % 50 = 12, 'abc', string(bigint(floor(value * 100)))) AS point",
         )
 
     def listing_event(self) -> DataFrame:
-        key, target = c("o_orderkey"), c("event_id") % 1500
-        orders = self.table("orders").select(
-            _channel(key).alias("channel"), key.alias("listing_id"),
-            F.when(c("o_orderstatus") == "F", "sold").otherwise("listed").alias("kind"),
-        )
-        later = self.table("events").where(c("event_type").isin("purchase", "error")).select(
-            _channel(target).alias("channel"), target.alias("listing_id"),
-            F.when(c("event_type") == "purchase", "sold").otherwise("deleted").alias("kind"),
+        orders = self.table("orders").selectExpr(*ORDER, "if(o_orderstatus = 'F', 'sold', 'listed') AS kind")
+        later = self.events("event_type IN ('purchase', 'error')").selectExpr(
+            *EVENT, "if(event_type = 'purchase', 'sold', 'deleted') AS kind"
         )
         return orders.unionByName(later)
 
-    def dm(self) -> DataFrame:
-        return self.dm_form().select(
-            c("seq").alias("dm_id"), "receiver_id", "sender_id", "content", F.lit(None).cast("string").alias("media"),
-            c("ts").alias("sent_at"), (c("seq") % 10 == 0).cast("int").alias("deleted"),
-        )
-
     def dm_form(self) -> DataFrame:
-        return self._events().select(
-            c("event_id").alias("seq"), "ts",
-            F.get_json_object("props", "$.k").cast("bigint").alias("receiver_id"),
-            c("user_id").alias("sender_id"),
-            _text(c("event_type"), " ", c("event_id")).alias("content"),
-        )
-
-    def post(self) -> DataFrame:
-        key = c("conv_id")
-        return self.table("conversations").select("conv_id").distinct().select(
-            key.alias("post_id"),
-            (key % 100).alias("account_id"),
-            _text("post ", key).alias("title"),
-            (F.lit(AT).cast("timestamp_ntz") + F.make_dt_interval(mins=key.cast("int"))).alias("posted_at"),
-            (key % 5 == 0).cast("int").alias("visibility"),
-            (key % 7 == 0).cast("int").alias("deleted"),
-        )
-
-    def post_content(self) -> DataFrame:
-        return self.table("conversations").select(
-            (c("conv_id") * 1000 + c("turn")).alias("content_id"), c("conv_id").alias("post_id"), "text"
-        )
-
-    def post_media(self) -> DataFrame:
-        key = c("conv_id") * 1000 + c("turn")
-        return self.table("conversations").where(c("role") == "assistant").select(
-            key.alias("media_id"), key.alias("content_id"), _text(f"{UPLOAD_DIR}/", key, ".jpg").alias("path")
+        return self.table("events").selectExpr(
+            "event_id AS seq", "ts", f"{K} AS receiver_id", "user_id AS sender_id",
+            "concat(event_type, ' ', event_id) AS content",
         )
 
     def post_form(self) -> DataFrame:
         """Four turns of a conversation to a form."""
-        slot = lambda value, i: F.coalesce(F.max(F.when(c("turn") % 4 == i, value)), F.lit(""))
-        file = F.when(c("role") == "assistant", _text("img", c("turn"), ".png"))
-        return (
-            self.table("conversations")
-            .groupBy((c("conv_id") * 1000 + F.floor(c("turn") / 4)).cast("bigint").alias("seq"), (c("conv_id") % 100).alias("account_id"))
-            .agg(
-                F.max(_text("post ", c("conv_id"))).alias("postTitle"),
-                F.array(*[slot(c("text"), i) for i in range(4)]).alias("contents"),
-                F.array(*[slot(file, i) for i in range(4)]).alias("uploads"),
-            )
+        texts = ", ".join(f"coalesce(max(if(turn % 4 = {i}, text, NULL)), '')" for i in range(4))
+        files = ", ".join(
+            f"coalesce(max(if(turn % 4 = {i} AND role = 'assistant', concat('img', turn, '.png'), NULL)), '')"
+            for i in range(4)
+        )
+        rows = self.table("conversations").selectExpr(
+            "bigint(conv_id * 1000 + turn div 4) AS seq", "conv_id % 100 AS account_id",
+            "concat('post ', conv_id) AS postTitle", "turn", "role", "text",
         )
+        grouped = rows.groupBy("seq", "account_id", "postTitle")
+        return grouped.agg(F.expr(f"array({texts})").alias("contents"), F.expr(f"array({files})").alias("uploads"))
 
     def registration(self) -> DataFrame:
         """One form per customer with faults, clashing names and clashing e-mails spread over them."""
-        key = c("c_custkey")
-        birthday = (
-            F.when(key % 19 == 7, "2024/02/30")
-            .when(key % 19 == 8, "24/01/05")
-            .otherwise(_text(key % 50 + 1970, "/", key % 12 + 1, "/", key % 28 + 1))
-        )
-        password = F.when(key % 7 == 2, "onlyletters").when(key % 7 == 3, "abc1").otherwise(_text("passw0rd", key))
-        return self.table("customer").select(
-            key.alias("seq"),
-            F.when(key % 10 == 8, _text(F.lower("c_name"), "@example.com"))
-            .otherwise(_text("mail", F.when(key % 10 == 6, key - 1).otherwise(key), "@example.com")).alias("email"),
-            password.alias("password"),
-            F.when(key % 11 == 4, "different1").otherwise(password).alias("password_confirm"),
-            F.when(key % 13 == 5, "Yamada").otherwise("山田").alias("name"),
-            F.lit("花子").alias("name_first"),
-            F.lit("ヤマダ").alias("name_kana"),
-            F.when(key % 17 == 6, "はなこ").otherwise("ハナコ").alias("name_kana_first"),
-            F.when(key % 10 == 3, c("c_name"))
-            .otherwise(_text("user", F.when(key % 10 == 1, key - 1).otherwise(key))).alias("username"),
-            birthday.alias("birthday"),
-            F.when(key % 23 == 9, "不明").otherwise(_pick(GENDERS, key)).alias("gender"),
-            _text("090-", F.format_string("%04d", key % 10000)).alias("phone"),
-            F.when(key % 29 == 10, "5").otherwise((key % 3).cast("string")).alias("children_count"),
-            F.format_string("%07d", key * 37 % 10000000).alias("postal_code"),
-            F.when(key % 31 == 11, "atlantis").when(key % 31 == 12, "").otherwise(_pick(PREFECTURES, key)).alias("address"),
-            c("c_mktsegment").alias("city"),
-            c("c_nationkey").cast("string").alias("street"),
-            F.lit("").alias("building"),
+        password = """CASE WHEN c_custkey % 7 = 2 THEN 'onlyletters' WHEN c_custkey % 7 = 3 THEN 'abc1'
+                      ELSE concat('passw0rd', c_custkey) END"""
+        return self.table("customer").selectExpr(
+            "c_custkey AS seq",
+            """CASE WHEN c_custkey % 10 = 8 THEN concat(lower(c_name), '@example.com')
+               ELSE concat('mail', if(c_custkey % 10 = 6, c_custkey - 1, c_custkey), '@example.com') END AS email""",
+            f"{password} AS password",
+            f"if(c_custkey % 11 = 4, 'different1', {password}) AS password_confirm",
+            "if(c_custkey % 13 = 5, 'Yamada', '山田') AS name", "'花子' AS name_first", "'ヤマダ' AS name_kana",
+            "if(c_custkey % 17 = 6, 'はなこ', 'ハナコ') AS name_kana_first",
+            """CASE WHEN c_custkey % 10 = 3 THEN c_name
+               ELSE concat('user', if(c_custkey % 10 = 1, c_custkey - 1, c_custkey)) END AS username""",
+            """CASE WHEN c_custkey % 19 = 7 THEN '2024/02/30' WHEN c_custkey % 19 = 8 THEN '24/01/05'
+               ELSE concat_ws('/', c_custkey % 50 + 1970, c_custkey % 12 + 1, c_custkey % 28 + 1) END AS birthday""",
+            f"if(c_custkey % 23 = 9, '不明', {_pick(GENDERS, 'c_custkey')}) AS gender",
+            "concat('090-', format_string('%04d', c_custkey % 10000)) AS phone",
+            "if(c_custkey % 29 = 10, '5', string(c_custkey % 3)) AS children_count",
+            "format_string('%07d', c_custkey * 37 % 10000000) AS postal_code",
+            f"""CASE WHEN c_custkey % 31 = 11 THEN 'atlantis' WHEN c_custkey % 31 = 12 THEN ''
+                ELSE {_pick(PREFECTURES, 'c_custkey')} END AS address""",
+            "c_mktsegment AS city", "string(c_nationkey) AS street", "'' AS building",
         )
 
     def listing_form(self) -> DataFrame:
-        key, price = c("o_orderkey"), F.floor(c("o_totalprice") / 50).cast("bigint")
-        grouped = F.when(
-            price >= 1000,
-            _text("¥ ", F.floor(price / 1000).cast("bigint"), ",", F.format_string("%03d", price % 1000)),
-        ).otherwise(_text("¥ ", price))
-        slot1 = F.when(key % 53 == 9, "").otherwise(_text("a", key, ".jpg"))
-        slot2 = F.when(key % 59 == 10, "b.gif").when(key % 4 == 1, _text("b", key, ".PNG")).otherwise("")
-        return self.table("orders").select(
-            key.alias("seq"),
-            _channel(key).alias("channel"),
-            c("o_custkey").alias("account_id"),
-            F.when(key % 37 == 5, "").when(key % 41 == 6, F.repeat(F.lit("長"), 41)).otherwise(_text("item ", key)).alias("productName"),
-            F.when(key % 61 == 1, "新品").otherwise(_pick(CONDITIONS, key)).alias("productCondition"),
-            c("o_orderpriority").alias("productDescription"),
-            F.when(key % 43 == 7, "abc").when(key % 47 == 8, "").otherwise(grouped).alias("sellingPrice"),
-            _text("0000", F.substring("o_orderpriority", 1, 1)).alias("categoryId"),
-            _pick(SHIPPING_PAYERS, key).alias("shippingPayer"),
-            F.when(key % 67 == 2, "いつか").otherwise(_pick(SHIPPING_ESTIMATES, key)).alias("shippingEstimate"),
-            F.when(key % 9 != 3, _pick(RENTAL_PERIODS, key)).alias("rentalPeriod"),
-            F.array(slot1, slot2, F.lit(""), F.when(key % 5 == 0, "d.gif").otherwise("")).alias("uploads"),
+        rows = self.table("orders").selectExpr("*", f"{YEN} AS yen")
+        return rows.selectExpr(
+            "o_orderkey AS seq", _channel("o_orderkey"), "o_custkey AS account_id",
+            """CASE WHEN o_orderkey % 37 = 5 THEN '' WHEN o_orderkey % 41 = 6 THEN repeat('長', 41)
+               ELSE concat('item ', o_orderkey) END AS productName""",
+            f"if(o_orderkey % 61 = 1, '新品', {_pick(CONDITIONS, 'o_orderkey')}) AS productCondition",
+            "o_orderpriority AS productDescription",
+            """CASE WHEN o_orderkey % 43 = 7 THEN 'abc' WHEN o_orderkey % 47 = 8 THEN ''
+               WHEN yen >= 1000 THEN concat('¥ ', yen div 1000, ',', lpad(yen % 1000, 3, '0'))
+               ELSE concat('¥ ', yen) END AS sellingPrice""",
+            "concat('0000', substring(o_orderpriority, 1, 1)) AS categoryId",
+            f"{_pick(SHIPPING_PAYERS, 'o_orderkey')} AS shippingPayer",
+            f"if(o_orderkey % 67 = 2, 'いつか', {_pick(SHIPPING_ESTIMATES, 'o_orderkey')}) AS shippingEstimate",
+            f"if(o_orderkey % 9 <> 3, {_pick(RENTAL_PERIODS, 'o_orderkey')}, NULL) AS rentalPeriod",
+            """array(if(o_orderkey % 53 = 9, '', concat('a', o_orderkey, '.jpg')),
+                     CASE WHEN o_orderkey % 59 = 10 THEN 'b.gif'
+                          WHEN o_orderkey % 4 = 1 THEN concat('b', o_orderkey, '.PNG') ELSE '' END,
+                     '', if(o_orderkey % 5 = 0, 'd.gif', '')) AS uploads""",
         )
 
     def profile_change(self) -> DataFrame:
-        key = c("event_id")
-        return self._events("click").select(
-            key.alias("seq"),
-            c("user_id").alias("account_id"),
-            _text("nick", F.when(key % 8 == 0, F.lit(0)).otherwise(key)).alias("account_name"),
-            F.when(key % 4 != 0, _text("080", key)).alias("phone"),
-            (key % 3).cast("int").alias("children"),
-            F.format_string("%07d", key).alias("postal_code"),
-            _pick(PREFECTURES, key).alias("prefecture"),
-            c("event_type").alias("city_ward"),
-            key.cast("string").alias("address_number"),
-            F.lit(None).cast("string").alias("building"),
+        return self.events("event_type = 'click'").selectExpr(
+            "event_id AS seq", "user_id AS account_id",
+            "concat('nick', if(event_id % 8 = 0, 0, event_id)) AS account_name",
+            "if(event_id % 4 <> 0, concat('080', event_id), NULL) AS phone", "int(event_id % 3) AS children",
+            "format_string('%07d', event_id) AS postal_code", f"{_pick(PREFECTURES, 'event_id')} AS prefecture",
+            "event_type AS city_ward", "string(event_id) AS address_number", "string(NULL) AS building",
         )
 
     def listing_edit(self) -> DataFrame:
-        key, listing = c("event_id"), c("event_id") % 1500
-        return self._events("error").select(
-            key.alias("seq"),
-            _channel(listing).alias("channel"),
-            listing.alias("listing_id"),
-            _text("edited ", key).alias("name"),
-            _pick(CONDITIONS, key).alias("condition"),
-            F.when(key % 3 != 0, c("props")).alias("description"),
-            (F.floor(c("value") * 100)).cast("decimal(12,2)").alias("price"),
-            _pick(SHIPPING_PAYERS, key).alias("shipping_payer"),
-            _pick(SHIPPING_ESTIMATES, key).alias("shipping_estimate"),
-            F.format_string("%05d", key % 4 + 1).alias("category_id"),
-            _pick(RENTAL_PERIODS, key).alias("rental_period"),
+        return self.events("event_type = 'error'").selectExpr(
+            "event_id AS seq", *EVENT, "concat('edited ', event_id) AS name",
+            f"{_pick(CONDITIONS, 'event_id')} AS condition", "if(event_id % 3 <> 0, props, NULL) AS description",
+            "CAST(floor(value * 100) AS DECIMAL(12,2)) AS price",
+            f"{_pick(SHIPPING_PAYERS, 'event_id')} AS shipping_payer",
+            f"{_pick(SHIPPING_ESTIMATES, 'event_id')} AS shipping_estimate",
+            "format_string('%05d', event_id % 4 + 1) AS category_id",
+            f"{_pick(RENTAL_PERIODS, 'event_id')} AS rental_period",
         )
 
     def photo_upload(self) -> DataFrame:
-        key, listing = c("event_id"), c("event_id") % 1500
-        return self._events("signup").select(
-            key.alias("seq"), _channel(listing).alias("channel"), listing.alias("listing_id"),
-            _text(f"{UPLOAD_DIR}/new_", key, ".jpg").alias("path"),
+        return self.events("event_type = 'signup'").selectExpr(
+            "event_id AS seq", *EVENT, f"concat('{UPLOAD_DIR}/new_', event_id, '.jpg') AS path"
         )
 
     def icon_upload(self) -> DataFrame:
-        key = c("event_id")
-        name = F.when(key % 6 == 0, _text("icon", key, ".bmp")).when(key % 6 == 1, "").otherwise(_text("icon", key, ".JPG"))
-        return self._events("signup").select(key.alias("seq"), c("user_id").alias("account_id"), name.alias("file"))
-
-    def viewer_pair(self) -> DataFrame:
-        listing = c("event_id") % 1500
-        viewers = self._events("view").select(
-            c("user_id").alias("viewer_id"), _channel(listing).alias("channel"), listing.alias("listing_id")
+        return self.events("event_type = 'signup'").selectExpr(
+            "event_id AS seq", "user_id AS account_id",
+            """CASE event_id % 6 WHEN 0 THEN concat('icon', event_id, '.bmp') WHEN 1 THEN ''
+               ELSE concat('icon', event_id, '.JPG') END AS file""",
         )
-        owners = self.table("orders").select(
-            c("o_custkey").alias("viewer_id"), _channel(c("o_orderkey")).alias("channel"), c("o_orderkey").alias("listing_id")
-        )
-        return viewers.unionByName(owners)
 
-    def postal(self) -> DataFrame:
-        """The postal table, read from replies in the shape of the address service."""
-        region = self.table("region")
-        answer = F.struct(
-            F.format_string("%07d", c("n_nationkey").cast("bigint") * 10007).alias("zipcode"),
-            c("r_name").alias("address1"), c("n_name").alias("address2"),
-            _text(c("n_name"), "-", c("n_nationkey")).alias("address3"),
-        )
-        replies = self.table("nation").join(region, c("n_regionkey") == c("r_regionkey")).select(
-            F.to_json(F.struct(F.array(answer).alias("results"))).alias("body")
-        )
-        return postal_dimension(replies)
+    def viewer_pair(self) -> DataFrame:
+        viewers = self.events("event_type = 'view'").selectExpr("user_id AS viewer_id", *EVENT)
+        return viewers.unionByName(self.table("orders").selectExpr("o_custkey AS viewer_id", *ORDER))
 
     def term(self) -> DataFrame:
         """Search terms: every word that occurs in a part name."""
-        return self.table("part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
+        return self.table("part").selectExpr("explode(split(p_name, ' ')) AS term").distinct()
