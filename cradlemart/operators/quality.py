@@ -137,12 +137,12 @@ def validate_registrations(forms: DataFrame, accounts: DataFrame) -> DataFrame:
 def validate_profile_changes(changes: DataFrame, accounts: DataFrame) -> DataFrame:
     """Profile changes with an ``errors`` map: the new user name must not belong to another account.
 
-    Names are compared with the table as it is before the batch; inside the batch the first account
-    to ask for a name gets it.
+    Names are compared with the table as it is before the batch; a free name goes to the first
+    account that asks for it. A name given up in the batch is free again in the next one.
     """
     held = accounts.select("account_name", F.col("account_id").alias("_holder"))
     first = changes.groupBy("account_name").agg(F.min_by("account_id", "seq").alias("_first"))
-    taken = F.coalesce(F.col("_holder") != F.col("account_id"), F.lit(False)) | (F.col("_first") != F.col("account_id"))
+    taken = F.coalesce("_holder", "_first") != F.col("account_id")
     return (
         changes.join(held, "account_name", "left")
         .join(first, "account_name", "left")
