@@ -10,6 +10,7 @@ from ..schemas import CATEGORIES, CONDITION_TAGS, PRICE_ABOVE, PRICE_BANDS, SOLD
 from .ordered import MIN_ROWS, SHARE, paged_lists, running_number
 
 LISTING = ["channel", "listing_id"]
+BROADCAST_TERMS = 100_000
 
 
 def cover_photos(photos: DataFrame) -> DataFrame:
@@ -35,13 +36,16 @@ def keyword_search(listings: DataFrame, terms: list[str] | DataFrame, wildcards:
 
     A list of terms is tested in one pass over the listings. A DataFrame with a ``term`` column may
     be of any size: the names' substrings of the term lengths are matched by an equi-join, so the
-    work is names x lengths and not names x terms. ``wildcards`` lets ``%`` and ``_`` in a listed
+    work is names x lengths and not names x terms. Up to 100,000 terms (counted first) go to every
+    executor; more are shuffled. ``wildcards`` lets ``%`` and ``_`` in a listed
     term match as in LIKE.
     """
     if isinstance(terms, DataFrame):
         if wildcards:
             raise ValueError("wildcards need the terms as a list")
         wanted = terms.select("term").where(F.col("term").isNotNull()).distinct()
+        if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+            wanted = F.broadcast(wanted)
         lengths = wanted.agg(F.collect_set(F.length("term")).alias("_lengths")).scalar()
         starts = F.when(
             F.col("_len") <= F.length("name"), F.sequence(F.lit(1), F.length("name") - F.col("_len") + 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_digits
@@ -44,38 +44,24 @@ def _steps(events: DataFrame, part: list[str], order: list[str]) -> DataFrame:
     what was added up to that cut. Adds ``sets`` (restarts so far), ``cum`` (sum since the restart)
     and ``top`` (highest sum at a cut since the restart).
     """
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = f"OVER (PARTITION BY {', '.join(part)} ORDER BY {', '.join(order)} ROWS UNBOUNDED PRECEDING)"
     return (
-        events.withColumn("sets", F.count("set_to").over(w))
-        .withColumn("_sum", F.sum("delta").over(w))
-        .withColumn(
-            "cum",
-            F.col("_sum")
-            - F.coalesce(
-                F.last(F.when(F.col("set_to").isNotNull(), F.col("_sum") - F.col("set_to")), ignorenulls=True).over(w),
-                F.lit(0),
-            ),
+        events.selectExpr("*", f"count(set_to) {w} AS sets", f"sum(delta) {w} AS _sum")
+        .selectExpr(
+            "*",
+            f"_sum - coalesce(last(if(set_to IS NULL, NULL, _sum - set_to), true) {w}, 0) AS cum",
         )
         # The largest (sets, sum) pair so far belongs to the newest stretch that has a cut.
-        .withColumn(
-            "_best",
-            F.max(
-                F.when(
-                    F.col("peak").isNotNull(),
-                    F.struct("sets", (F.col("cum") - F.col("delta") + F.col("peak")).alias("sum")),
-                )
-            ).over(w),
-        )
-        .withColumn("top", F.when(F.col("_best.sets") == F.col("sets"), F.col("_best.sum")))
+        .selectExpr("*", f"max(if(peak IS NULL, NULL, struct(sets, cum - delta + peak AS sum))) {w} AS _best")
+        .selectExpr("*", "if(_best.sets = sets, _best.sum, NULL) AS top")
         .drop("_sum", "_best")
     )
 
 
-def _balance(opening: Column) -> Column:
-    """The running balance: the sum less whatever the cap has cut off so far."""
-    start = F.when(F.col("sets") == 0, opening).otherwise(F.lit(0))
-    cut = F.greatest(F.lit(0), start + F.col("top") - F.lit(CAP))
-    return start + F.col("cum") - F.coalesce(cut, F.lit(0))
+def _balance(opening: str) -> str:
+    """SQL for the running balance: the sum less whatever the cap has cut off so far."""
+    start = f"if(sets = 0, {opening}, 0)"
+    return f"{start} + cum - coalesce(greatest(0, {start} + top - {CAP}), 0)"
 
 
 def points_ledger(
@@ -98,40 +84,34 @@ def points_ledger(
                 F.col("points").cast("bigint").alias("amount"),
             )
         )
-    kind, amount = F.col("kind"), F.col("amount")
-    huge = (kind == "grant") & (amount >= HUGE)
-    set_to = F.when(kind == "reset", 0).when(huge, CAP).cast("bigint")
-    moves = known.withColumn("set_to", set_to).withColumn(
-        "delta", F.coalesce("set_to", F.when(kind == "debit", -amount).otherwise(amount))
+    moves = (
+        known.selectExpr(
+            "*", f"bigint(CASE WHEN kind = 'reset' THEN 0 WHEN kind = 'grant' AND amount >= {HUGE} THEN {CAP} END) AS set_to"
+        )
+        .selectExpr("*", "coalesce(set_to, if(kind = 'debit', -amount, amount)) AS delta")
+        .selectExpr("*", "if(kind = 'grant' AND set_to IS NULL, delta, NULL) AS peak")
     )
-    moves = moves.withColumn("peak", F.when((kind == "grant") & F.col("set_to").isNull(), F.col("delta")))
-
-    blocks = with_blocks(moves, ["account_id"], "seq", share, min_rows)
-    local = _steps(blocks, ["account_id", BLOCK], EVENT_ORDER)
+    every, large = with_blocks(moves, ["account_id"], "seq", share, min_rows)
+    local = _steps(every, ["account_id", BLOCK], EVENT_ORDER)
 
     # One row per block of a large account, in the shape of an event: what the block does as a whole.
-    large = with_blocks(moves, ["account_id"], "seq", share, min_rows, only_large=True)
     ends = (
         _steps(large, ["account_id", BLOCK], EVENT_ORDER)
         .groupBy("account_id", BLOCK)
         .agg(_newest(F.struct("sets", "cum", "top")).alias("end"))
         .select("account_id", BLOCK, "end.*")
     )
-    as_events = ends.select(
-        "account_id",
-        BLOCK,
-        F.when(F.col("sets") > 0, _balance(F.lit(0))).alias("set_to"),
-        F.when(F.col("sets") > 0, _balance(F.lit(0))).otherwise(F.col("cum")).alias("delta"),
-        F.when(F.col("sets") == 0, F.col("top")).alias("peak"),
+    as_events = ends.selectExpr(
+        "account_id", BLOCK, f"if(sets > 0, {_balance('0')}, NULL) AS set_to",
+        f"if(sets > 0, {_balance('0')}, cum) AS delta", "if(sets = 0, top, NULL) AS peak",
     )
-    closing = _steps(as_events, ["account_id"], [BLOCK]).withColumn("_close", _balance(F.lit(0)))
-    opened = closing.select(
-        "account_id",
-        BLOCK,
-        F.lag("_close").over(Window.partitionBy("account_id").orderBy(BLOCK)).alias("_open"),
+    opened = (
+        _steps(as_events, ["account_id"], [BLOCK])
+        .selectExpr("account_id", BLOCK, f"{_balance('0')} AS _close")
+        .selectExpr("account_id", BLOCK, f"lag(_close) OVER (PARTITION BY account_id ORDER BY {BLOCK}) AS _open")
     )
-    return carry(local, opened, ["account_id"]).select(
-        "account_id", "seq", "kind", "amount", _balance(F.coalesce("_open", F.lit(0))).alias("balance")
+    return carry(local, opened, ["account_id"]).selectExpr(
+        "account_id", "seq", "kind", "amount", f"{_balance('coalesce(_open, 0)')} AS balance"
     )
 
 

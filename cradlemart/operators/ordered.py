@@ -2,9 +2,12 @@
 
 A plain window sends a whole key to one task. Here a key with more than ``share`` of all rows is
 cut into blocks along its order; the window runs per (key, block) and a short table with one row
-per block carries the result of the earlier blocks on. There are fewer than ``1/share`` such keys
-and at most ``2/share`` blocks, so both helper tables may be broadcast whatever the data size.
-``order`` must be a number or a timestamp; blocks are equal steps of it.
+per block carries the result of the earlier blocks on. A block that is still too large, because the
+order values lie close together, is cut once more by its own extent. There are fewer than
+``1/share`` such keys and such blocks, so the helper tables have at most a few times ``1/share``
+rows and may be broadcast whatever the data size.
+
+``order`` must be a number or a timestamp. Rows that agree in it stay in one block.
 """
 
 from __future__ import annotations
@@ -15,65 +18,85 @@ from pyspark.sql import functions as F
 SHARE = 1e-3
 MIN_ROWS = 200_000  # a key below this many rows is never worth cutting
 BLOCK = "_block"
+PARTS = 1 << 20  # more than the parts a block can be cut into
+
 
+def _as_number(df: DataFrame, order: str) -> str:
+    """SQL for the order value as a double; timestamps count as seconds."""
+    is_time = df.schema[order].dataType.typeName().startswith("timestamp")
+    return f"double(timestamp(`{order}`))" if is_time else f"double(`{order}`)"
 
-def _as_number(df: DataFrame, order: str) -> Column:
-    c = F.col(order)
-    return (c.cast("timestamp") if dict(df.dtypes)[order].startswith("timestamp") else c).cast("double")
 
+def _limit(df: DataFrame, share: float, min_rows: int) -> Column:
+    """The largest number of rows a key or block may have uncut."""
+    return df.agg(F.expr(f"greatest(count(1) * double({share}), double({min_rows}))").alias("_limit")).scalar()
 
-def _extent(df: DataFrame, keys: list[str], order: str, share: float, min_rows: int) -> DataFrame:
-    """Large keys with the start and step of their blocks: fewer than 1/share rows."""
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(_as_number(df, order)).alias("_lo"),
-        F.max(_as_number(df, order)).alias("_hi"),
+
+def _extents(df: DataFrame, keys: list[str], number: str, limit: Column) -> DataFrame:
+    """Groups above the limit with the start and step of their parts: fewer than 1/share rows."""
+    sizes = df.groupBy(*keys).agg(
+        F.expr("count(1)").alias("_n"), F.expr(f"min({number})").alias("_lo"), F.expr(f"max({number})").alias("_hi")
     )
-    rows = df.agg(F.count(F.lit(1)).alias("_rows")).scalar()
-    limit = F.greatest(rows * F.lit(float(share)), F.lit(float(min_rows)))
     return (
-        counts.withColumn("_limit", limit)
-        .where(F.col("_n") > F.col("_limit"))
-        .select(
-            *[F.col(k).alias(f"_hot_{k}") for k in keys],
-            F.coalesce("_lo", F.lit(0.0)).alias("_lo"),
-            F.greatest((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / F.col("_limit")), F.lit(1e-6)).alias("_step"),
+        sizes.withColumn("_limit", limit)
+        .where("_n > _limit")
+        .selectExpr(
+            *[f"`{k}` AS `_hot_{k}`" for k in keys],
+            "coalesce(_lo, 0D) AS _lo",
+            "greatest((_hi - _lo) / ceil(_n / _limit), 1e-6D) AS _step",
         )
     )
 
 
-def with_blocks(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    share: float = SHARE,
-    min_rows: int = MIN_ROWS,
-    only_large: bool = False,
-) -> DataFrame:
-    """Add ``_block``: 0 for ordinary keys, 1, 2, ... along ``order`` for large ones.
+def _cut(df: DataFrame, extents: DataFrame, keys: list[str], number: str, how: str) -> DataFrame:
+    """Add ``_part``: 1, 2, ... along the order for the groups in ``extents``, else 0."""
+    match = F.expr(" AND ".join(f"`{k}` <=> `_hot_{k}`" for k in keys))
+    part = f"bigint(coalesce(1 + floor((coalesce({number}, _lo) - _lo) / _step), 0)) AS _part"
+    return df.join(F.broadcast(extents), match, how).selectExpr(*[f"`{c}`" for c in df.columns], part)
 
-    ``only_large`` keeps the rows of large keys alone, for the per-block tables.
+
+def _blocks(
+    df: DataFrame, keys: list[str], order: str, share: float, min_rows: int, even: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``_block``, and only its rows in cut groups.
+
+    ``even`` cuts the whole table into 1/share steps of ``order`` whatever the size of its keys.
     """
-    hot = _extent(df, keys, order, share, min_rows)
-    match = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    position = F.coalesce(_as_number(df, order), F.col("_lo"))
-    block = F.lit(1) + F.floor((position - F.col("_lo")) / F.col("_step"))
-    return (
-        df.join(F.broadcast(hot), match, "inner" if only_large else "left")
-        .withColumn(BLOCK, F.coalesce(block, F.lit(0)).cast("bigint"))
-        .drop("_lo", "_step", *[f"_hot_{k}" for k in keys])
+    number, limit = _as_number(df, order), _limit(df, share, min_rows)
+    columns = [f"`{c}`" for c in df.columns]
+    if even:
+        step = f"greatest((max({number}) - min({number})) * double({share}), 1e-6D)"
+        extent = df.agg(F.expr(f"struct(min({number}) AS lo, {step} AS step)").alias("_extent")).scalar()
+        block = f"bigint(coalesce(floor(({number} - _extent.lo) / _extent.step), 0)) AS {BLOCK}"
+        every = large = df.withColumn("_extent", extent).selectExpr(*columns, block)
+    else:
+        extents = _extents(df, keys, number, limit)
+        every, large = (
+            _cut(df, extents, keys, number, how).withColumnRenamed("_part", BLOCK) for how in ("left", "inner")
+        )
+    groups = [*keys, BLOCK]
+    again = _extents(large, groups, number, limit)
+    every, large = (
+        _cut(rows, again, groups, number, "left").selectExpr(*columns, f"{BLOCK} * {PARTS} + _part AS {BLOCK}")
+        for rows in (every, large)
     )
+    return every, large
+
+
+def with_blocks(
+    df: DataFrame, keys: list[str], order: str, share: float = SHARE, min_rows: int = MIN_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """All rows with ``_block`` (0 for ordinary keys, rising along ``order`` for large ones), and the
+    rows of large keys alone for making the per-block table."""
+    return _blocks(df, keys, order, share, min_rows)
 
 
 def carry(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Join the per-block table (at most 2/share rows) back to the rows of its block."""
-    small = summary.select(
-        *[F.col(k).alias(f"_hot_{k}") for k in keys],
-        F.col(BLOCK).alias("_hot_block"),
-        *[c for c in summary.columns if c not in (*keys, BLOCK)],
-    )
-    match = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys] + [F.col(BLOCK) == F.col("_hot_block")]
-    return df.join(F.broadcast(small), match, "left").drop("_hot_block", *[f"_hot_{k}" for k in keys])
+    """Join the per-block table (a few times 1/share rows) back to the rows of its block."""
+    added = [c for c in summary.columns if c not in (*keys, BLOCK)]
+    small = summary.selectExpr(*[f"`{k}` AS `_hot_{k}`" for k in (*keys, BLOCK)], *added)
+    match = F.expr(" AND ".join(f"`{k}` <=> `_hot_{k}`" for k in (*keys, BLOCK)))
+    return df.join(F.broadcast(small), match, "left").select(*df.columns, *added)
 
 
 def _carried(large: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -100,32 +123,16 @@ def running_sums(
 
     Without keys the totals run over the whole table, which is then always cut into blocks.
     ``cut_all`` does the same for keys of few values that each hold much of the table. The input is
-    read up to four times (twice for key sizes, once for block totals), so it should be a stored one.
+    read several times, all but once for its key and order columns only, so it should be a stored one.
     """
-    if keys and not cut_all:
-        cut = with_blocks(df, keys, order, share, min_rows)
-        large = with_blocks(df, keys, order, share, min_rows, only_large=True)
-    else:
-        cut = large = _even_blocks(df, order, share)
+    every, large = _blocks(df, keys, order, share, min_rows, even=cut_all or not keys)
     along = Window.partitionBy(*keys, BLOCK).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumns({name: F.sum(value).over(along) for name, value in sums.items()})
-    total = {name: (F.col(name) + F.coalesce(f"_before_{name}", F.lit(0))).cast("bigint") for name in sums}
-    return (
-        carry(local, _carried(large, keys, sums), keys)
-        .withColumns(total)
-        .drop(BLOCK, *[f"_before_{name}" for name in sums])
+    local = every.select("*", *[F.sum(value).over(along).alias(name) for name, value in sums.items()])
+    return carry(local, _carried(large, keys, sums), keys).selectExpr(
+        *[f"`{c}`" for c in df.columns], *[f"bigint({name} + coalesce(_before_{name}, 0)) AS {name}" for name in sums]
     )
 
 
-def _even_blocks(df: DataFrame, order: str, share: float) -> DataFrame:
-    """``_block`` over the whole table: 1/share equal steps of ``order``."""
-    number = _as_number(df, order)
-    step = F.greatest((F.max(number) - F.min(number)) * share, F.lit(1e-6))
-    extent = df.agg(F.struct(F.min(number).alias("lo"), step.alias("step")).alias("_extent")).scalar()
-    block = F.floor((F.coalesce(number, extent["lo"]) - extent["lo"]) / extent["step"])
-    return df.withColumn(BLOCK, F.coalesce(block, F.lit(0)).cast("bigint"))
-
-
 def running_number(
     df: DataFrame, keys: list[str], order: str, ties: list[str | Column] = (), name: str = "n", **options: object
 ) -> DataFrame:
@@ -148,22 +155,17 @@ def paged_lists(
     A key with up to ``page_rows`` rows gives one row with ``first_no`` = 1; a longer one goes on
     in further rows. ``lists`` maps output names to columns; nulls are skipped as in GROUP_CONCAT.
     """
-    cut = with_blocks(df, keys, order, share, min_rows)
-    large = with_blocks(df, keys, order, share, min_rows, only_large=True)
+    every, large = with_blocks(df, keys, order, share, min_rows)
     # The window, the pages and the arrays all use one shuffle by (keys, block).
     place = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(order, *ties))
-    pages = cut.withColumn("_no", place).withColumn("_page", F.floor((F.col("_no") - 1) / page_rows))
-
-    def collected(column: str) -> Column:
-        entry = F.when(F.col(column).isNotNull(), F.struct("_no", F.col(column).alias("v")))
-        return F.sort_array(F.collect_list(entry)).getField("v")
-
+    pages = every.withColumn("_no", place).withColumn("_page", F.expr(f"(_no - 1) div {page_rows}"))
     arrays = pages.groupBy(*keys, BLOCK, "_page").agg(
-        F.min("_no").alias("_first"), *[collected(column).alias(out) for out, column in lists.items()]
+        F.expr("min(_no)").alias("_first"),
+        *[
+            F.expr(f"sort_array(collect_list(if(`{c}` IS NULL, NULL, struct(_no, `{c}` AS v)))).v").alias(out)
+            for out, c in lists.items()
+        ],
     )
-    first = F.col("_first") + F.coalesce("_before_rows", F.lit(0))
-    return (
-        carry(arrays, _carried(large, keys, {"rows": F.lit(1)}), keys)
-        .withColumn("first_no", first.cast("bigint"))
-        .select(*keys, "first_no", *lists)
+    return carry(arrays, _carried(large, keys, {"rows": F.lit(1)}), keys).selectExpr(
+        *[f"`{k}`" for k in keys], "bigint(_first + coalesce(_before_rows, 0)) AS first_no", *lists
     )

@@ -108,24 +108,21 @@ def validate_registrations(forms: DataFrame, accounts: DataFrame) -> DataFrame:
     """
     names = {"username": "account_name", "email": "email"}
     own = validate(forms, registration_rules()).drop("password", "password_confirm")
+    claims = own.where(F.size("errors") == 0).select("seq", *names)
+    held = {}
     for field, column in names.items():
-        held = accounts.select(F.col(column).alias(field)).where(F.col(field).isNotNull()).distinct()
-        own = own.join(held.withColumn(f"_held_{field}", F.lit(True)), field, "left")
-    free = F.col("_held_username").isNull() & F.col("_held_email").isNull()
-    winners = first_come(own.where((F.size("errors") == 0) & free).select("seq", *names), list(names))
+        held[field] = accounts.select(F.col(column).alias(field)).where(F.col(field).isNotNull()).distinct()
+        claims = claims.join(held[field], field, "left_anti")
+    winners = first_come(claims, list(names))
     checked = own
     for field in names:
-        winner = winners.select(field, F.col("seq").alias(f"_winner_{field}"))
-        checked = checked.join(winner, field, "left")
-    taken = [
-        (
-            field,
-            F.when(
-                (F.col(f"_held_{field}") | (F.col(f"_winner_{field}") < F.col("seq")))
-                & ~F.map_contains_key("errors", field),
-                "taken",
-            ),
+        # Who has the name: an account from before the batch, or the form that got it.
+        owner = held[field].withColumn(f"_{field}_since", F.lit(-(2**63))).unionByName(
+            winners.select(field, F.col("seq").alias(f"_{field}_since"))
         )
+        checked = checked.join(owner, field, "left")
+    taken = [
+        (field, F.when((F.col(f"_{field}_since") < F.col("seq")) & ~F.map_contains_key("errors", field), "taken"))
         for field in names
     ]
     more = checked.withColumn("_taken", _codes(taken))

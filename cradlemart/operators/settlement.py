@@ -29,26 +29,26 @@ def check_purchases(purchases: DataFrame, listings: DataFrame, mode: str = "as_i
     """
     if mode not in ("as_is", "first_wins"):
         raise ValueError(f"unknown mode {mode!r}")
-    state = listings.select(*LISTING, "seller_id", "status", "deleted", F.lit(True).alias("_known"))
     by_points = F.col("payMethod") == PAY_POINTS
-    reason = (
-        F.when(F.col("_known").isNull(), "missing_listing")
-        .when(F.col("price").isNull() | (by_points & F.col("claimed").isNull()), "bad_number")
-        .when(by_points & (F.col("claimed") < F.col("price")), "not_enough_points")
+    read = purchases.withColumn("price", ascii_digits(F.col("sellingPrice")).try_cast("bigint")).withColumn(
+        "claimed", ascii_digits(F.col("point")).try_cast("bigint")
     )
-    checked = (
-        purchases.join(state, LISTING, "left")
-        .withColumn("price", ascii_digits(F.col("sellingPrice")).try_cast("bigint"))
-        .withColumn("claimed", ascii_digits(F.col("point")).try_cast("bigint"))
-        .withColumn("reason", reason)
+    read = read.withColumn(
+        "_form_reason",
+        F.when(F.col("price").isNull() | (by_points & F.col("claimed").isNull()), "bad_number").when(
+            by_points & (F.col("claimed") < F.col("price")), "not_enough_points"
+        ),
     )
+    state = listings.select(*LISTING, "seller_id", "status", "deleted", F.lit(True).alias("_known"))
+    reason = F.when(F.col("_known").isNull(), "missing_listing").otherwise(F.col("_form_reason"))
     if mode == "first_wins":
-        gone = (F.col("status") == SOLD) | (F.col("deleted") != 0)
-        checked = checked.withColumn("reason", F.coalesce("reason", F.when(gone, "already_gone")))
-        first = checked.where(F.col("reason").isNull()).groupBy(*LISTING).agg(F.min("seq").alias("_first"))
-        checked = checked.join(first, LISTING, "left").withColumn(
-            "reason", F.coalesce("reason", F.when(F.col("seq") != F.col("_first"), "already_gone"))
-        )
+        # The winner is found per listing before the join, so a listing that everybody wants to buy
+        # is reduced on the map side and the join itself stays free to split it.
+        good = read.where(F.col("_form_reason").isNull())
+        state = state.join(good.groupBy(*LISTING).agg(F.min("seq").alias("_first")), LISTING, "left")
+        gone = (F.col("status") == SOLD) | (F.col("deleted") != 0) | (F.col("seq") != F.col("_first"))
+        reason = F.coalesce(reason, F.when(gone, "already_gone"))
+    checked = read.join(state, LISTING, "left").withColumn("reason", reason)
     return checked.select(
         "seq", *LISTING, F.col("account_id").alias("buyer_id"), "seller_id", F.col("payMethod").alias("payment_method"),
         "price", "claimed", "reason",

@@ -109,5 +109,17 @@ def test_running_number_with_null_and_equal_order_values(spark):
 
 def test_hot_key_is_cut_into_even_blocks(spark):
     df = spark.range(100_000).selectExpr("if(id % 3 = 0, 0, id) AS k", "id AS o")
-    sizes = ordered.with_blocks(df, ["k"], "o", share=0.01, min_rows=0).where("k = 0").groupBy("_block").count().collect()
+    every, large = ordered.with_blocks(df, ["k"], "o", share=0.01, min_rows=0)
+    sizes = every.where("k = 0").groupBy("_block").count().collect()
     assert len(sizes) >= 33 and max(r["count"] for r in sizes) <= 1100
+    assert large.count() == 33_334 and every.count() == 100_000
+
+
+def test_block_with_a_third_of_the_rows_is_cut_again(spark):
+    """One order value far away from all others would leave everything in one block."""
+    df = spark.range(60_000).selectExpr("if(id = 7, bigint(1e15), id) AS o", "'k' AS k")
+    every, _ = ordered.with_blocks(df, ["k"], "o", share=0.01, min_rows=0)
+    assert max(r["count"] for r in every.groupBy("_block").count().collect()) <= 700
+    for keys in (["k"], []):
+        got = ordered.running_number(df, keys, "o", share=0.01, min_rows=0).orderBy("o").select("n").collect()
+        assert [r.n for r in got] == list(range(1, 60_001))
