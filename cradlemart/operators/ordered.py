@@ -126,7 +126,9 @@ def running_sums(
     read several times, all but once for its key and order columns only, so it should be a stored one.
     """
     every, large = _blocks(df, keys, order, share, min_rows, even=cut_all or not keys)
-    along = Window.partitionBy(*keys, BLOCK).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    # Few-valued keys come after the block, which tells rows apart faster when sorting.
+    groups = [BLOCK, *keys] if cut_all else [*keys, BLOCK]
+    along = Window.partitionBy(*groups).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     local = every.select("*", *[F.sum(value).over(along).alias(name) for name, value in sums.items()])
     return carry(local, _carried(large, keys, sums), keys).selectExpr(
         *[f"`{c}`" for c in df.columns], *[f"bigint({name} + coalesce(_before_{name}, 0)) AS {name}" for name in sums]

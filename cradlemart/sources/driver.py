@@ -69,7 +69,8 @@ class DriverViews:
         )
 
     def category(self) -> DataFrame:
-        return self.spark.createDataFrame(list(CATEGORIES.items()), "category_id string, category_name string")
+        rows = ", ".join(f"('{key}', '{name}')" for key, name in CATEGORIES.items())
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(category_id, category_name)")
 
     def listing(self) -> DataFrame:
         orders = self.table("orders").selectExpr("*", "o_orderkey % 200 AS p_partkey")
