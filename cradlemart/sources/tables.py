@@ -191,3 +191,13 @@ def marketplace(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
             },
         ),
     }
+
+
+def for_listing(views: dict[str, DataFrame], channel: str, listing_id: str) -> dict[str, DataFrame]:
+    """The views narrowed to one listing, for a single item page.
+
+    The filter is put on every table that knows the listing. Spark would not carry it over from a
+    filter on the joined result, since one half of the sale and rental union is empty then.
+    """
+    key = (F.col("channel") == channel) & (F.col("listing_id") == listing_id)
+    return {name: df.where(key) if {"channel", "listing_id"} <= set(df.columns) else df for name, df in views.items()}

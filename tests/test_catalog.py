@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cradlemart.operators import catalog
-from cradlemart.sources.tables import load_tables, marketplace
+from cradlemart.sources.tables import for_listing, load_tables, marketplace
 
 from . import shop
 
@@ -113,3 +113,22 @@ def test_viewer_action(spark, m):
     assert got == {
         pairs[0]: "owner", pairs[1]: "owner_sold", pairs[2]: "owner", pairs[3]: "sold", pairs[4]: "buy",
     }
+
+
+def test_key_reaches_every_scan(m):
+    """One listing reads one table of each twin pair, with the key pushed down and only its columns."""
+    own = for_listing(m, "sale", "00001")
+    one = catalog.visible(catalog.browse(own["listing"], own["photo"]))
+    plan = one._jdf.queryExecution().executedPlan()
+    scans = [line for line in plan.toString().splitlines() if "FileScan" in line]
+    assert len(scans) == 2
+    assert all("(saleId#" in line and "= 00001)" in line for line in scans)
+    assert not any("productDescription" in line for line in scans)
+    assert [r.listing_id for r in one.collect()] == ["00001"]
+    page = catalog.item_detail(own["listing"], own["photo"], own["category"]).collect()
+    assert [(r.listing_id, len(r.photos)) for r in page] == [("00001", 4)]
+
+
+def test_facets_do_not_shuffle(m):
+    plan = catalog.facet_index(m["listing"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
