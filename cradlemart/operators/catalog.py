@@ -19,10 +19,10 @@ def cover_photos(photos: DataFrame) -> DataFrame:
     return photos.groupBy(*LISTING).agg(F.max("path").alias("cover"))
 
 
-def browse(listings: DataFrame, photos: DataFrame) -> DataFrame:
-    """The grid: every listing with its cover, whole-yen price, status and deletion flag."""
+def browse(listings: DataFrame, photos: DataFrame, *more: str) -> DataFrame:
+    """The grid: every listing with its cover, whole-yen price, status and deletion flag (and ``more`` columns)."""
     return listings.join(cover_photos(photos), LISTING, "left").select(
-        *LISTING, "cover", whole_yen(F.col("price")).alias("price"), "name", "status", "deleted"
+        *LISTING, "cover", whole_yen(F.col("price")).alias("price"), "name", "status", "deleted", *more
     )
 
 
@@ -176,9 +176,8 @@ def seller(listings: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def storefront(listings: DataFrame, photos: DataFrame, channels: tuple[str, ...] = ("sale",)) -> DataFrame:
     """The listings on each account's profile page; the site shows sales only."""
-    own = listings.where(F.col("channel").isin(*channels))
-    grid = browse(own, photos.where(F.col("channel").isin(*channels)))
-    return grid.join(own.select(*LISTING, "seller_id"), LISTING)
+    shown = F.col("channel").isin(*channels)
+    return browse(listings.where(shown), photos.where(shown), "seller_id")
 
 
 def viewer_action(pairs: DataFrame, listings: DataFrame) -> DataFrame:

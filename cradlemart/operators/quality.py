@@ -12,7 +12,7 @@ from ..schemas import (
 )
 from ..session import stored
 
-# (?d) leaves \n as the only line end and (?U) lets \d take the digits of every script.
+# The forms' patterns. (?d) leaves \n as the only line end and (?U) lets \d take the digits of every script.
 PASSWORD = r"(?dU)^(?=.*[a-zA-Z])(?=.*\d).{8,}$"
 NAME = "(?d)^[\\u4E00-\\u9FFF\\u3040-\\u309F\\u30A0-\\u30FF]+$"
 KANA = "(?d)^[\\u30A0-\\u30FF]+$"
@@ -137,12 +137,13 @@ def validate_profile_changes(changes: DataFrame, accounts: DataFrame) -> DataFra
     Names are compared with the table as it is before the batch; a free name goes to the first
     account that asks for it. A name given up in the batch is free again in the next one.
     """
+    # One owner per name before the join, so that a name many ask for can be split there.
     held = accounts.select("account_name", F.col("account_id").alias("_holder"))
     first = changes.groupBy("account_name").agg(F.min_by("account_id", "seq").alias("_first"))
-    taken = F.coalesce("_holder", "_first") != F.col("account_id")
+    owner = first.join(held, "account_name", "left").select("account_name", F.coalesce("_holder", "_first").alias("_owner"))
+    taken = F.col("_owner") != F.col("account_id")
     return (
-        changes.join(held, "account_name", "left")
-        .join(first, "account_name", "left")
+        changes.join(owner, "account_name", "left")
         .transform(validate, [("username", F.when(taken, "taken"))])
         .select(*changes.columns, "errors")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_digits
 from ..schemas import LISTED, PAY_POINTS, SOLD
+from ..session import stored
 from .catalog import LISTING
 from .writes import assign_ids
 
@@ -60,13 +61,14 @@ def settle(
 ) -> Settlement:
     """Turn purchases into new transaction rows, ledger events, listing updates and rejects.
 
-    The seller is always credited; the buyer is debited when paying with points.
+    The seller is always credited; the buyer is debited when paying with points. The checked
+    purchases are written once, as all four outputs and the numbering read them.
     """
-    return split_settlement(check_purchases(purchases, listings, mode), transactions)
+    return split_settlement(stored(check_purchases(purchases, listings, mode)), transactions)
 
 
 def split_settlement(checked: DataFrame, transactions: DataFrame) -> Settlement:
-    """The four outputs of a checked batch (persist ``checked`` when writing them all)."""
+    """The four outputs of a checked batch, which should be a stored or persisted one."""
     accepted = checked.where(F.col("reason").isNull())
     credit = F.struct(F.col("seller_id").alias("account_id"), F.lit("credit").alias("kind"))
     debit = F.when(

@@ -35,7 +35,6 @@ def _errors(*rules: tuple[str, str]) -> str:
 
 _SHOWN = "'%Y-%m-%d %H:%M:%S'"
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
-_FW = "translate(CAST(CAST(floor(value * 1000000) AS BIGINT) AS VARCHAR), '0123456789', '０１２３４５６７８９')"
 
 VIEWS = {
     "account": """
