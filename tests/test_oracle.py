@@ -4,7 +4,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from cradlemart.plans.oracle import ORACLE
+from cradlemart.plans.queries import QUERIES
 
 from .compare import difference, duck
 
@@ -17,13 +19,13 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_as_sql(spark, con, name):
     assert difference(spark, con, name, SF)[1] == ""
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE) == set(QUERIES)
 
 
 def test_entry(spark):
