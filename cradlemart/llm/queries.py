@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import find_contamination, is_contaminated
 from .exact_dedup import DedupIndex
 
 
@@ -17,15 +18,44 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
+    )
+
+
+SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 LLM_QUERIES = {
+    "op10_decontaminate": op10_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
 }
 
 LLM_ORACLE = {
-    "op2_exact_dedup": """
+    "op10_decontaminate": rf"""
+        WITH b AS (SELECT item_id, regexp_extract_all({SQL_LOWER}, '{SQL_LETTERS}') AS w FROM benchmark),
+        bs AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+        bw AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2),
+                   i -> array_to_string(w[i:i + n - 1], ' '))) AS win FROM bs),
+        d AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '{SQL_LETTERS}') AS w FROM documents),
+        dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS at,
+                   unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' '))) AS win
+               FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+        hits AS (SELECT DISTINCT doc_id, at, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+        places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                   FROM (SELECT doc_id, unnest(range(at, at + n)) AS p FROM hits) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op2_exact_dedup": f"""
         WITH t AS (
-            SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                                            'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+            SELECT doc_id, sha256({SQL_LOWER}) AS text_sha256
             FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
