@@ -3,8 +3,7 @@
 A text's key is the leading 64 bits of the SHA-256 of its normalised bytes (A-Z lower-cased). The
 index has a directory of 2^g entries, each naming a bucket by its own depth and leading key bits; a
 bucket that holds more keys than it may is split by one more bit, and the directory doubles when a
-bucket gets deeper than it. A key that occurs once needs no comparison. Texts that share a key are
-compared byte by byte; texts that differ under one key follow each other in that key's chain. Copies
+bucket gets deeper than it. Texts that share a key are compared byte by byte; texts that differ under one key follow each other in that key's chain. Copies
 are collapsed by each scan task before anything is shuffled, so a text with a third of all rows
 costs one row per task. The index files are written by owner tasks, each with a range of buckets.
 
@@ -83,7 +82,7 @@ def directory_entries(buckets: DataFrame, depth: int) -> DataFrame:
 
 
 class DedupIndex:
-    """Rows by key, and the chains of keys that occur more than once, all in shared files."""
+    """Rows by key, the directory, and one node per distinct text in buckets, all in shared files."""
 
     def __init__(
         self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = KEY_BITS,
@@ -91,21 +90,12 @@ class DedupIndex:
     ):
         docs = only(docs, id=id_col, text=text_col)
         self.entries = stored(_keyed(docs, key_bits, with_text=False))
-        self.slots = stored(self.entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-        self.buckets = directory(self.slots, bucket_keys)
-        shared = self.slots.where("n > 1").select("key")
         # Equal bytes meet in one group; each scan task sends a text once, however often it has it.
-        texts = (
-            _keyed(docs, key_bits, with_text=True)
-            .join(shared, "key", "left_semi")
-            .groupBy("key", "sha", "bytes")
-            .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        texts = _keyed(docs, key_bits, with_text=True).groupBy("key", "sha", "bytes").agg(
+            F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
         )
-        order = Window.partitionBy("key").orderBy("sha")
-        self.chains = stored(
-            texts.select("key", "sha", "keep_id", "group_size", F.row_number().over(order).alias("chain"))
-        )
-
+        self.texts = stored(texts.select("key", "sha", "keep_id", "group_size"))
+        self.buckets = directory(self.texts.select("key").distinct(), bucket_keys)
         self.path = self._write()
 
     def _write(self) -> str:
@@ -114,13 +104,10 @@ class DedupIndex:
         self.buckets.write.parquet(f"{path}/directory")
         buckets = self.entries.sparkSession.read.parquet(f"{path}/directory")
         depth = buckets.agg(F.max("depth")).first()[0] or 0
-        single = self.entries.join(self.slots.where("n = 1").select("key"), "key", "left_semi").select(
-            "key", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
-            F.lit(1).alias("chain"),
-        )
+        order = Window.partitionBy("key").orderBy("sha")
         entry = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("bigint")
         (
-            self.chains.unionByName(single)
+            self.texts.withColumn("chain", F.row_number().over(order))
             .withColumn("entry", entry)
             .join(directory_entries(buckets, depth), "entry")
             .select("bucket_depth", "bucket_prefix", "key", "chain", "sha", "keep_id", "group_size")
