@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
 from .common import table
 from .decontaminate import find_contamination, is_contaminated
 from .exact_dedup import DedupIndex
+from .licenses import detect, summarise
+from .mixing import mix_sources
+from .secret_scan import BASE_KINDS, scan_versions, span_text
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,27 +30,55 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarise(detect(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_versions(table(spark, sf_dir, "documents"))
+
+    def of(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint")
+
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
+    return found.select(
+        F.col("path").alias("doc_id"), *(of(k).alias(f"n_{k}") for k in BASE_KINDS),
+        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "source", "language", "topic", "tokens",
+        F.round("multiplier", 6).alias("multiplier"), F.round("expected", 6).alias("expected"), "copies",
+    )
+
+
 SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 LLM_QUERIES = {
+    "op4_license_scan": op4_license_scan,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
 }
 
 LLM_ORACLE = {
+    "op9_mix_sources": mixing.oracle_sql(),
     "op10_decontaminate": rf"""
         WITH b AS (SELECT item_id, regexp_extract_all({SQL_LOWER}, '{SQL_LETTERS}') AS w FROM benchmark),
         bs AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
         bw AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2),
-                   i -> array_to_string(w[i:i + n - 1], ' '))) AS win FROM bs),
+                   lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win FROM bs),
         d AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '{SQL_LETTERS}') AS w FROM documents),
-        dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS at,
-                   unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' '))) AS win
+        dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos,
+                   unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win
                FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
-        hits AS (SELECT DISTINCT doc_id, at, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+        hits AS (SELECT DISTINCT doc_id, pos, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
         places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
-                   FROM (SELECT doc_id, unnest(range(at, at + n)) AS p FROM hits) GROUP BY doc_id),
+                   FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY doc_id),
         named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
                   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
