@@ -9,8 +9,10 @@ from . import mixing
 from .common import table
 from .decontaminate import find_contamination, is_contaminated
 from .exact_dedup import DedupIndex
+from .language import identify
 from .licenses import detect, summarise
 from .mixing import mix_sources
+from .quality import THRESHOLD, score_quality
 from .secret_scan import BASE_KINDS, scan_versions, span_text
 
 
@@ -34,6 +36,15 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise(detect(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("id", "doc_id").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_versions(table(spark, sf_dir, "documents"))
 
@@ -59,6 +70,8 @@ SQL_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 LLM_QUERIES = {
     "op4_license_scan": op4_license_scan,
+    "op5_quality": op5_quality,
+    "op7_language": op7_language,
     "op6_secret_scan": op6_secret_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
