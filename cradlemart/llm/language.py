@@ -199,9 +199,11 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     order = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("bigint")
     chosen = rows.join(counts, "lang").where(order / F.lit(float(2**48)) * F.col("n") < per_language)
-    sample = _examples(chosen).toPandas()
-    sample = sample.iloc[sorted(range(len(sample)), key=lambda i: (sample["lang"][i], sample["rows"][i].tobytes()))]
-    return fit(sample["lang"].tolist(), list(zip(sample["rows"], sample["shares"], strict=True)))
+    sample = _examples(chosen).toArrow().combine_chunks()
+    langs = sample["lang"].to_pylist()
+    examples = [(r.values.to_numpy(), v.values.to_numpy()) for r, v in zip(sample["rows"], sample["shares"], strict=True)]
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], examples[i][0].tobytes(), examples[i][1].tobytes()))
+    return fit([langs[i] for i in order], [examples[i] for i in order])
 
 
 def _has_letter(text: np.ndarray) -> bool:
