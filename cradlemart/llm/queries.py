@@ -9,6 +9,7 @@ from . import mixing
 from .common import table
 from .decontaminate import find_contamination, is_contaminated
 from .exact_dedup import DedupIndex
+from .html_text import extract_main_text
 from .language import identify
 from .licenses import detect, summarise
 from .mixing import mix_sources
@@ -16,6 +17,13 @@ from .quality import THRESHOLD, score_quality
 from .secret_scan import BASE_KINDS, scan_versions, span_text
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select(
+        F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = DedupIndex(table(spark, sf_dir, "documents")).classes()
     return classes.select(
@@ -69,6 +77,7 @@ SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdef
 SQL_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 LLM_QUERIES = {
+    "op1_html_text": op1_html_text,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op7_language": op7_language,
