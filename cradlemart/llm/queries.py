@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import find_contamination, is_contaminated
 from .exact_dedup import DedupIndex
 from .html_text import extract_main_text
+from .jaccard_join import similar_documents
 from .language import identify
 from .licenses import detect, summarise
 from .mixing import mix_sources
@@ -40,6 +41,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise(detect(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
@@ -78,6 +83,7 @@ SQL_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 LLM_QUERIES = {
     "op1_html_text": op1_html_text,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op7_language": op7_language,
