@@ -14,8 +14,8 @@ Jaccard threshold.
 
 Lists are not expanded to all pairs. First every member of a list is compared with the list's
 pivot, the member with the fewest rarer shingles, and components are formed. Then only members of
-different components that still share a list are compared, unless the positions of their common
-shingles rule a link out. Comparisons are made on the texts, exactly. So no link between different
+different components that still share a list are compared, unless the number of shingles that
+either can still share from there on rules a link out. Comparisons are made on the texts, exactly. So no link between different
 components is lost, and members of one component need no further comparison.
 
 Sets and lists are named by 64-bit hashes. Rules for odd input: null and wordless texts have the
@@ -26,16 +26,16 @@ Empty tables give an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import only, stored
 from .components import components
@@ -190,13 +190,19 @@ def _entries(docs: DataFrame, counts: np.ndarray, limit: int, width: int, percen
     return docs.select("id", "text").mapInArrow(rows, "token bigint, node bigint, n int, pos int")
 
 
+def _need(a: str, b: str, percent: int) -> str:
+    """SQL: the overlap that two sets need."""
+    return f"ceil({percent}D * ({a}.n + {b}.n) / {100 + percent} - 1e-9)"
+
+
+def _sizes_fit(a: str, b: str, percent: int) -> str:
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+
+
 def _may_link(a: str, b: str, percent: int) -> str:
     """SQL: sizes and the place of one common shingle in both allow a link."""
-    need = f"ceil({percent}D * ({a}.n + {b}.n) / {100 + percent} - 1e-9)"
-    return (
-        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND "
-        f"least({a}.pos, {b}.pos) + 1 + least({a}.n - {a}.pos, {b}.n - {b}.pos) - 1 >= {need}"
-    )
+    after = f"least({a}.n - {a}.pos, {b}.n - {b}.pos)"
+    return f"{_sizes_fit(a, b, percent)} AND least({a}.pos, {b}.pos) + {after} >= {_need(a, b, percent)}"
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -283,28 +289,28 @@ def similar_documents(
     def labelled(found: DataFrame) -> DataFrame:
         return found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    named = stored(labelled(heavy.select("token", "node", "n", "pos", F.col("p.node").alias("pivot")).distinct()))
+    # What a set can still share from a list's shingle on: its shingles beyond the prefix and those of
+    # its prefix, from there on, that stand in a list at all. A linked pair meets this bound at the first
+    # shingle that both share, so it is enough to make pairs where the bound holds.
+    onward = Window.partitionBy("node").orderBy(F.desc("pos"))
+    members = heavy.select("token", "node", "n", "pos", F.col("p.node").alias("pivot")).distinct()
+    members = members.withColumn("rest", F.expr(f"ceil({percent}D * n / 100 - 1e-9) - 1") + F.row_number().over(onward))
+    named = stored(labelled(members))
     open_lists = named.groupBy("token").agg(
         F.min("label").alias("low"), F.max("label").alias("high"),
         F.max(F.when(F.col("node") == F.col("pivot"), F.col("label"))).alias("main"),
     ).where("low <> high").select("token", "main")
-    open_rows = named.join(open_lists, "token").select("token", "node", "n", "pos", "label", "main")
+    open_rows = named.join(open_lists, "token").select("token", "node", "n", "rest", "label", "main")
     left, right = open_rows.where("label <> main").alias("x"), open_rows.alias("y")
-    shared = left.join(right, F.expr(f"x.token = y.token AND x.label <> y.label AND {_may_link('x', 'y', percent)}"))
-    a_first = F.col("x.node") < F.col("y.node")
-    canonical = shared.select(
-        F.col("x.token").alias("token"), F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
-        (F.col("x.n") + F.col("y.n")).alias("both"),
-        F.when(a_first, F.col("x.pos")).otherwise(F.col("y.pos")).alias("pos_a"),
-        F.when(a_first, F.col("y.pos")).otherwise(F.col("x.pos")).alias("pos_b"),
-        F.when(a_first, F.col("x.n")).otherwise(F.col("y.n")).alias("n_a"),
-        F.when(a_first, F.col("y.n")).otherwise(F.col("x.n")).alias("n_b"),
-    ).distinct()
-    rest = canonical.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"),
-        F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first("both").alias("both"),
-    ).where(f"c + least(n_a - pos_a - 1, n_b - pos_b - 1) >= ceil({percent}D * both / {100 + percent} - 1e-9)")
-    more = _linked(rest.select("a", "b"), texts, width, percent)
+    shared = left.join(
+        right,
+        F.expr(
+            f"x.token = y.token AND x.label <> y.label AND {_sizes_fit('x', 'y', percent)} "
+            f"AND least(x.rest, y.rest) >= {_need('x', 'y', percent)}"
+        ),
+    )
+    rest = shared.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    more = _linked(rest, texts, width, percent)
     labels = components(links.unionByName(more))
     joined = labels.join(nodes, "node").groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_node = labels.join(joined, "label").select("node", "component_id")
