@@ -226,8 +226,12 @@ def fit_on_labels(features: DataFrame, labels: DataFrame, sample_rows: int = SAM
     """The model from at most ``sample_rows`` labelled rows; None without labels of both kinds."""
     labels = labels.where("id IS NOT NULL AND label IS NOT NULL").where(~held_out(F.col("id")))
     labels = labels.groupBy("id").agg(F.max("label").alias("label"))
-    rows = features.join(labels, "id").select("features", "label", F.md5(F.col("id").cast("string")).alias("order"))
-    sample = rows.orderBy("order", "features").limit(sample_rows).select("features", "label").toPandas()
+    draw = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 12), 16, 10).cast("bigint") / F.lit(float(2**48))
+    rows = stored(features.join(labels, "id").select("features", "label", draw.alias("draw")))
+    # About this share of the rows, whatever their number: only the sample itself goes to the driver.
+    share = 0.98 * sample_rows / max(1, rows.count())
+    sample = rows.where(F.col("draw") < share).limit(sample_rows).toPandas()
+    sample = sample.iloc[sorted(range(len(sample)), key=lambda i: (sample["draw"][i], tuple(sample["features"][i])))]
     if sample["label"].nunique() < 2:
         return None
     return fit(np.array(sample["features"].tolist(), np.float32), (sample["label"] > 0).to_numpy())
