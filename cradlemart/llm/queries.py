@@ -16,6 +16,7 @@ from .licenses import detect, summarise
 from .mixing import mix_sources
 from .quality import THRESHOLD, score_quality
 from .secret_scan import BASE_KINDS, scan_versions, span_text
+from .substrings import repeated_passages
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "duplicate_words", F.size("passages").cast("bigint").alias("n_passages"),
+        F.array_sort(F.array_distinct(F.transform("passages", lambda p: p["partner"]))).alias("partner_ids"), "passages",
+    )
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "source", "language", "topic", "tokens",
@@ -88,6 +96,7 @@ LLM_QUERIES = {
     "op5_quality": op5_quality,
     "op7_language": op7_language,
     "op6_secret_scan": op6_secret_scan,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
