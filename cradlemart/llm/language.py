@@ -33,6 +33,7 @@ from .tokens import LETTERS, Words, words
 BITS = 15
 ORDERS = (2, 3, 4)
 PER_LANGUAGE = 500
+MAX_LANGUAGES = 1000
 CUTS = 3  # short cuts of each training text
 UNKNOWN = "und"
 
@@ -198,7 +199,10 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     order = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("bigint")
-    chosen = rows.join(counts, "lang").where(order / F.lit(float(2**48)) * F.col("n") < per_language)
+    # One row for each language, for each of which the model has machines of its own: so few that they may be broadcast.
+    if counts.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to tell apart")
+    chosen = rows.join(F.broadcast(counts), "lang").where(order / F.lit(float(2**48)) * F.col("n") < per_language)
     sample = _examples(chosen).toArrow().combine_chunks()
     langs = sample["lang"].to_pylist()
     examples = [(r.values.to_numpy(), v.values.to_numpy()) for r, v in zip(sample["rows"], sample["shares"], strict=True)]
