@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,6 @@ from .ordered import MIN_ROWS, SHARE, paged_lists, running_number
 
 # The id comes first: sorts compare their first key fast, and a channel alone hardly tells rows apart.
 LISTING = ["listing_id", "channel"]
-BROADCAST_TERMS = 100_000
 
 
 def cover_photos(photos: DataFrame) -> DataFrame:
@@ -36,36 +37,36 @@ def keyword_search(listings: DataFrame, terms: list[str] | DataFrame, wildcards:
     """Listings whose name contains a term, one row per (term, listing), case-sensitive.
 
     A list of terms is tested in one pass over the listings. A DataFrame with a ``term`` column may
-    be of any size: the names' substrings of the term lengths are matched by an equi-join, so the
-    work is names x lengths and not names x terms. Up to 100,000 terms (counted first) go to every
-    executor; more are shuffled. ``wildcards`` lets ``%`` and ``_`` in a listed
-    term match as in LIKE.
+    be of any size: the distinct names' substrings of the term lengths are matched by an equi-join,
+    so the work is names x lengths and not names x terms, and the hits are joined back by name.
+    ``wildcards`` lets ``%`` and ``_`` in a listed term match as in LIKE; a backslash before anything
+    else stands for itself.
     """
     if isinstance(terms, DataFrame):
         if wildcards:
             raise ValueError("wildcards need the terms as a list")
         wanted = terms.select("term").where(F.col("term").isNotNull()).distinct()
-        if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-            wanted = F.broadcast(wanted)
         lengths = wanted.agg(F.collect_set(F.length("term")).alias("_lengths")).scalar()
-        starts = F.when(
-            F.col("_len") <= F.length("name"), F.sequence(F.lit(1), F.length("name") - F.col("_len") + 1)
-        )
-        pieces = (
-            listings.withColumn("_len", F.explode(lengths))
-            .withColumn("_parts", F.array_distinct(F.transform(starts, lambda i: F.substring("name", i, F.col("_len")))))
-            .withColumn("term", F.explode("_parts"))
-            .drop("_len", "_parts")
+        names = listings.select("name").where(F.col("name").isNotNull()).distinct()
+        sized = names.withColumn("_len", F.explode(lengths)).where(F.col("_len") <= F.length("name"))
+        pieces = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("_len") + 1))).select(
+            "name", F.col("name").substr(F.col("_at"), F.col("_len")).alias("term")
         )
-        return pieces.join(wanted, "term", "left_semi").select("term", *listings.columns)
+        hits = pieces.join(wanted, "term", "left_semi").distinct()
+        return listings.join(hits, "name").select("term", *listings.columns)
 
     def hit(term: str) -> Column:
-        return F.col("name").like(f"%{term}%") if wildcards else F.col("name").contains(term)
+        return F.col("name").like(f"%{_like(term)}%") if wildcards else F.col("name").contains(term)
 
     found = _one_row_each(listings, "term", [F.when(hit(term), F.lit(term)) for term in terms])
     return found.select("term", *listings.columns)
 
 
+def _like(term: str) -> str:
+    """A term as LIKE reads it, with backslashes that escape nothing doubled."""
+    return re.sub(r"\\([%_\\])?", lambda m: m[0] if m[1] else "\\\\", term)
+
+
 def _one_row_each(df: DataFrame, name: str, values: list[Column]) -> DataFrame:
     """One row per value that is not null; stays within generated code, unlike array filters."""
     return df.withColumn(name, F.explode(F.array(*values))).where(F.col(name).isNotNull())

@@ -9,23 +9,25 @@ from ..functions.text import ascii_digits
 from ..schemas import CAP
 from .ordered import BLOCK, MIN_ROWS, SHARE, carry, with_blocks
 
-HUGE = 10**12  # a grant this large reaches the cap from any balance the site can produce
+MONEY = "decimal(38,0)"
+# Debits are 64-bit numbers, so with fewer than 10^9 of them no balance is low enough to keep a grant
+# of this size below the cap: such a grant always leaves exactly the cap, and sums stay within 38 digits.
+SURE = 10**28
 
 
 def points_commands(searches: DataFrame) -> DataFrame:
     """Search texts (seq, account_id, search_box) to grant and reset events.
 
-    A number too long for decimal(38,0) gives the largest one, which the cap cuts anyway.
+    Amounts have up to 38 digits; a longer number is null, which the ledger reads as beyond the cap.
     """
     digits = F.regexp_extract("search_box", r"(?U)\ApointGet(\d+)\z", 1)
-    number = F.coalesce(ascii_digits(digits).try_cast("decimal(38,0)"), F.lit(HUGE).cast("decimal(38,0)"))
     is_reset = F.col("search_box") == "pointReset"
     is_grant = digits != ""
     return searches.where(is_reset | is_grant).select(
         "account_id",
         "seq",
         F.when(is_reset, "reset").otherwise("grant").alias("kind"),
-        F.when(is_reset, 0).otherwise(F.least(number, F.lit(HUGE)).cast("bigint")).cast("bigint").alias("amount"),
+        F.when(is_reset, F.lit(0).cast(MONEY)).otherwise(ascii_digits(digits).try_cast(MONEY)).alias("amount"),
     )
 
 
@@ -46,13 +48,13 @@ def _steps(events: DataFrame, part: list[str], order: list[str]) -> DataFrame:
     """
     w = f"OVER (PARTITION BY {', '.join(part)} ORDER BY {', '.join(order)} ROWS UNBOUNDED PRECEDING)"
     return (
-        events.selectExpr("*", f"count(set_to) {w} AS sets", f"sum(delta) {w} AS _sum")
+        events.selectExpr("*", f"count(set_to) {w} AS sets", f"CAST(sum(delta) {w} AS {MONEY}) AS _sum")
         .selectExpr(
             "*",
-            f"_sum - coalesce(last(if(set_to IS NULL, NULL, _sum - set_to), true) {w}, 0) AS cum",
+            f"CAST(_sum - coalesce(last(if(set_to IS NULL, NULL, _sum - set_to), true) {w}, 0BD) AS {MONEY}) AS cum",
         )
         # The largest (sets, sum) pair so far belongs to the newest stretch that has a cut.
-        .selectExpr("*", f"max(if(peak IS NULL, NULL, struct(sets, cum - delta + peak AS sum))) {w} AS _best")
+        .selectExpr("*", f"max(if(peak IS NULL, NULL, struct(sets, CAST(cum - delta + peak AS {MONEY}) AS sum))) {w} AS _best")
         .selectExpr("*", "if(_best.sets = sets, _best.sum, NULL) AS top")
         .drop("_sum", "_best")
     )
@@ -60,8 +62,8 @@ def _steps(events: DataFrame, part: list[str], order: list[str]) -> DataFrame:
 
 def _balance(opening: str) -> str:
     """SQL for the running balance: the sum less whatever the cap has cut off so far."""
-    start = f"if(sets = 0, {opening}, 0)"
-    return f"{start} + cum - coalesce(greatest(0, {start} + top - {CAP}), 0)"
+    start = f"if(sets = 0, {opening}, 0BD)"
+    return f"CAST({start} + cum - coalesce(greatest(0BD, {start} + top - {CAP}BD), 0BD) AS {MONEY})"
 
 
 def points_ledger(
@@ -69,10 +71,11 @@ def points_ledger(
 ) -> DataFrame:
     """Balance after every event (account_id, seq, kind, amount), applied in ``seq`` order.
 
-    An account has at most one event per (seq, kind). grant n adds n and stops at the cap; reset sets 0; credit and debit are not limited.
+    An account has at most one event per (seq, kind). grant n adds n and stops at the cap (null: beyond the cap); reset sets 0; credit and debit are not limited.
+    Amounts and balances are decimal(38,0).
     ``opening`` (account_id, points) gives balances before the first event; its rows carry no seq.
     """
-    known = events.select("account_id", "seq", "kind", F.col("amount").cast("bigint").alias("amount")).where(
+    known = events.select("account_id", "seq", "kind", F.col("amount").cast(MONEY).alias("amount")).where(
         F.col("kind").isin("grant", "reset", "credit", "debit")
     )
     if opening is not None:
@@ -81,12 +84,14 @@ def points_ledger(
                 "account_id",
                 F.lit(None).cast("bigint").alias("seq"),
                 F.lit("credit").alias("kind"),
-                F.col("points").cast("bigint").alias("amount"),
+                F.col("points").cast(MONEY).alias("amount"),
             )
         )
     moves = (
         known.selectExpr(
-            "*", f"bigint(CASE WHEN kind = 'reset' THEN 0 WHEN kind = 'grant' AND amount >= {HUGE} THEN {CAP} END) AS set_to"
+            "*",
+            f"""CAST(CASE WHEN kind = 'reset' THEN 0 WHEN kind = 'grant' AND (amount IS NULL OR amount >= {SURE}BD)
+                THEN {CAP} END AS {MONEY}) AS set_to""",
         )
         .selectExpr("*", "coalesce(set_to, if(kind = 'debit', -amount, amount)) AS delta")
         .selectExpr("*", "if(kind = 'grant' AND set_to IS NULL, delta, NULL) AS peak")
@@ -102,16 +107,16 @@ def points_ledger(
         .select("account_id", BLOCK, "end.*")
     )
     as_events = ends.selectExpr(
-        "account_id", BLOCK, f"if(sets > 0, {_balance('0')}, NULL) AS set_to",
-        f"if(sets > 0, {_balance('0')}, cum) AS delta", "if(sets = 0, top, NULL) AS peak",
+        "account_id", BLOCK, f"if(sets > 0, {_balance('0BD')}, NULL) AS set_to",
+        f"if(sets > 0, {_balance('0BD')}, cum) AS delta", "if(sets = 0, top, NULL) AS peak",
     )
     opened = (
         _steps(as_events, ["account_id"], [BLOCK])
-        .selectExpr("account_id", BLOCK, f"{_balance('0')} AS _close")
+        .selectExpr("account_id", BLOCK, f"{_balance('0BD')} AS _close")
         .selectExpr("account_id", BLOCK, f"lag(_close) OVER (PARTITION BY account_id ORDER BY {BLOCK}) AS _open")
     )
     return carry(local, opened, ["account_id"]).selectExpr(
-        "account_id", "seq", "kind", "amount", f"{_balance('coalesce(_open, 0)')} AS balance"
+        "account_id", "seq", "kind", "amount", f"{_balance('coalesce(_open, 0BD)')} AS balance"
     )
 
 
@@ -121,19 +126,20 @@ def last_balance(ledger: DataFrame) -> DataFrame:
 
 
 def points_balance(accounts: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Current points of every account, 0 where the ledger has none."""
+    """Current points of every account as decimal(38,0), 0 where the ledger has none."""
     return (
         accounts.select("account_id")
         .join(last_balance(ledger), "account_id", "left")
-        .select("account_id", F.coalesce("points", F.lit(0)).cast("bigint").alias("points"))
+        .select("account_id", F.coalesce("points", F.lit(0)).cast(MONEY).alias("points"))
     )
 
 
 def point_deltas(events: DataFrame) -> DataFrame:
-    """Sum of credits and debits per account for one batch."""
-    signed = F.when(F.col("kind") == "debit", -F.col("amount")).otherwise(F.col("amount"))
+    """Sum of credits and debits per account for one batch, as decimal(38,0)."""
+    amount = F.col("amount").cast("decimal(28,0)")  # sums have ten digits more
+    signed = F.when(F.col("kind") == "debit", -amount).otherwise(amount)
     return (
         events.where(F.col("kind").isin("credit", "debit"))
         .groupBy("account_id")
-        .agg(F.sum(signed).cast("bigint").alias("delta"))
+        .agg(F.sum(signed).cast(MONEY).alias("delta"))
     )

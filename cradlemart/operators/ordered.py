@@ -1,11 +1,11 @@
 """Ordered work per key that stays spread out when one key holds a large part of all rows.
 
-A plain window sends a whole key to one task. Here a key with more than ``share`` of all rows is
-cut into blocks along its order; the window runs per (key, block) and a short table with one row
-per block carries the result of the earlier blocks on. A block that is still too large, because the
-order values lie close together, is cut once more by its own extent. There are fewer than
-``1/share`` such keys and such blocks, so the helper tables have at most a few times ``1/share``
-rows and may be broadcast whatever the data size.
+A plain window sends a whole key to one task. Here a key with more than ``min_rows`` rows (and
+``share`` of all rows, if a share is given) is cut into blocks along its order; the window runs per
+(key, block) and a table with one row per block carries the result of the earlier blocks on. A block
+that is still too large, because the order values lie close together, is cut once more by its own
+extent. There is one helper row for each ``min_rows`` rows of hot keys; Spark's own size estimate
+decides whether the helper tables are broadcast.
 
 ``order`` must be a number or a timestamp. Rows that agree in it stay in one block.
 """
@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARE = 1e-3
-MIN_ROWS = 200_000  # a key below this many rows is never worth cutting
+SHARE = 0.0
+MIN_ROWS = 2_000_000  # rows a key or block may have uncut; blocks do not grow with the data
 BLOCK = "_block"
 PARTS = 1 << 20  # more than the parts a block can be cut into
 
@@ -33,7 +33,7 @@ def _limit(df: DataFrame, share: float, min_rows: int) -> Column:
 
 
 def _extents(df: DataFrame, keys: list[str], number: str, limit: Column) -> DataFrame:
-    """Groups above the limit with the start and step of their parts: fewer than 1/share rows."""
+    """Groups above the limit with the start and step of their parts."""
     sizes = df.groupBy(*keys).agg(
         F.expr("count(1)").alias("_n"), F.expr(f"min({number})").alias("_lo"), F.expr(f"max({number})").alias("_hi")
     )
@@ -52,7 +52,7 @@ def _cut(df: DataFrame, extents: DataFrame, keys: list[str], number: str, how: s
     """Add ``_part``: 1, 2, ... along the order for the groups in ``extents``, else 0."""
     match = F.expr(" AND ".join(f"`{k}` <=> `_hot_{k}`" for k in keys))
     part = f"bigint(coalesce(1 + floor((coalesce({number}, _lo) - _lo) / _step), 0)) AS _part"
-    return df.join(F.broadcast(extents), match, how).selectExpr(*[f"`{c}`" for c in df.columns], part)
+    return df.join(extents, match, how).selectExpr(*[f"`{c}`" for c in df.columns], part)
 
 
 def _blocks(
@@ -60,12 +60,13 @@ def _blocks(
 ) -> tuple[DataFrame, DataFrame]:
     """``df`` with ``_block``, and only its rows in cut groups.
 
-    ``even`` cuts the whole table into 1/share steps of ``order`` whatever the size of its keys.
+    ``even`` cuts the whole table into steps of ``order`` whatever the size of its keys.
     """
     number, limit = _as_number(df, order), _limit(df, share, min_rows)
     columns = [f"`{c}`" for c in df.columns]
     if even:
-        step = f"greatest((max({number}) - min({number})) * double({share}), 1e-6D)"
+        parts = f"greatest(ceil(count(1) / greatest(count(1) * double({share}), double({min_rows}), 1D)), 1)"
+        step = f"greatest((max({number}) - min({number})) / {parts}, 1e-6D)"
         extent = df.agg(F.expr(f"struct(min({number}) AS lo, {step} AS step)").alias("_extent")).scalar()
         block = f"bigint(coalesce(floor(({number} - _extent.lo) / _extent.step), 0)) AS {BLOCK}"
         every = large = df.withColumn("_extent", extent).selectExpr(*columns, block)
@@ -92,11 +93,11 @@ def with_blocks(
 
 
 def carry(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Join the per-block table (a few times 1/share rows) back to the rows of its block."""
+    """Join the per-block table back to the rows of its block."""
     added = [c for c in summary.columns if c not in (*keys, BLOCK)]
     small = summary.selectExpr(*[f"`{k}` AS `_hot_{k}`" for k in (*keys, BLOCK)], *added)
     match = F.expr(" AND ".join(f"`{k}` <=> `_hot_{k}`" for k in (*keys, BLOCK)))
-    return df.join(F.broadcast(small), match, "left").select(*df.columns, *added)
+    return df.join(small, match, "left").select(*df.columns, *added)
 
 
 def _carried(large: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -158,16 +159,17 @@ def paged_lists(
     in further rows. ``lists`` maps output names to columns; nulls are skipped as in GROUP_CONCAT.
     """
     every, large = with_blocks(df, keys, order, share, min_rows)
-    # The window, the pages and the arrays all use one shuffle by (keys, block).
     place = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(order, *ties))
-    pages = every.withColumn("_no", place).withColumn("_page", F.expr(f"(_no - 1) div {page_rows}"))
-    arrays = pages.groupBy(*keys, BLOCK, "_page").agg(
-        F.expr("min(_no)").alias("_first"),
+    placed = carry(every.withColumn("_no", place), _carried(large, keys, {"rows": F.lit(1)}), keys)
+    # Pages are cut by the number within the whole key, so they do not depend on the blocks.
+    pages = placed.withColumn("_no", F.expr("bigint(_no + coalesce(_before_rows, 0))")).withColumn(
+        "_page", F.expr(f"(_no - 1) div {page_rows}")
+    )
+    arrays = pages.groupBy(*keys, "_page").agg(
+        F.expr("min(_no)").alias("first_no"),
         *[
             F.expr(f"sort_array(collect_list(if(`{c}` IS NULL, NULL, struct(_no, `{c}` AS v)))).v").alias(out)
             for out, c in lists.items()
         ],
     )
-    return carry(arrays, _carried(large, keys, {"rows": F.lit(1)}), keys).selectExpr(
-        *[f"`{k}`" for k in keys], "bigint(_first + coalesce(_before_rows, 0)) AS first_no", *lists
-    )
+    return arrays.select(*keys, "first_no", *lists)

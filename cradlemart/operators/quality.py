@@ -138,10 +138,12 @@ def validate_profile_changes(changes: DataFrame, accounts: DataFrame) -> DataFra
     account that asks for it. A name given up in the batch is free again in the next one.
     """
     # One owner per name before the join, so that a name many ask for can be split there.
-    held = accounts.select("account_name", F.col("account_id").alias("_holder"))
+    held = accounts.groupBy("account_name").agg(F.min("account_id").alias("_low"), F.max("account_id").alias("_high"))
     first = changes.groupBy("account_name").agg(F.min_by("account_id", "seq").alias("_first"))
-    owner = first.join(held, "account_name", "left").select("account_name", F.coalesce("_holder", "_first").alias("_owner"))
-    taken = F.col("_owner") != F.col("account_id")
+    owner = first.join(held, "account_name", "left").select(
+        "account_name", F.coalesce("_low", "_first").alias("_low"), F.coalesce("_high", "_first").alias("_high")
+    )
+    taken = (F.col("_low") != F.col("account_id")) | (F.col("_high") != F.col("account_id"))
     return (
         changes.join(owner, "account_name", "left")
         .transform(validate, [("username", F.when(taken, "taken"))])
@@ -207,10 +209,11 @@ POSTAL_REPLY = "results array<struct<zipcode: string, address1: string, address2
 
 
 def postal_dimension(replies: DataFrame) -> DataFrame:
-    """Postal table (zipcode, prefecture, city, town) from JSON replies in a ``body`` column."""
+    """Postal table (zipcode, prefecture, city, town) from JSON replies in a ``body`` column: the first result of each."""
     return (
         replies.select(F.from_json("body", POSTAL_REPLY).alias("r"))
-        .select(F.explode("r.results").alias("a"))
+        .select(F.get("r.results", F.lit(0)).alias("a"))
+        .where(F.col("a").isNotNull())
         .select(
             F.col("a.zipcode").alias("zipcode"), F.col("a.address1").alias("prefecture"),
             F.col("a.address2").alias("city"), F.col("a.address3").alias("town"),

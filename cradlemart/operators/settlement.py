@@ -11,6 +11,8 @@ from ..functions.text import ascii_digits
 from ..schemas import LISTED, PAY_POINTS, SOLD
 from ..session import stored
 from .catalog import LISTING
+
+LARGEST_PRICE = 9_999_999_999  # what a listing's decimal(12,2) can hold
 from .writes import assign_ids
 
 
@@ -36,7 +38,9 @@ def check_purchases(purchases: DataFrame, listings: DataFrame, mode: str = "as_i
     )
     read = read.withColumn(
         "_form_reason",
-        F.when(F.col("price").isNull() | (by_points & F.col("claimed").isNull()), "bad_number").when(
+        F.when(
+            F.col("price").isNull() | (F.col("price") > LARGEST_PRICE) | (by_points & F.col("claimed").isNull()), "bad_number"
+        ).when(
             by_points & (F.col("claimed") < F.col("price")), "not_enough_points"
         ),
     )

@@ -64,7 +64,7 @@ VIEWS = {
                CASE WHEN o_orderkey % 3 = 0 THEN {_pick(RENTAL_PERIODS, 'o_orderkey')} END AS rental_period,
                o_orderdate AS listed_at, CASE WHEN o_orderstatus = 'F' THEN '{SOLD}' ELSE '{LISTED}' END AS status,
                CAST(o_orderkey % 17 = 0 AS INT) AS deleted
-        FROM orders JOIN part ON p_partkey = o_orderkey % 200""",
+        FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)""",
     "category_status": f"""
         SELECT {_channel('o_orderkey')} AS channel, printf('%05d', o_orderkey + 1) AS status_id,
                o_orderkey AS listing_id,
@@ -83,7 +83,7 @@ VIEWS = {
     "numbered_photo": """
         SELECT *, row_number() OVER (PARTITION BY channel, listing_id ORDER BY photo_id, path) AS n FROM photo""",
     "comment_form": f"""
-        SELECT event_id AS seq, {_channel('event_id % 1500')} AS channel, event_id % 1500 AS listing_id,
+        SELECT event_id AS seq, {_channel('event_id // 3 * 31 % (SELECT count(*) FROM orders)')} AS channel, event_id // 3 * 31 % (SELECT count(*) FROM orders) AS listing_id,
                user_id AS author_id, 'comment ' || props AS content
         FROM events WHERE event_type = 'view'""",
     "comment": """
@@ -106,26 +106,29 @@ VIEWS = {
         FROM events WHERE event_type <> 'error'""",
     "purchase": f"""
         SELECT seq, {_channel('listing_id')} AS channel, listing_id, account_id, method,
-               (seq * 37) % 9700 + 300 AS price,
+               CASE WHEN seq % 70 = 11 THEN 99999999999 ELSE (seq * 37) % 9700 + 300 END AS price,
                CASE WHEN seq % 50 = 12 THEN NULL ELSE CAST(floor(value * 100) AS BIGINT) END AS claimed
         FROM (SELECT event_id AS seq, value, user_id AS account_id,
-                     CASE WHEN event_id % 40 = 7 THEN -event_id ELSE event_id % 1500 END AS listing_id,
+                     CASE WHEN event_id % 40 = 7 THEN -event_id ELSE event_id // 3 * 31 % (SELECT count(*) FROM orders) END AS listing_id,
                      CASE WHEN event_id % 2 = 0 THEN '{PAY_POINTS}' ELSE '{PAY_CARD}' END AS method
               FROM events WHERE event_type = 'purchase')""",
     "checked": f"""
         SELECT p.*, l.seller_id, l.status, l.deleted,
                CASE WHEN l.listing_id IS NULL THEN 'missing_listing'
-                    WHEN method = '{PAY_POINTS}' AND claimed IS NULL THEN 'bad_number'
+                    WHEN p.price > 9999999999 OR method = '{PAY_POINTS}' AND claimed IS NULL THEN 'bad_number'
                     WHEN method = '{PAY_POINTS}' AND claimed < p.price THEN 'not_enough_points' END AS reason
         FROM purchase p LEFT JOIN listing l ON p.channel = l.channel AND p.listing_id = l.listing_id""",
     "moves": f"""
         SELECT seller_id AS account_id, seq, 'credit' AS kind, price AS amount FROM checked WHERE reason IS NULL
         UNION ALL
         SELECT account_id, seq, 'debit', price FROM checked WHERE reason IS NULL AND method = '{PAY_POINTS}'""",
-    "sold": f"""
-        SELECT channel, printf('%05d', row_number() OVER (PARTITION BY channel ORDER BY seq)) AS transaction_id,
+    "last_sale": f"""
+        SELECT {_channel('o_orderkey')} AS channel, max(o_orderkey + 1) AS last FROM orders
+        WHERE o_orderstatus = 'F' GROUP BY ALL""",
+    "sold": """
+        SELECT c.channel, printf('%05d', coalesce(last, 0) + row_number() OVER (PARTITION BY c.channel ORDER BY seq)) AS transaction_id,
                listing_id, account_id AS buyer_id, method AS payment_method, 0 AS status
-        FROM checked WHERE reason IS NULL""",
+        FROM checked c LEFT JOIN last_sale s ON s.channel = c.channel WHERE reason IS NULL""",
     "dm": f"""
         SELECT event_id AS dm_id, {_K} AS receiver_id, user_id AS sender_id, event_type || ' ' || event_id AS content,
                CAST(NULL AS VARCHAR) AS media, ts AS sent_at, CAST(event_id % 10 = 0 AS INT) AS deleted
@@ -138,7 +141,7 @@ VIEWS = {
                strftime(sent_at, '%Y年%m月%d日 %H:%M:%S') AS sent_at_text
         FROM dm LEFT JOIN account ON account_id = receiver_id WHERE deleted = 0""",
     "post": f"""
-        SELECT DISTINCT conv_id AS post_id, conv_id % 100 AS account_id, 'post ' || conv_id AS title,
+        SELECT DISTINCT conv_id AS post_id, conv_id % (SELECT count(*) FROM customer) AS account_id, 'post ' || conv_id AS title,
                strftime(TIMESTAMP '2024-01-01' + to_minutes(conv_id), {_SHOWN}) AS posted_at,
                CAST(conv_id % 5 = 0 AS INT) AS visibility, CAST(conv_id % 7 = 0 AS INT) AS deleted
         FROM conversations""",
@@ -150,7 +153,8 @@ VIEWS = {
     "slot": """
         SELECT f.seq, f.conv_id, f.no, s.slot, coalesce(t.text, '') AS text, t.turn, t.role
         FROM (SELECT *, row_number() OVER (ORDER BY seq) AS no
-              FROM (SELECT DISTINCT conv_id * 1000 + turn // 4 AS seq, conv_id FROM conversations)) f
+              FROM (SELECT DISTINCT conv_id * 1000 + turn // 4 AS seq, conv_id FROM conversations)
+              WHERE conv_id % 11 <> 3 AND conv_id % 13 <> 4) f
         CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS slot) s
         LEFT JOIN conversations t ON t.conv_id = f.conv_id AND f.seq = t.conv_id * 1000 + t.turn // 4 AND t.turn % 4 = s.slot""",
     "registration": f"""
@@ -241,7 +245,7 @@ VIEWS = {
         QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY seq DESC) = 1""",
     "edit": f"""
         SELECT * FROM (
-            SELECT event_id AS seq, {_channel('event_id % 1500')} AS channel, event_id % 1500 AS listing_id,
+            SELECT event_id AS seq, {_channel('event_id // 3 * 31 % (SELECT count(*) FROM orders)')} AS channel, event_id // 3 * 31 % (SELECT count(*) FROM orders) AS listing_id,
                    'edited ' || event_id AS name, {_pick(CONDITIONS, 'event_id')} AS condition,
                    CASE WHEN event_id % 3 <> 0 THEN props END AS description,
                    CAST(floor(value * 100) AS BIGINT) AS price, {_pick(SHIPPING_PAYERS, 'event_id')} AS shipping_payer,
@@ -250,7 +254,7 @@ VIEWS = {
             FROM events WHERE event_type = 'error')
         QUALIFY row_number() OVER (PARTITION BY channel, listing_id ORDER BY seq DESC) = 1""",
     "photo_upload": f"""
-        SELECT {_channel('event_id % 1500')} AS channel, event_id % 1500 AS listing_id,
+        SELECT {_channel('event_id // 3 * 31 % (SELECT count(*) FROM orders)')} AS channel, event_id // 3 * 31 % (SELECT count(*) FROM orders) AS listing_id,
                './static/upload/new_' || max(event_id) || '.jpg' AS path
         FROM events WHERE event_type = 'signup' GROUP BY ALL""",
     "icon_upload": """
@@ -285,7 +289,7 @@ VIEWS = {
         FROM (SELECT {_channel('o_orderkey')} AS channel, o_orderkey AS listing_id,
                      CASE WHEN o_orderstatus = 'F' THEN 'sold' ELSE 'listed' END AS kind FROM orders
               UNION ALL
-              SELECT {_channel('event_id % 1500')}, event_id % 1500,
+              SELECT {_channel('event_id // 3 * 31 % (SELECT count(*) FROM orders)')}, event_id // 3 * 31 % (SELECT count(*) FROM orders),
                      CASE WHEN event_type = 'purchase' THEN 'sold' ELSE 'deleted' END
               FROM events WHERE event_type IN ('purchase', 'error'))
         GROUP BY ALL""",
@@ -367,7 +371,7 @@ _BODIES = {
     "visible": f"SELECT *, status = '{SOLD}' AS sold_out FROM grid WHERE cover <> '' AND deleted = 0",
     "catalog_union": f"SELECT {_LISTING_TEXT} FROM listing",
     "keyword_search": _keyword({t: f"contains(name, '{t}')" for t in ("ring", "blue", "e w", "Z", "")}),
-    "keyword_wildcards": _keyword({t: f"name LIKE '%{t}%'" for t in ("r_d", "b%t", "100%")}),
+    "keyword_wildcards": _keyword({t: f"name LIKE '%{t}%'" for t in ("r_d", "b%t", "100%", "e\\w")}),
     "keyword_terms": """
         SELECT term, count(*) AS n
         FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part) t
@@ -411,7 +415,7 @@ _BODIES = {
         SELECT viewer_id, l.channel, l.listing_id,
                CASE WHEN viewer_id = seller_id AND status = '{SOLD}' AND l.channel = 'sale' THEN 'owner_sold'
                     WHEN viewer_id = seller_id THEN 'owner' WHEN status = '{SOLD}' THEN 'sold' ELSE 'buy' END AS action
-        FROM (SELECT user_id AS viewer_id, event_id % 1500 AS lid FROM events WHERE event_type = 'view'
+        FROM (SELECT user_id AS viewer_id, event_id // 3 * 31 % (SELECT count(*) FROM orders) AS lid FROM events WHERE event_type = 'view'
               UNION ALL SELECT o_custkey, o_orderkey FROM orders) JOIN listing l ON l.listing_id = lid""",
     "account_profile": """
         SELECT a.*, d.address_id, d.postal_code, d.prefecture, d.city_ward, d.address_number, d.building
@@ -470,13 +474,13 @@ _BODIES = {
                printf('%05d', (SELECT max(post_id) FROM post) + no) AS post_id, text
         FROM slot""",
     "post_publish_posts": """
-        SELECT printf('%05d', (SELECT max(post_id) FROM post) + no) AS post_id, conv_id % 100 AS account_id,
+        SELECT printf('%05d', (SELECT max(post_id) FROM post) + no) AS post_id, conv_id % (SELECT count(*) FROM customer) AS account_id,
                'post ' || conv_id AS title, '2024-01-01 00:00:00' AS posted_at, 0 AS visibility, 0 AS deleted
         FROM slot WHERE slot = 0""",
     "post_publish_media": """
         SELECT printf('%05d', (SELECT max(media_id) FROM post_media) + row_number() OVER (ORDER BY seq, slot)) AS media_id,
                printf('%05d', (SELECT max(content_id) FROM post_content) + (no - 1) * 4 + slot + 1) AS content_id,
-               './static/upload/' || (conv_id % 100) || '_' || seq || '_' || (slot + 1) || '_img' || turn || '.png' AS path
+               './static/upload/' || (conv_id % (SELECT count(*) FROM customer)) || '_' || seq || '_' || (slot + 1) || '_img' || turn || '.png' AS path
         FROM slot WHERE role = 'assistant'""",
     "points_ledger": "SELECT account_id, seq, kind, amount, balance FROM replay",
     "points_ledger_opening": "SELECT account_id, seq, kind, amount, balance FROM replay_opened",
@@ -485,15 +489,16 @@ _BODIES = {
         LEFT JOIN last_balance b ON b.account_id = a.account_id""",
     "points_commands": """
         SELECT user_id AS account_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'reset' ELSE 'grant' END AS kind,
-               CAST(CASE WHEN event_type = 'signup' THEN 0 WHEN event_id % 5 = 2 THEN 1000000000000
+               CAST(CASE WHEN event_type = 'signup' THEN 0 WHEN event_id % 5 = 2 THEN NULL
                     ELSE floor(value * 1000000) END AS BIGINT) AS amount
         FROM events WHERE event_type = 'signup' OR (event_type = 'click' AND event_id % 5 <> 0)""",
     "settle_transactions": "SELECT * FROM sold",
     "settle_first_wins": f"""
-        SELECT channel, printf('%05d', row_number() OVER (PARTITION BY channel ORDER BY seq)) AS transaction_id,
+        SELECT x.channel, printf('%05d', coalesce(last, 0) + row_number() OVER (PARTITION BY x.channel ORDER BY seq)) AS transaction_id,
                listing_id, account_id AS buyer_id, method AS payment_method, 0 AS status
         FROM (SELECT * FROM checked WHERE reason IS NULL AND status <> '{SOLD}' AND deleted = 0
-              QUALIFY row_number() OVER (PARTITION BY channel, listing_id ORDER BY seq) = 1)""",
+              QUALIFY row_number() OVER (PARTITION BY channel, listing_id ORDER BY seq) = 1) x
+        LEFT JOIN last_sale s ON s.channel = x.channel""",
     "settle_events": "SELECT * FROM moves",
     "settle_deltas": """
         SELECT account_id, CAST(sum(CASE kind WHEN 'debit' THEN -amount ELSE amount END) AS BIGINT) AS delta
@@ -582,7 +587,10 @@ _BODIES = {
         SELECT seq, errors, price, lower(regexp_extract(f2, '[^.]*$')) AS extension2,
                CAST((f1 <> '') AS BIGINT) + CAST((f2 <> '') AS BIGINT) + CAST((f4 <> '') AS BIGINT) AS n_uploads
         FROM listing_errors""",
-    "valid_post": "SELECT DISTINCT seq, '' AS errors FROM slot",
+    "valid_post": """
+        SELECT DISTINCT conv_id * 1000 + turn // 4 AS seq,
+               CASE WHEN conv_id % 11 = 3 THEN 'title:required' WHEN conv_id % 13 = 4 THEN 'title:too_long' ELSE '' END AS errors
+        FROM conversations""",
     "normalise": """
         SELECT seq, '090' || printf('%04d', seq % 10000) AS phone,
                substr(zip || seq, 1, 3) || '-' || substr(zip || seq, 4, 4) AS postal_code,
@@ -602,6 +610,14 @@ _BODIES = {
     "stream_points": "SELECT account_id, points FROM last_balance",
     "stream_listing_state": "SELECT * FROM state",
     "stream_settle": "SELECT * FROM sold",
+    "stream_settle_events": "SELECT * FROM moves",
+    "stream_settle_listings": f"SELECT DISTINCT channel, listing_id, '{SOLD}' AS status FROM checked WHERE reason IS NULL",
+    "stream_settle_rejects": """
+        SELECT seq, channel, listing_id, account_id AS buyer_id, method AS payment_method, price, claimed, reason
+        FROM checked WHERE reason IS NOT NULL""",
+    "stream_points_opening": """
+        SELECT account_id, balance AS points FROM replay_opened
+        QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY rn DESC) = 1""",
     "stream_follow": "SELECT followed_id, follower_id FROM follow",
     "stream_registration": "SELECT * FROM registration_errors",
     "stream_window_counts": f"""

@@ -19,7 +19,7 @@ c = F.col
 
 # Words looked up by the keyword query; wildcard terms follow LIKE.
 KEYWORDS = ["ring", "blue", "e w", "Z", ""]
-WILDCARDS = ["r_d", "b%t", "100%"]
+WILDCARDS = ["r_d", "b%t", "100%", "e\\w"]
 
 
 def _joined(df: DataFrame, *columns: str) -> DataFrame:
@@ -27,6 +27,11 @@ def _joined(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({name: F.array_join(name, ",") for name in columns})
 
 
+def _whole(df: DataFrame, *columns: str) -> DataFrame:
+    """Points as 64-bit numbers, which hold everything in the test tables."""
+    return df.withColumns({name: c(name).cast("bigint") for name in columns})
+
+
 def _errors(df: DataFrame) -> DataFrame:
     """The error map as sorted text ``field:code,...``."""
     entries = F.transform(F.map_entries("errors"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
@@ -233,20 +238,20 @@ def post_publish_media(v: V) -> DataFrame:
 
 
 def points_ledger(v: V) -> DataFrame:
-    return ledger.points_ledger(v.ledger_event())
+    return _whole(ledger.points_ledger(v.ledger_event()), "amount", "balance")
 
 
 def points_ledger_opening(v: V) -> DataFrame:
     """The ledger on top of the balances the accounts start with; opening rows have no seq."""
-    return ledger.points_ledger(v.ledger_event(), v.account())
+    return _whole(ledger.points_ledger(v.ledger_event(), v.account()), "amount", "balance")
 
 
 def points_balance(v: V) -> DataFrame:
-    return ledger.points_balance(v.account(), points_ledger(v))
+    return _whole(ledger.points_balance(v.account(), ledger.points_ledger(v.ledger_event())), "points")
 
 
 def points_commands(v: V) -> DataFrame:
-    return ledger.points_commands(v.search())
+    return _whole(ledger.points_commands(v.search()), "amount")
 
 
 def _settled(v: V, mode: str = "as_is") -> settlement.Settlement:
@@ -266,7 +271,7 @@ def settle_events(v: V) -> DataFrame:
 
 
 def settle_deltas(v: V) -> DataFrame:
-    return ledger.point_deltas(_settled(v).events)
+    return _whole(ledger.point_deltas(_settled(v).events), "delta")
 
 
 def settle_rejects(v: V) -> DataFrame:
@@ -428,7 +433,11 @@ def postal_enrich(v: V) -> DataFrame:
 
 
 def stream_points(v: V) -> DataFrame:
-    return jobs.run_points(v)
+    return _whole(jobs.run_points(v), "points")
+
+
+def stream_points_opening(v: V) -> DataFrame:
+    return _whole(jobs.run_points_opening(v), "points")
 
 
 def stream_listing_state(v: V) -> DataFrame:
@@ -436,7 +445,19 @@ def stream_listing_state(v: V) -> DataFrame:
 
 
 def stream_settle(v: V) -> DataFrame:
-    return jobs.run_settlement(v)
+    return jobs.run_settlement(v)["transactions"]
+
+
+def stream_settle_events(v: V) -> DataFrame:
+    return jobs.run_settlement(v)["events"]
+
+
+def stream_settle_listings(v: V) -> DataFrame:
+    return jobs.run_settlement(v)["listing_updates"].distinct()
+
+
+def stream_settle_rejects(v: V) -> DataFrame:
+    return jobs.run_settlement(v)["rejects"]
 
 
 def stream_follow(v: V) -> DataFrame:
@@ -462,7 +483,7 @@ ALL: list[Callable[[V], DataFrame]] = [
     list_item_category, list_item_photos, add_comment, send_dm, update_profile, update_address, valid_profile,
     edit_sale, edit_rental, edit_sale_category, edit_rental_category, replace_photos, replace_icon,
     valid_registration, valid_listing, valid_post, normalise, postal_enrich, stream_points, stream_listing_state,
-    stream_settle, stream_follow, stream_registration, stream_window_counts,
+    stream_settle, stream_settle_events, stream_settle_listings, stream_settle_rejects, stream_points_opening, stream_follow, stream_registration, stream_window_counts,
 ]
 
 

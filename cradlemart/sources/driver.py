@@ -31,7 +31,18 @@ def _channel(listing_id: str) -> str:
 
 K = "bigint(get_json_object(props, '$.k'))"
 ORDER = [_channel("o_orderkey"), "o_orderkey AS listing_id"]
-EVENT = [_channel("event_id % 1500"), "event_id % 1500 AS listing_id"]
+
+
+def _event(n_listings: int) -> list[str]:
+    """The listing an event is about: three events in a row share one, spread over all listings."""
+    key = _about(n_listings)
+    return [_channel(key), f"{key} AS listing_id"]
+
+
+def _about(n_listings: int) -> str:
+    return f"(event_id div 3 * 31) % {n_listings}"
+
+
 YEN = "bigint(floor(o_totalprice / 50))"
 
 
@@ -44,6 +55,14 @@ class DriverViews:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def size(self, name: str) -> int:
+        """Rows of a test table, from its file footers."""
+        return max(1, self.spark.read.parquet(f"{self.dir}/{name}.parquet").count())
+
+    @property
+    def event(self) -> list[str]:
+        return _event(self.size("orders"))
+
     def events(self, where: str) -> DataFrame:
         return self.table("events").where(where)
 
@@ -73,7 +92,7 @@ class DriverViews:
         return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(category_id, category_name)")
 
     def listing(self) -> DataFrame:
-        orders = self.table("orders").selectExpr("*", "o_orderkey % 200 AS p_partkey")
+        orders = self.table("orders").selectExpr("*", f"o_orderkey % {self.size('part')} AS p_partkey")
         return orders.join(self.table("part").select("p_partkey", "p_name", "p_type"), "p_partkey").selectExpr(
             *ORDER, "o_custkey AS seller_id", "concat('0000', substring(o_orderpriority, 1, 1)) AS category_id",
             "p_name AS name", f"{_pick(CONDITIONS, 'o_orderkey')} AS condition", "p_type AS description",
@@ -107,8 +126,10 @@ class DriverViews:
         return follow_now(self.follow_log()).selectExpr("*", number)
 
     def transaction(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            [], "channel string, transaction_id string, listing_id bigint, buyer_id bigint, payment_method string, status int"
+        """Every listing sold before has one transaction."""
+        return self.table("orders").where("o_orderstatus = 'F'").selectExpr(
+            _channel("o_orderkey"), "format_string('%05d', o_orderkey + 1) AS transaction_id", "o_orderkey AS listing_id",
+            "o_custkey AS buyer_id", f"'{PAY_CARD}' AS payment_method", "0 AS status",
         )
 
     def dm(self) -> DataFrame:
@@ -119,7 +140,7 @@ class DriverViews:
 
     def post(self) -> DataFrame:
         return self.table("conversations").select("conv_id").distinct().selectExpr(
-            "conv_id AS post_id", "conv_id % 100 AS account_id", "concat('post ', conv_id) AS title",
+            "conv_id AS post_id", f"conv_id % {self.size('customer')} AS account_id", "concat('post ', conv_id) AS title",
             f"timestamp_ntz'{AT}' + make_dt_interval(0, 0, int(conv_id)) AS posted_at",
             "int(conv_id % 5 = 0) AS visibility", "int(conv_id % 7 = 0) AS deleted",
         )
@@ -139,7 +160,9 @@ class DriverViews:
         replies = nations.join(self.table("region"), "r_regionkey").selectExpr(
             """to_json(struct(array(struct(
                 format_string('%07d', bigint(n_nationkey) * 10007) AS zipcode, r_name AS address1, n_name AS address2,
-                concat(n_name, '-', n_nationkey) AS address3)) AS results)) AS body"""
+                concat(n_name, '-', n_nationkey) AS address3), struct(
+                format_string('%07d', bigint(n_nationkey) * 10007) AS zipcode, 'A' AS address1, 'second' AS address2,
+                'result' AS address3)) AS results)) AS body"""
         )
         return postal_dimension(replies)
 
@@ -147,7 +170,7 @@ class DriverViews:
 
     def comment_form(self) -> DataFrame:
         return self.events("event_type = 'view'").selectExpr(
-            "event_id AS seq", *EVENT, "user_id AS author_id", "concat('comment ', props) AS content"
+            "event_id AS seq", *self.event, "user_id AS author_id", "concat('comment ', props) AS content"
         )
 
     def follow_log(self) -> DataFrame:
@@ -182,19 +205,19 @@ class DriverViews:
 
     def purchase(self) -> DataFrame:
         listed = self.events("event_type = 'purchase'").selectExpr(
-            "*", "if(event_id % 40 = 7, -event_id, event_id % 1500) AS listing_id"
+            "*", f"if(event_id % 40 = 7, -event_id, {_about(self.size('orders'))}) AS listing_id"
         )
         return listed.selectExpr(
             "event_id AS seq", _channel("listing_id"), "listing_id", "user_id AS account_id",
             f"if(event_id % 2 = 0, '{PAY_POINTS}', '{PAY_CARD}') AS payMethod",
-            "string(event_id * 37 % 9700 + 300) AS sellingPrice",
+            "if(event_id % 70 = 11, '99999999999', string(event_id * 37 % 9700 + 300)) AS sellingPrice",
             "if(event_id % 50 = 12, 'abc', string(bigint(floor(value * 100)))) AS point",
         )
 
     def listing_event(self) -> DataFrame:
         orders = self.table("orders").selectExpr(*ORDER, "if(o_orderstatus = 'F', 'sold', 'listed') AS kind")
         later = self.events("event_type IN ('purchase', 'error')").selectExpr(
-            *EVENT, "if(event_type = 'purchase', 'sold', 'deleted') AS kind"
+            *self.event, "if(event_type = 'purchase', 'sold', 'deleted') AS kind"
         )
         return orders.unionByName(later)
 
@@ -212,8 +235,9 @@ class DriverViews:
             for i in range(4)
         )
         rows = self.table("conversations").selectExpr(
-            "bigint(conv_id * 1000 + turn div 4) AS seq", "conv_id % 100 AS account_id",
-            "concat('post ', conv_id) AS postTitle", "turn", "role", "text",
+            "bigint(conv_id * 1000 + turn div 4) AS seq", f"conv_id % {self.size('customer')} AS account_id",
+            """CASE WHEN conv_id % 11 = 3 THEN '' WHEN conv_id % 13 = 4 THEN repeat('長', 41)
+               ELSE concat('post ', conv_id) END AS postTitle""", "turn", "role", "text",
         )
         grouped = rows.groupBy("seq", "account_id", "postTitle")
         return grouped.agg(F.expr(f"array({texts})").alias("contents"), F.expr(f"array({files})").alias("uploads"))
@@ -275,7 +299,7 @@ class DriverViews:
 
     def listing_edit(self) -> DataFrame:
         return self.events("event_type = 'error'").selectExpr(
-            "event_id AS seq", *EVENT, "concat('edited ', event_id) AS name",
+            "event_id AS seq", *self.event, "concat('edited ', event_id) AS name",
             f"{_pick(CONDITIONS, 'event_id')} AS condition", "if(event_id % 3 <> 0, props, NULL) AS description",
             "CAST(floor(value * 100) AS DECIMAL(12,2)) AS price",
             f"{_pick(SHIPPING_PAYERS, 'event_id')} AS shipping_payer",
@@ -286,7 +310,7 @@ class DriverViews:
 
     def photo_upload(self) -> DataFrame:
         return self.events("event_type = 'signup'").selectExpr(
-            "event_id AS seq", *EVENT, f"concat('{UPLOAD_DIR}/new_', event_id, '.jpg') AS path"
+            "event_id AS seq", *self.event, f"concat('{UPLOAD_DIR}/new_', event_id, '.jpg') AS path"
         )
 
     def icon_upload(self) -> DataFrame:
@@ -297,7 +321,7 @@ class DriverViews:
         )
 
     def viewer_pair(self) -> DataFrame:
-        viewers = self.events("event_type = 'view'").selectExpr("user_id AS viewer_id", *EVENT)
+        viewers = self.events("event_type = 'view'").selectExpr("user_id AS viewer_id", *self.event)
         return viewers.unionByName(self.table("orders").selectExpr("o_custkey AS viewer_id", *ORDER))
 
     def term(self) -> DataFrame:

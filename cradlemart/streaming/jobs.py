@@ -62,9 +62,19 @@ def upsert(changed: DataFrame, path: str, keys: list[str], batch_id: int) -> Non
     publish(old.join(changed, keys, "left_anti").unionByName(changed), path, batch_id)
 
 
-def live_points(events: DataFrame, folder: str, **trigger: object) -> str:
+def _now(table: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    """A static side as it is now: a function is called anew in every batch, so it sees appended rows."""
+    return table() if callable(table) else table
+
+
+Table = DataFrame | Callable[[], DataFrame]
+
+
+def live_points(events: DataFrame, folder: str, opening: DataFrame | None = None, **trigger: object) -> str:
     """Balance per account after each micro-batch of ledger events; returns the snapshot path.
 
+    ``opening`` (account_id, points) gives the balances before the first batch.
+
     The capped sum depends on order, so each batch goes through the blockwise batch ledger with the
     earlier balances as opening rows. A busy account is thus cut into blocks here too, where a
     per-key state function would take all its rows in one task.
@@ -72,8 +82,10 @@ def live_points(events: DataFrame, folder: str, **trigger: object) -> str:
     path = f"{folder}/balances"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        schema = f"account_id {dict(batch.dtypes)['account_id']}, points bigint"
+        schema = f"account_id {dict(batch.dtypes)['account_id']}, points {ledger.MONEY}"
         old = read_snapshot(batch.sparkSession, path, schema, before=batch_id)
+        if batch_id == 0 and opening is not None:
+            old = opening.select("account_id", F.col("points").cast(ledger.MONEY).alias("points"))
         publish(ledger.last_balance(ledger.points_ledger(batch, old)), path, batch_id)
 
     start(events, apply, folder, **trigger)
@@ -90,22 +102,24 @@ def live_listing_state(events: DataFrame, folder: str, **trigger: object) -> str
 
 
 def live_settlement(
-    purchases: DataFrame, listings: DataFrame, folder: str, mode: str = "as_is", **trigger: object
+    purchases: DataFrame, listings: Table, folder: str, mode: str = "as_is", transactions: Table | None = None,
+    **trigger: object,
 ) -> dict[str, str]:
     """Settle purchases against the listings; returns the paths of the four outputs.
 
-    In ``first_wins`` mode the listings sold by earlier batches count as sold.
+    Numbers go on after those of the stored ``transactions``. Both tables may be functions, which are
+    called in every batch and so see rows appended since the start. In ``first_wins`` mode the listings sold by earlier batches count as sold.
     """
     paths = {name: f"{folder}/{name}" for name in ("transactions", "events", "listing_updates", "rejects")}
     last_ids = f"{folder}/last_ids"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        current = listings
+        current = _now(listings)
         if mode == "first_wins":
-            like = listings.select(*LISTING, "status")
+            like = current.select(*LISTING, "status")
             sold = earlier_batches(like, paths["listing_updates"], batch_id).distinct()
             current = (
-                listings.join(sold.withColumnRenamed("status", "_sold"), LISTING, "left")
+                current.join(sold.withColumnRenamed("status", "_sold"), LISTING, "left")
                 .withColumn("status", F.coalesce("_sold", "status"))
                 .drop("_sold")
             )
@@ -113,6 +127,8 @@ def live_settlement(
         ids = read_snapshot(
             batch.sparkSession, last_ids, "channel string, transaction_id string", before=batch_id
         )
+        if transactions is not None:
+            ids = ids.unionByName(_now(transactions).select("channel", F.col("transaction_id").cast("string").alias("transaction_id")))
         out = settlement.split_settlement(checked, ids)
         for name, path in paths.items():
             append(getattr(out, name), path, batch_id)
@@ -126,13 +142,18 @@ def live_settlement(
     return paths
 
 
-def live_follow(actions: DataFrame, folder: str, **trigger: object) -> str:
-    """The follow graph after each micro-batch of actions; returns the snapshot path."""
+def live_follow(actions: DataFrame, folder: str, existing: DataFrame | None = None, **trigger: object) -> str:
+    """The follow graph after each micro-batch of actions; returns the snapshot path.
+
+    ``existing`` holds the edges stored before the first batch.
+    """
     path = f"{folder}/follow"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         log = batch.select(*EDGE, "seq", "action")
         old = read_snapshot(batch.sparkSession, path, _ddl(log.select(*EDGE)), before=batch_id)
+        if batch_id == 0 and existing is not None:
+            old = existing.select(*EDGE)
         before = old.withColumns({"seq": F.lit(-(2**63)), "action": F.lit("follow")})
         publish(social.follow_now(log.unionByName(before)), path, batch_id)
 
@@ -140,26 +161,26 @@ def live_follow(actions: DataFrame, folder: str, **trigger: object) -> str:
     return path
 
 
-def live_registration(
-    forms: DataFrame, accounts: DataFrame, folder: str, resend_within: str = "1 day", **trigger: object
-) -> str:
+def live_registration(forms: DataFrame, accounts: Table, folder: str, **trigger: object) -> str:
     """Checked registrations (with their ``errors``) per batch; returns the output path.
 
-    Forms carry ``sent_at``; a form sent again within ``resend_within`` is dropped. Names accepted
-    by earlier batches are taken.
+    A form sent again (the same ``seq``) is handled once, whenever it comes; a form that arrives late
+    is handled on arrival. Names accepted by earlier batches are taken. ``accounts`` may be a function,
+    which is called in every batch.
     """
     path = f"{folder}/registrations"
-    once = forms.withWatermark("sent_at", resend_within).dropDuplicatesWithinWatermark(["seq"])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         like = batch.drop("password", "password_confirm").withColumn("errors", F.lit(None).cast("map<string,string>"))
-        accepted = earlier_batches(like, path, batch_id).where(F.size("errors") == 0)
-        held = accounts.select("account_name", "email").unionByName(
+        handled = earlier_batches(like, path, batch_id)
+        new = batch.dropDuplicates(["seq"]).join(handled.select("seq"), "seq", "left_anti").select(*batch.columns)
+        accepted = handled.where(F.size("errors") == 0)
+        held = _now(accounts).select("account_name", "email").unionByName(
             accepted.select(F.col("username").alias("account_name"), "email")
         )
-        append(quality.validate_registrations(batch, held), path, batch_id)
+        append(quality.validate_registrations(new, held), path, batch_id)
 
-    start(once, apply, folder, **trigger)
+    start(forms, apply, folder, **trigger)
     return path
 
 
@@ -182,9 +203,25 @@ def live_window_counts(
 
 
 class StreamedViews(DriverViews):
-    """The same views with the test tables read as file streams."""
+    """The same views with the test tables read as file streams, in at least ``PARTS`` micro-batches.
+
+    A table is first written in parts along its first column, one after another.
+    """
+
+    PARTS = 3
 
     def table(self, name: str) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        key, folder = rows.columns[0], work_dir(self.spark)
+        low, high = rows.agg(F.min(key), F.max(key)).first()
+        step = ((high or 0) - (low or 0)) // self.PARTS + 1
+        for part in range(self.PARTS):
+            mine = F.coalesce(F.floor((F.col(key) - (low or 0)) / step), F.lit(0)) == part
+            rows.where(mine).write.parquet(f"{folder}/{part}")
+        return read_feed(self.spark, f"{folder}/*", _ddl(rows), max_files=1)
+
+    def whole(self, name: str) -> DataFrame:
+        """The table as one stream, for aggregations that look at event time."""
         schema = _ddl(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
         return read_feed(self.spark, self.dir, schema, pathGlobFilter=f"{name}.parquet")
 
@@ -192,7 +229,13 @@ class StreamedViews(DriverViews):
 def run_points(v: DriverViews) -> DataFrame:
     stream = StreamedViews(v.spark, v.dir).ledger_event()
     path = live_points(stream, work_dir(v.spark))
-    return read_snapshot(v.spark, path, "account_id bigint, points bigint")
+    return read_snapshot(v.spark, path, f"account_id bigint, points {ledger.MONEY}")
+
+
+def run_points_opening(v: DriverViews) -> DataFrame:
+    """On top of the points the accounts start with."""
+    path = live_points(StreamedViews(v.spark, v.dir).ledger_event(), work_dir(v.spark), v.account())
+    return read_snapshot(v.spark, path, f"account_id bigint, points {ledger.MONEY}")
 
 
 def run_listing_state(v: DriverViews) -> DataFrame:
@@ -200,9 +243,12 @@ def run_listing_state(v: DriverViews) -> DataFrame:
     return read_snapshot(v.spark, path, "channel string, listing_id bigint, status string, deleted int")
 
 
-def run_settlement(v: DriverViews) -> DataFrame:
-    paths = live_settlement(StreamedViews(v.spark, v.dir).purchase(), v.listing(), work_dir(v.spark))
-    return v.spark.read.parquet(paths["transactions"]).drop("batch")
+def run_settlement(v: DriverViews) -> dict[str, DataFrame]:
+    """The four outputs, numbered after the stored transactions."""
+    paths = live_settlement(
+        StreamedViews(v.spark, v.dir).purchase(), v.listing, work_dir(v.spark), transactions=v.transaction
+    )
+    return {name: v.spark.read.parquet(path).drop("batch") for name, path in paths.items()}
 
 
 def run_follow(v: DriverViews) -> DataFrame:
@@ -212,12 +258,11 @@ def run_follow(v: DriverViews) -> DataFrame:
 
 def run_registration(v: DriverViews) -> DataFrame:
     forms = StreamedViews(v.spark, v.dir).registration()
-    forms = forms.withColumn("sent_at", F.timestamp_seconds(F.col("seq") + 1704067200))
-    return v.spark.read.parquet(live_registration(forms, v.account(), work_dir(v.spark))).drop("batch")
+    return v.spark.read.parquet(live_registration(forms, v.account, work_dir(v.spark))).drop("batch")
 
 
 def run_window_counts(v: DriverViews) -> DataFrame:
-    events = StreamedViews(v.spark, v.dir).table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = StreamedViews(v.spark, v.dir).whole("events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = live_window_counts(events, "ts", "event_type", work_dir(v.spark))
     counts = read_snapshot(v.spark, path, "window_start timestamp, kind string, n bigint")
     return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

@@ -132,3 +132,32 @@ def test_key_reaches_every_scan(m):
 def test_facets_do_not_shuffle(m):
     plan = catalog.facet_index(m["listing"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_pages_do_not_depend_on_the_cut(spark):
+    from cradlemart.operators.ordered import paged_lists
+
+    df = spark.range(50).selectExpr("'k' AS k", "id AS o", "string(id) AS v").union(
+        spark.range(500).selectExpr("string(id) AS k", "id AS o", "'x' AS v"))
+    found = [
+        sorted((r.k, r.first_no, tuple(r.vs)) for r in paged_lists(df, ["k"], "o", {"vs": "v"}, page_rows=10, **cut).collect())
+        for cut in ({}, {"share": 0.01, "min_rows": 0}, {"share": 0.0, "min_rows": 7})
+    ]
+    assert found[0] == found[1] == found[2]
+    assert [(n, len(v)) for k, n, v in found[0] if k == "k"] == [(1, 10), (11, 10), (21, 10), (31, 10), (41, 10)]
+
+
+def test_backslash_in_a_wildcard_term(spark):
+    rows = spark.createDataFrame([("a\\b",), ("ab",), ("100%",), ("c\\",)], "name string")
+    def names(*terms):
+        return sorted((r.term, r.name) for r in catalog.keyword_search(rows, list(terms), wildcards=True).collect())
+
+    assert names("a\\b") == [("a\\b", "a\\b")]
+    assert names("0\\%", "c\\") == [("0\\%", "100%"), ("c\\", "c\\")]
+
+
+def test_term_table_joins_by_distinct_name(spark):
+    rows = spark.createDataFrame([(1, "red ring"), (2, "red ring"), (3, None), (4, "")], "listing_id long, name string")
+    terms = spark.createDataFrame([("r",), ("ring",), ("zzz",), (None,), ("ring",)], "term string")
+    got = sorted((r.term, r.listing_id) for r in catalog.keyword_search(rows, terms).collect())
+    assert got == [("r", 1), ("r", 2), ("ring", 1), ("ring", 2)]

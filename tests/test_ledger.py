@@ -5,7 +5,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from cradlemart.operators import ledger, ordered
-from cradlemart.operators.ledger import HUGE
 
 CAP = 99_999_999
 EVENTS = "account_id string, seq long, kind string, amount long"
@@ -29,7 +28,7 @@ def random_rows(n, seed):
     for seq in range(n):
         account = "hot" if rnd.random() < 0.4 else f"a{rnd.randrange(30)}"
         kind = rnd.choices(["grant", "reset", "credit", "debit"], [5, 1, 3, 3])[0]
-        amount = rnd.choice([0, 5, CAP, CAP + 1, HUGE, 10**15]) if rnd.random() < 0.1 else rnd.randrange(60_000_000)
+        amount = rnd.choice([0, 5, CAP, CAP + 1, 10**12, 10**15]) if rnd.random() < 0.1 else rnd.randrange(60_000_000)
         rows.append((account, seq, kind, min(amount, 10**8) if kind != "grant" else amount))
     rnd.shuffle(rows)
     return rows
@@ -80,7 +79,7 @@ def test_commands(spark):
     ]
     df = spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "seq long, account_id string, search_box string")
     got = {r.seq: (r.kind, r.amount) for r in ledger.points_commands(df).collect()}
-    assert got == {0: ("grant", 5), 2: ("grant", 12), 3: ("grant", 34), 4: ("reset", 0), 8: ("grant", HUGE)}
+    assert got == {0: ("grant", 5), 2: ("grant", 12), 3: ("grant", 34), 4: ("reset", 0), 8: ("grant", None)}
 
 
 def test_balance_of_accounts_without_events(spark):
@@ -123,3 +122,13 @@ def test_block_with_a_third_of_the_rows_is_cut_again(spark):
     for keys in (["k"], []):
         got = ordered.running_number(df, keys, "o", share=0.01, min_rows=0).orderBy("o").select("n").collect()
         assert [r.n for r in got] == list(range(1, 60_001))
+
+
+def test_large_grants_and_debits_are_exact(spark):
+    rows = [("a", 1, "debit", 5 * 10**12), ("a", 2, "grant", 2 * 10**12), ("b", 1, "debit", 9 * 10**18), ("b", 2, "debit", 9 * 10**18),
+            ("b", 3, "credit", 9 * 10**18), ("c", 1, "debit", 7), ("c", 2, "grant", None)]
+    got = {(r.account_id, r.seq): r.balance for r in ledger.points_ledger(spark.createDataFrame(rows, EVENTS)).collect()}
+    assert got == {("a", 1): -5 * 10**12, ("a", 2): -3 * 10**12, ("b", 1): -9 * 10**18, ("b", 2): -18 * 10**18,
+                   ("b", 3): -9 * 10**18, ("c", 1): -7, ("c", 2): CAP}
+    deltas = ledger.point_deltas(spark.createDataFrame([("b", 1, "credit", 9 * 10**18), ("b", 2, "credit", 9 * 10**18)], EVENTS))
+    assert [int(r.delta) for r in deltas.collect()] == [18 * 10**18]

@@ -174,3 +174,16 @@ def test_texts(spark):
     assert [one(spark, tx.price_mask(lit(t))) for t in ("12x34", "123456789", "")] == ["¥ 1,234", "¥ 1,234,567", ""]
     assert one(spark, tx.digits_only(lit("090-1２3"))) == "09013"
     assert one(spark, tx.japanese_time(lit("2024-01-02 03:04:05").cast("timestamp"))) == "2024年01月02日 03:04:05"
+
+
+def test_profile_change_comes_out_once_when_two_accounts_share_the_name(spark):
+    accounts = spark.createDataFrame([(1, "n"), (2, "n"), (3, "m")], "account_id long, account_name string")
+    changes = spark.createDataFrame([(1, 3, "n"), (2, 3, "m"), (3, 1, "n")], "seq long, account_id long, account_name string")
+    got = {r.seq: dict(r.errors) for r in quality.validate_profile_changes(changes, accounts).collect()}
+    assert got == {1: {"username": "taken"}, 2: {}, 3: {"username": "taken"}}
+
+
+def test_first_result_of_a_postal_reply(spark):
+    body = '{"results": [{"zipcode": "1", "address1": "Z", "address2": "first", "address3": "x"}, {"zipcode": "1", "address1": "A"}]}'
+    replies = spark.createDataFrame([(body,), ('{"results": null}',)], "body string")
+    assert [tuple(r) for r in quality.postal_dimension(replies).collect()] == [("1", "Z", "first", "x")]

@@ -35,7 +35,7 @@ def test_points(spark, tmp_path):
     )
     path = jobs.live_points(feed(spark, str(tmp_path / "in"), log, 4), str(tmp_path / "out"))
     assert len(committed_versions(spark, path)) == 4
-    got = read_snapshot(spark, path, "account_id string, points bigint")
+    got = read_snapshot(spark, path, "account_id string, points decimal(38,0)")
     assert rows(got) == rows(ledger.last_balance(ledger.points_ledger(log)))
 
 
@@ -133,3 +133,25 @@ def test_batch_run_again_leaves_the_same_result(spark, tmp_path):
     assert committed_versions(spark, snap) == [0, 1, 10]
     (tmp_path / "s" / "version=10" / "_SUCCESS").unlink()
     assert read_snapshot(spark, snap, "id bigint").count() == 1
+
+
+def test_late_forms_are_handled(spark, tmp_path):
+    forms = [{**GOOD, "seq": i, "username": f"u{i}", "email": f"e{i}"} for i in (20, 21, 5)]
+    df = spark.createDataFrame([tuple(f[c] for c in COLUMNS) for f in forms], FEEDS["registration"]).coalesce(1)
+    accounts = spark.createDataFrame([("u0", "e0")], "account_name string, email string")
+    path = jobs.live_registration(feed(spark, str(tmp_path / "in"), df, 3), lambda: accounts, str(tmp_path / "out"))
+    assert {r.seq for r in spark.read.parquet(path).collect()} == {20, 21, 5}
+
+
+def test_streams_start_from_stored_state(spark, tmp_path):
+    events = spark.createDataFrame([("a", i, "credit", 1) for i in range(6)], "account_id string, seq long, kind string, amount long")
+    opening = spark.createDataFrame([("a", 100), ("b", 7)], "account_id string, points long")
+    path = jobs.live_points(feed(spark, str(tmp_path / "in"), events, 3), str(tmp_path / "out"), opening)
+    got = read_snapshot(spark, path, "account_id string, points decimal(38,0)")
+    assert {r.account_id: int(r.points) for r in got.collect()} == {"a": 106, "b": 7}
+    log = spark.createDataFrame([(1, "x", "y", "unfollow"), (2, "p", "q", "follow"), (3, "p", "r", "follow")],
+                                "seq long, followed_id string, follower_id string, action string")
+    stored_edges = spark.createDataFrame([("x", "y"), ("x", "z")], "followed_id string, follower_id string")
+    path = jobs.live_follow(feed(spark, str(tmp_path / "in2"), log, 3), str(tmp_path / "out2"), stored_edges)
+    edges = read_snapshot(spark, path, "followed_id string, follower_id string")
+    assert rows(edges) == rows(spark.createDataFrame([("x", "z"), ("p", "q"), ("p", "r")], edges.schema))
