@@ -189,6 +189,13 @@ def validate_listings(forms: DataFrame) -> DataFrame:
     return validate(forms.withColumn("_price", parse_price(c("sellingPrice"), "decimal(38,18)")), rules).drop("_price")
 
 
+def validate_edits(forms: DataFrame) -> DataFrame:
+    """Edit forms with their typed price (``sellingPrice``, with or without yen sign and commas) as
+    ``price``, and an ``errors`` map: a price that is no number rejects the form."""
+    price = parse_price(F.col("sellingPrice"), "decimal(12,2)")
+    return validate(forms.withColumn("price", price), [("price", F.when(F.col("price").isNull(), "number"))]).drop("sellingPrice")
+
+
 def post_rules() -> Rules:
     """Rules of a post form: title of 1 to 40 characters, images only in slots 1 to 4."""
     title = F.when(F.coalesce("postTitle", F.lit("")) == "", "required").when(

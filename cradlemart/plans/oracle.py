@@ -251,7 +251,7 @@ VIEWS = {
                    CAST(floor(value * 100) AS BIGINT) AS price, {_pick(SHIPPING_PAYERS, 'event_id')} AS shipping_payer,
                    {_pick(SHIPPING_ESTIMATES, 'event_id')} AS shipping_estimate,
                    printf('%05d', event_id % 4 + 1) AS category_id, {_pick(RENTAL_PERIODS, 'event_id')} AS rental_period
-            FROM events WHERE event_type = 'error')
+            FROM events WHERE event_type = 'error' AND event_id % 9 <> 4)
         QUALIFY row_number() OVER (PARTITION BY channel, listing_id ORDER BY seq DESC) = 1""",
     "photo_upload": f"""
         SELECT {_channel('event_id // 3 * 31 % (SELECT count(*) FROM orders)')} AS channel, event_id // 3 * 31 % (SELECT count(*) FROM orders) AS listing_id,
@@ -574,6 +574,10 @@ _BODIES = {
     "edit_rental": _edited("rental", [*_EDIT, "category_id", "rental_period"]),
     "edit_sale_category": _edited_category("sale"),
     "edit_rental_category": _edited_category("rental"),
+    "valid_edit": """
+        SELECT event_id AS seq, CASE WHEN event_id % 9 <> 4 THEN CAST(floor(value * 100) AS BIGINT) END AS price,
+               CASE WHEN event_id % 9 = 4 THEN 'price:number' ELSE '' END AS errors
+        FROM events WHERE event_type = 'error'""",
     "replace_photos": """
         SELECT p.channel, p.photo_id, p.listing_id, coalesce(u.path, p.path) AS path
         FROM photo p LEFT JOIN photo_upload u ON u.channel = p.channel AND u.listing_id = p.listing_id""",
@@ -625,4 +629,9 @@ _BODIES = {
         FROM events GROUP BY ALL""",
 }
 
+_BODIES["lookup_listing"] = f"SELECT * FROM ({_BODIES['item_detail']}) x WHERE channel = 'sale' AND listing_id = 7"
+_BODIES["lookup_account"] = f"SELECT * FROM ({_BODIES['account_profile']}) x WHERE account_id = 7"
+_BODIES["lookup_seller"] = f"SELECT * FROM ({_BODIES['seller']}) x WHERE seller_id = 7"
+_BODIES["lookup_post"] = f"SELECT * FROM ({_BODIES['post_html']}) x WHERE post_id = 7"
+
 ORACLE = {name: _sql(body) for name, body in _BODIES.items()}

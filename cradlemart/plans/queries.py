@@ -12,6 +12,7 @@ from ..operators import catalog, ledger, posts, quality, settlement, social, wri
 from ..session import stored
 from ..sources.driver import AT, DriverViews
 from ..sources.tables import catalog as union
+from ..sources.tables import for_key, for_listing, unmarketplace
 from ..streaming import jobs
 
 V = DriverViews
@@ -59,23 +60,32 @@ def visible(v: V) -> DataFrame:
 
 def catalog_union(v: V) -> DataFrame:
     """Split the listings into the site's twin tables and put them together again."""
-    rows = v.listing()
-    sale = rows.where(c("channel") == "sale").select(
-        c("listing_id").alias("saleId"), c("seller_id").alias("accountId"), c("category_id").alias("categoryId"),
-        c("name").alias("productName"), c("condition").alias("productCondition"),
-        c("description").alias("productDescription"), c("price").alias("sellingPrice"),
-        c("shipping_payer").alias("shippingPayer"), c("shipping_estimate").alias("shippingEstimate"),
-        c("listed_at").alias("listingDateTime"), c("status").alias("listingStatus"), c("deleted").alias("deletionStatus"),
-    )
-    rental = rows.where(c("channel") == "rental").select(
-        c("listing_id").alias("rentalId"), c("seller_id").alias("accountId"), c("category_id").alias("categoryId"),
-        c("name").alias("rentalProductName"), c("condition").alias("rentalProductCondition"),
-        c("description").alias("rentalDescription"), c("price").alias("rentalPrice"),
-        c("shipping_payer").alias("rentalShippingPayer"), c("shipping_estimate").alias("rentalShippingEstimate"),
-        c("rental_period").alias("rentalPeriod"), c("listed_at").alias("rentalListingDateTime"),
-        c("status").alias("rentalListingStatus"), c("deleted").alias("rentalDeletionStatus"),
-    )
-    return union(sale, rental).withColumns({"price": tx.whole_yen(c("price")), "listed_at": _shown(c("listed_at"))})
+    twins = unmarketplace({"listing": v.listing()})
+    rows = union(twins["t_sale"], twins["t_rental"])
+    return rows.withColumns({
+        "listing_id": c("listing_id").cast("bigint"), "seller_id": c("seller_id").cast("bigint"),
+        "price": tx.whole_yen(c("price")), "listed_at": _shown(c("listed_at")),
+    })
+
+
+def lookup_listing(v: V) -> DataFrame:
+    """One listing's page; the key reaches every scan."""
+    one = for_listing({"listing": v.listing(), "photo": v.photo()}, "sale", 7)
+    return _joined(catalog.item_detail(one["listing"], one["photo"], v.category()), "photos")
+
+
+def lookup_account(v: V) -> DataFrame:
+    one = for_key({"account": v.account(), "address": v.address()}, account_id=7)
+    return social.account_profile(one["account"], one["address"])
+
+
+def lookup_seller(v: V) -> DataFrame:
+    one = for_key({"listing": v.listing()}, seller_id=7)
+    return catalog.seller(one["listing"], v.account())
+
+
+def lookup_post(v: V) -> DataFrame:
+    return for_key({"content": posts.post_html(v.post_content())}, post_id=7)["content"]
 
 
 def keyword_search(v: V) -> DataFrame:
@@ -359,7 +369,15 @@ def valid_profile(v: V) -> DataFrame:
 
 
 def _edited(v: V, channel: str) -> tuple[DataFrame, DataFrame]:
-    return writes.edit_listings(v.listing(), v.category_status(), v.listing_edit(), channel)
+    return writes.edit_listings(v.listing(), v.category_status(), quality.split(_checked_edits(v))[0], channel)
+
+
+def _checked_edits(v: V) -> DataFrame:
+    return quality.validate_edits(v.listing_edit())
+
+
+def valid_edit(v: V) -> DataFrame:
+    return _errors(_checked_edits(v)).select("seq", tx.whole_yen(c("price")).alias("price"), "errors")
 
 
 def edit_sale(v: V) -> DataFrame:
@@ -473,7 +491,7 @@ def stream_window_counts(v: V) -> DataFrame:
 
 
 ALL: list[Callable[[V], DataFrame]] = [
-    browse, visible, catalog_union, keyword_search, keyword_wildcards, keyword_terms, facet_category, facet_condition,
+    browse, visible, catalog_union, lookup_listing, lookup_account, lookup_seller, lookup_post, keyword_search, keyword_wildcards, keyword_terms, facet_category, facet_condition,
     facet_price, facet_index, facet_counts, item_detail, photo_slots, comments, comments_live, comment_counts, seller,
     storefront, viewer_action, account_profile, follow_now, follow_add, follow_remove, follow_counts, following,
     followers, follow_flag, dm_threads, dm_sides, post_feed, post_feed_live, post_detail, post_html, post_publish,
@@ -481,7 +499,7 @@ ALL: list[Callable[[V], DataFrame]] = [
     settle_transactions, settle_first_wins, settle_events, settle_deltas, settle_rejects, settle_listings,
     listing_state, sales_report, category_drift, assign_ids, register, register_addresses, list_item,
     list_item_category, list_item_photos, add_comment, send_dm, update_profile, update_address, valid_profile,
-    edit_sale, edit_rental, edit_sale_category, edit_rental_category, replace_photos, replace_icon,
+    valid_edit, edit_sale, edit_rental, edit_sale_category, edit_rental_category, replace_photos, replace_icon,
     valid_registration, valid_listing, valid_post, normalise, postal_enrich, stream_points, stream_listing_state,
     stream_settle, stream_settle_events, stream_settle_listings, stream_settle_rejects, stream_points_opening, stream_follow, stream_registration, stream_window_counts,
 ]

@@ -301,7 +301,7 @@ class DriverViews:
         return self.events("event_type = 'error'").selectExpr(
             "event_id AS seq", *self.event, "concat('edited ', event_id) AS name",
             f"{_pick(CONDITIONS, 'event_id')} AS condition", "if(event_id % 3 <> 0, props, NULL) AS description",
-            "CAST(floor(value * 100) AS DECIMAL(12,2)) AS price",
+            "if(event_id % 9 = 4, 'abc', concat('¥ ', format_number(floor(value * 100), 0))) AS sellingPrice",
             f"{_pick(SHIPPING_PAYERS, 'event_id')} AS shipping_payer",
             f"{_pick(SHIPPING_ESTIMATES, 'event_id')} AS shipping_estimate",
             "format_string('%05d', event_id % 4 + 1) AS category_id",

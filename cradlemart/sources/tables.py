@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schemas import TABLES
 
@@ -57,140 +62,168 @@ def read_snapshot(spark: SparkSession, path: str, schema: str, before: int | Non
     return spark.read.schema(schema).parquet(f"{path}/version={versions[-1]}")
 
 
+# The stored tables behind each name the operators use: new name -> stored name, or (sale, rental) names.
+SINGLE = {
+    "account": ("t_account", {
+        "account_id": "accountId", "account_name": "accountName", "icon": "icon", "email": "emailAddress",
+        "lastname": "lastname", "firstname": "firstname", "lastname_kana": "lastnamekana",
+        "firstname_kana": "firstnamekana", "birthday": "birthDate", "gender": "gender",
+        "phone": "phonenumber", "children": "numberofchildren", "points": "points",
+    }),
+    "address": ("t_address", {
+        "address_id": "addressId", "account_id": "accountId", "postal_code": "postalCode",
+        "prefecture": "prefecture", "city_ward": "cityWard", "address_number": "addressNumber",
+        "building": "buildingName",
+    }),
+    "category": ("t_category", {"category_id": "categoryId", "category_name": "categoryName"}),
+    "follow": ("t_follow", {"follow_id": "followId", "followed_id": "accountId", "follower_id": "followerId"}),
+    "post": ("t_post", {
+        "post_id": "postId", "account_id": "accountId", "title": "postTitle", "posted_at": "postDateTime",
+        "visibility": "postVisibilityStatus", "deleted": "postDeletionStatus",
+    }),
+    "post_content": ("t_postContent", {"content_id": "postContentId", "post_id": "postId", "text": "postText"}),
+    "post_media": ("t_postMedia", {"media_id": "postMediaId", "content_id": "postContentId", "path": "postAttachedMedia"}),
+    "dm": ("t_directMessage", {
+        "dm_id": "directMessageId", "receiver_id": "accountId", "sender_id": "senderId",
+        "content": "directMessageContent", "media": "directMessageAttachedMedia",
+        "sent_at": "directSendDateTime", "deleted": "directMessageDeletionStatus",
+    }),
+}
+_LISTING = ("saleId", "rentalId")
+TWINS = {
+    "listing": ("", {
+        "listing_id": _LISTING, "seller_id": ("accountId", "accountId"), "category_id": ("categoryId", "categoryId"),
+        "name": ("productName", "rentalProductName"), "condition": ("productCondition", "rentalProductCondition"),
+        "description": ("productDescription", "rentalDescription"), "price": ("sellingPrice", "rentalPrice"),
+        "shipping_payer": ("shippingPayer", "rentalShippingPayer"),
+        "shipping_estimate": ("shippingEstimate", "rentalShippingEstimate"), "rental_period": (None, "rentalPeriod"),
+        "listed_at": ("listingDateTime", "rentalListingDateTime"), "status": ("listingStatus", "rentalListingStatus"),
+        "deleted": ("deletionStatus", "rentalDeletionStatus"),
+    }),
+    "category_status": ("CategoryStatus", {
+        "status_id": ("saleCategoryStatusId", "rentalCategoryStatusId"), "listing_id": _LISTING,
+        "category_id": ("categoryId", "categoryId"),
+    }),
+    "photo": ("Photo", {
+        "photo_id": ("salePhotoId", "rentalPhotoId"), "listing_id": _LISTING, "path": ("productPhoto", "rentalPhoto"),
+    }),
+    "comment": ("Comment", {
+        "comment_id": ("saleCommentId", "rentalCommentId"), "listing_id": _LISTING,
+        "author_id": ("accountId", "accountId"), "content": ("productCommentContent", "rentalCommentContent"),
+        "deleted": ("productCommentDeletionStatus", "rentalCommentDeletionStatus"),
+    }),
+    "transaction": ("Transaction", {
+        "transaction_id": ("saleTransactionId", "rentalTransactionId"), "listing_id": _LISTING,
+        "buyer_id": ("accountId", "accountId"), "payment_method": ("productPaymentMethod", "rentalPaymentMethod"),
+        "status": ("productTransactionStatus", "rentalTransactionStatus"),
+    }),
+}
+CHANNELS = ("sale", "rental")
+
+
+def _twins(halves: tuple[DataFrame, DataFrame], columns: dict[str, tuple[str | None, str]]) -> DataFrame:
+    """The sale and rental halves of a table under common names, with their ``channel``."""
+    parts = [
+        half.select(F.lit(channel).alias("channel"), *[F.col(pair[side]).alias(new) for new, pair in columns.items() if pair[side]])
+        for side, (channel, half) in enumerate(zip(CHANNELS, halves, strict=True))
+    ]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
 def catalog(sale: DataFrame, rental: DataFrame) -> DataFrame:
     """Sales and rentals as one listing table with a ``channel`` column."""
-    sales = sale.select(
-        F.lit("sale").alias("channel"),
-        F.col("saleId").alias("listing_id"),
-        F.col("accountId").alias("seller_id"),
-        F.col("categoryId").alias("category_id"),
-        F.col("productName").alias("name"),
-        F.col("productCondition").alias("condition"),
-        F.col("productDescription").alias("description"),
-        F.col("sellingPrice").alias("price"),
-        F.col("shippingPayer").alias("shipping_payer"),
-        F.col("shippingEstimate").alias("shipping_estimate"),
-        F.col("listingDateTime").alias("listed_at"),
-        F.col("listingStatus").alias("status"),
-        F.col("deletionStatus").alias("deleted"),
-    )
-    rentals = rental.select(
-        F.lit("rental").alias("channel"),
-        F.col("rentalId").alias("listing_id"),
-        F.col("accountId").alias("seller_id"),
-        F.col("categoryId").alias("category_id"),
-        F.col("rentalProductName").alias("name"),
-        F.col("rentalProductCondition").alias("condition"),
-        F.col("rentalDescription").alias("description"),
-        F.col("rentalPrice").alias("price"),
-        F.col("rentalShippingPayer").alias("shipping_payer"),
-        F.col("rentalShippingEstimate").alias("shipping_estimate"),
-        F.col("rentalPeriod").alias("rental_period"),
-        F.col("rentalListingDateTime").alias("listed_at"),
-        F.col("rentalListingStatus").alias("status"),
-        F.col("rentalDeletionStatus").alias("deleted"),
+    return _twins((sale, rental), TWINS["listing"][1])
+
+
+def marketplace(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The stored tables under the names the operators use, sale and rental twins joined into one."""
+    views = {
+        name: tables[table].select(*[F.col(old).alias(new) for new, old in columns.items()])
+        for name, (table, columns) in SINGLE.items()
+    }
+    for name, (suffix, columns) in TWINS.items():
+        views[name] = _twins((tables[f"t_sale{suffix}"], tables[f"t_rental{suffix}"]), columns)
+    return views
+
+
+def _as_stored(rows: DataFrame, table: str, columns: dict[str, str]) -> DataFrame:
+    """Rows with a stored table's columns and types; what the rows do not have is null."""
+    there = {old: new for new, old in columns.items() if new in rows.columns}
+    fields = StructType.fromDDL(TABLES[table]).fields
+    return rows.select(
+        *[(F.col(there[f.name]) if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
     )
-    return sales.unionByName(rentals, allowMissingColumns=True)
 
 
-def _twins(tables: dict[str, DataFrame], suffix: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
-    """The sale and rental halves of a child table under common names (new name -> sale, rental)."""
-    halves = [
-        tables[f"t_{channel}{suffix}"].select(
-            F.lit(channel).alias("channel"), *[F.col(pair[side]).alias(new) for new, pair in columns.items()]
-        )
-        for side, channel in enumerate(("sale", "rental"))
-    ]
-    return halves[0].unionByName(halves[1])
+def unmarketplace(views: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The way back: rows under the operators' names as rows of the stored tables, ready to be appended.
+
+    Takes any of the views, so new rows of one kind can be written alone. Sales and rentals are
+    told apart by ``channel``. Columns that a view does not have, such as passwords, are null.
+    """
+    tables = {}
+    for name, rows in views.items():
+        if name in SINGLE:
+            table, columns = SINGLE[name]
+            tables[table] = _as_stored(rows, table, columns)
+        else:
+            suffix, columns = TWINS[name]
+            for side, channel in enumerate(CHANNELS):
+                table = f"t_{channel}{suffix}"
+                names = {new: pair[side] for new, pair in columns.items() if pair[side]}
+                tables[table] = _as_stored(rows.where(F.col("channel") == channel), table, names)
+    return tables
+
+
+def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], version: int) -> None:
+    """Write whole tables to new folders and switch to all of them at once.
+
+    The switch is one row added to the manifest, so readers see either none or all of the tables of
+    a commit. Committed folders are never written again; a repeated commit of a version replaces it.
+    """
+    paths = {}
+    for name, rows in tables.items():
+        paths[name] = f"{root}/{name}/{version}-{uuid.uuid4().hex}"
+        rows.write.parquet(paths[name])
+    row = spark.createDataFrame([(version, time.time_ns(), paths)], MANIFEST)
+    row.coalesce(1).write.mode("append").parquet(f"{root}/_manifest")
 
 
-def _renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    return df.select(*[F.col(old).alias(new) for new, old in columns.items()])
+MANIFEST = "version bigint, written bigint, paths map<string,string>"
 
 
-def marketplace(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The stored tables under the names the operators use, sale and rental twins joined into one."""
-    listing = ("saleId", "rentalId")
-    return {
-        "account": _renamed(
-            tables["t_account"],
-            {
-                "account_id": "accountId", "account_name": "accountName", "icon": "icon", "email": "emailAddress",
-                "lastname": "lastname", "firstname": "firstname", "lastname_kana": "lastnamekana",
-                "firstname_kana": "firstnamekana", "birthday": "birthDate", "gender": "gender",
-                "phone": "phonenumber", "children": "numberofchildren", "points": "points",
-            },
-        ),
-        "address": _renamed(
-            tables["t_address"],
-            {
-                "address_id": "addressId", "account_id": "accountId", "postal_code": "postalCode",
-                "prefecture": "prefecture", "city_ward": "cityWard", "address_number": "addressNumber",
-                "building": "buildingName",
-            },
-        ),
-        "category": _renamed(
-            tables["t_category"], {"category_id": "categoryId", "category_name": "categoryName"}
-        ),
-        "listing": catalog(tables["t_sale"], tables["t_rental"]),
-        "category_status": _twins(
-            tables, "CategoryStatus",
-            {
-                "status_id": ("saleCategoryStatusId", "rentalCategoryStatusId"), "listing_id": listing,
-                "category_id": ("categoryId", "categoryId"),
-            },
-        ),
-        "photo": _twins(
-            tables, "Photo",
-            {
-                "photo_id": ("salePhotoId", "rentalPhotoId"), "listing_id": listing,
-                "path": ("productPhoto", "rentalPhoto"),
-            },
-        ),
-        "comment": _twins(
-            tables, "Comment",
-            {
-                "comment_id": ("saleCommentId", "rentalCommentId"), "listing_id": listing,
-                "author_id": ("accountId", "accountId"),
-                "content": ("productCommentContent", "rentalCommentContent"),
-                "deleted": ("productCommentDeletionStatus", "rentalCommentDeletionStatus"),
-            },
-        ),
-        "transaction": _twins(
-            tables, "Transaction",
-            {
-                "transaction_id": ("saleTransactionId", "rentalTransactionId"), "listing_id": listing,
-                "buyer_id": ("accountId", "accountId"),
-                "payment_method": ("productPaymentMethod", "rentalPaymentMethod"),
-                "status": ("productTransactionStatus", "rentalTransactionStatus"),
-            },
-        ),
-        "follow": _renamed(
-            tables["t_follow"], {"follow_id": "followId", "followed_id": "accountId", "follower_id": "followerId"}
-        ),
-        "post": _renamed(
-            tables["t_post"],
-            {
-                "post_id": "postId", "account_id": "accountId", "title": "postTitle", "posted_at": "postDateTime",
-                "visibility": "postVisibilityStatus", "deleted": "postDeletionStatus",
-            },
-        ),
-        "post_content": _renamed(
-            tables["t_postContent"], {"content_id": "postContentId", "post_id": "postId", "text": "postText"}
-        ),
-        "post_media": _renamed(
-            tables["t_postMedia"],
-            {"media_id": "postMediaId", "content_id": "postContentId", "path": "postAttachedMedia"},
-        ),
-        "dm": _renamed(
-            tables["t_directMessage"],
-            {
-                "dm_id": "directMessageId", "receiver_id": "accountId", "sender_id": "senderId",
-                "content": "directMessageContent", "media": "directMessageAttachedMedia",
-                "sent_at": "directSendDateTime", "deleted": "directMessageDeletionStatus",
-            },
-        ),
-    }
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], MANIFEST)
+    return rows.select("version", "written", F.explode("paths").alias("name", "path"))
+
+
+def committed(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The newest committed state of every table under ``root``."""
+    newest = _manifest(spark, root).groupBy("name").agg(F.max_by("path", F.struct("version", "written")).alias("path"))
+    return {r["name"]: spark.read.parquet(r["path"]) for r in newest.toLocalIterator()}
+
+
+def superseded(spark: SparkSession, root: str) -> DataFrame:
+    """(name, path) of committed folders that later commits have replaced and that may be removed."""
+    rows = _manifest(spark, root)
+    newest = rows.groupBy("name").agg(F.max_by("path", F.struct("version", "written")).alias("path"))
+    return rows.select("name", "path").distinct().join(newest, ["name", "path"], "left_anti")
+
+
+def for_key(views: dict[str, DataFrame], **key: object) -> dict[str, DataFrame]:
+    """The views narrowed to one key, such as ``account_id=7`` or ``post_id="00003"``.
+
+    The filter is put on every view that has the key's columns, so it reaches their scans.
+    """
+    test = F.lit(True)
+    for column, value in key.items():
+        test = test & (F.col(column) == value)
+    return {name: df.where(test) if set(key) <= set(df.columns) else df for name, df in views.items()}
 
 
 def for_listing(views: dict[str, DataFrame], channel: str, listing_id: str) -> dict[str, DataFrame]:
@@ -199,5 +232,4 @@ def for_listing(views: dict[str, DataFrame], channel: str, listing_id: str) -> d
     The filter is put on every table that knows the listing. Spark would not carry it over from a
     filter on the joined result, since one half of the sale and rental union is empty then.
     """
-    key = (F.col("channel") == channel) & (F.col("listing_id") == listing_id)
-    return {name: df.where(key) if {"channel", "listing_id"} <= set(df.columns) else df for name, df in views.items()}
+    return for_key(views, channel=channel, listing_id=listing_id)
