@@ -3,7 +3,7 @@
 A page is parsed into a tree of elements. Scripts, menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments go by element name, role and class. What else a site repeats is
 found by counting: the subtree of every block element is hashed, the hashes are counted per host over
-distinct pages in Spark, and subtrees that stand on many pages of their host are deleted. The main
+distinct articles in Spark (pages with the same main element are one, whatever their url), and subtrees that stand on many pages of their host are deleted. The main
 text is the largest article of what is left (else the main element, else the body), block by block.
 
 Only hashes are shuffled for the counts, combined on the map side; a host keeps at most (subtrees a
@@ -11,8 +11,8 @@ page has) / ``share`` hashes, whatever its size. These lists are joined back to
 pages of a hot host are spread by the join's skew handling, so nothing groups the pages of a host.
 
 Rules for odd input: a null html gives an empty text; broken markup is closed as browsers do, an
-unfinished tag at the end is dropped; a page without a host has no template; rows that repeat a page
-count once for the template (by url and html) and give a row each. Empty tables give empty results.
+unfinished tag at the end is dropped; a page without a host has no template; rows that repeat an
+article count once for the template and give a row each. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -255,14 +255,14 @@ def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str
     return text_of(_main(root))
 
 
-def page_hashes(source: str | None) -> set[int]:
-    """Hashes of the block subtrees with text that prune leaves."""
+def page_hashes(source: str | None) -> tuple[int, set[int]]:
+    """Hash of the article, and hashes of the block subtrees with text that prune leaves."""
     if not source:
-        return set()
+        return 0, set()
     root = parse(source)
     prune(root)
     hashes = subtree_hashes(root)
-    return {hashes[id(e)] for e in _ordered(root) if e.name in _CONTAINERS and text_of(e)}
+    return hashes[id(_main(root))], {hashes[id(e)] for e in _ordered(root) if e.name in _CONTAINERS and text_of(e)}
 
 
 def _host():
@@ -272,19 +272,21 @@ def _host():
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """(host, template: hashes of subtrees that recur on many pages of the host), for (url, html)."""
-    keyed = pages.select(_host().alias("host"), F.md5(F.concat_ws("\n", "url", "html")).alias("page"), "html").where("host <> ''")
+    keyed = pages.select(_host().alias("host"), "html").where("host <> ''")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(page_hashes(x)) for x in batch.column(2).to_pylist()]
+            found = [page_hashes(x) for x in batch.column(1).to_pylist()]
+            articles, hashes = [a for a, _ in found], [list(h) for _, h in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "hashes"]
+                [batch.column(0), pa.array(articles, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["host", "page", "hashes"],
             )
 
-    hashed = stored(keyed.mapInArrow(rows, "host string, page string, hashes array<bigint>"))
-    once = hashed.dropDuplicates(["host", "page"])
+    hashed = stored(keyed.mapInArrow(rows, "host string, page bigint, hashes array<bigint>"))
+    once = hashed.select("host", "page", F.explode("hashes").alias("hash")).distinct()  # copies may differ around the article
     sizes = hashed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = once.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    counts = once.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     often = counts.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
     return stored(often.groupBy("host").agg(F.collect_list("hash").alias("template")))
 

@@ -36,3 +36,12 @@ def test_site_template_goes(spark):
     assert got[100, "http://b.example/0"] == "Follow our daily letter other"
     assert got[200, None] == "" and got[201, ""] == "x" and got[None, "no host"] == "y"
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_copies_of_an_article_are_one_page(spark):
+    story = "<article><h1>Big</h1><div>Follow our daily letter</div><p>the whole story</p></article>"
+    rows = [(i, f"http://a.example/big?utm_source={i}", story + f"<div>{i}</div>") for i in range(12)]
+    rows += [(50 + i, f"http://a.example/{i}", f"<article><div>Follow our daily letter</div><p>story {i}</p></article>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: r.text for r in extract_main_text(pages).collect()}
+    assert {got[i] for i in range(12)} == {"Big the whole story"} and got[53] == "story 3"
