@@ -1,7 +1,7 @@
 """License scans with ordered signature rules.
 
 A text becomes its words (runs of 0-9, a-z and non-ASCII after lower-casing A-Z), joined by single
-blanks. Texts without any of a few keywords are not looked at further; of the rules, only those
+blanks. Texts without any of a few keywords, of which each rule needs one, are not looked at further; of the rules, only those
 whose own keyword occurs are run. Every rule is a regular expression over the joined words with a
 label, a priority (its place in the list; earlier is stronger) and a confidence. Of the detections,
 one that lies within another goes (of two with the same place the weaker one), and of two that
@@ -27,7 +27,7 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 # Label, keyword every text with it has, name as a pattern over words, identifier as words.
 FAMILIES = (
-    ("mit", "mit", "(?:mit|expat) licen[sc]e", "mit"),
+    ("mit", "mit|expat", "(?:mit|expat) licen[sc]e", "mit"),
     ("mit-0", "mit", "mit no attribution", "mit 0"),
     ("apache-1.1", "apache", "apache (?:software )?licen[sc]e v?(?:version )?1 1", "apache 1 1"),
     ("apache-2.0", "apache", "apache (?:software )?licen[sc]e v?(?:version )?2(?: 0)?", "apache 2 0"),
@@ -79,7 +79,8 @@ FORMS = (
     (0.85, "(?:see|accept|read) (?:the )?{name}", ""),
     (0.8, "{name}", ""),
 )
-KEYWORDS = "(?i)licen[sc]e|spdx|copyright|wtfpl|cc0|creative commons|all rights reserved|public domain"
+# Single words (and "cc by" with any separators) of the raw text, of which every rule needs one.
+KEYWORDS = rf"(?i)licen[sc]e|spdx|gpl|wtfpl|cc0|cc{SEPARATORS}by|commons|attribution|reserved|domain"
 
 
 def signature_rules() -> list[tuple[str, str, str, float, int]]:

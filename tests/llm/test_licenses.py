@@ -1,6 +1,6 @@
 import re
 
-from cradlemart.llm.licenses import BASE, detect, signature_rules, summarise
+from cradlemart.llm.licenses import BASE, KEYWORDS, detect, signature_rules, summarise
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TEXTS = [
@@ -46,3 +46,43 @@ def test_rules_resolve(spark):
 
 def test_empty(spark):
     assert summarise(detect(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def spelled(pattern):
+    """Every text that a rule's pattern stands for (rules have no open repetition)."""
+    def of(nodes):
+        out = [""]
+        for op, value in nodes:
+            name = str(op)
+            if name == "LITERAL":
+                some = [chr(value)]
+            elif name == "IN":
+                some = [chr(v) for _, v in value]
+            elif name == "BRANCH":
+                some = [x for part in value[1] for x in of(part)]
+            elif name == "SUBPATTERN":
+                some = of(value[3])
+            elif name == "MAX_REPEAT":
+                assert value[:2] == (0, 1)
+                some = ["", *of(value[2])]
+            else:
+                assert name == "ASSERT"
+                some = [""]
+            out = [a + b for a in out for b in some]
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_gates_let_every_rule_pass(spark):
+    texts = []
+    for hint, pattern, _, _, _ in signature_rules():
+        every = spelled(pattern)
+        for text in every:
+            raw = text.strip().replace(" ", "-\n").upper()
+            assert re.search(KEYWORDS, raw) and re.search(hint, text), (pattern, text)
+        texts += [every[0], every[-1]]
+    docs = spark.createDataFrame([(i, f"x{t.replace(' ', ' - ')} y") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.id: r for r in detect(docs).collect()}
+    for i, text in enumerate(texts):
+        assert got[i].detections, text
