@@ -5,8 +5,10 @@ raked: scaled to the target share of each source, then of each language, then of
 and again, so that all three marginals meet their targets. A document's multiplier is its cell's
 weight over its cell's share of tokens; a document is taken ``copies`` times, floor(expected) plus
 one more with the probability of the rest, decided by a hash of its id. Only cells, never documents,
-go through the rounds; a round's result is written to the shared folder, so plans stay short. All
-work is column expressions and SQL aggregates.
+go through the rounds; a round's result is written to the shared folder, so plans stay short. Rounds
+go on until no marginal is further than ``TOLERANCE`` from its target. Targets that the cells cannot
+meet at all end it too, at ``LIMIT`` rounds or when STALL looks bring nothing; the gap left is then
+given in a warning. All work is column expressions and SQL aggregates.
 
 Targets are shares by value. Without given targets each dimension's token shares are tempered:
 share^power, normalised. A value without a target keeps weight 0; a target value without tokens is
@@ -19,13 +21,19 @@ repeat an id get the same decision. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 DIMENSIONS = ("source", "language", "topic")
-ROUNDS = 6  # marginals are then within 10^-6 of their targets on the test tables
+ROUNDS = 6  # done before marginals are looked at; also those of the oracle
+TOLERANCE = 1e-6  # largest difference of a marginal from its target
+LIMIT = 1000  # rounds
+EVERY = 4  # rounds from one look at the marginals to the next
+STALL = 5  # looks without a hundredth less difference
 POWER = 0.7
 KEEP = 0.9  # expected tokens of the sample, as a share of all tokens
 SEED = "mix-1"
@@ -76,39 +84,48 @@ def given_targets(spark: SparkSession, cells: DataFrame, dimension: str, shares:
     return wanted.select("value", (F.col("target") / F.lit(total or 1.0)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """Cells with ``weight`` fitted to the targets of every dimension; weights sum to 1."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = LIMIT, tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells with ``weight`` fitted to the targets of every dimension, in ``rounds`` rounds at most; weights sum to 1."""
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     fitted = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
     for name in DIMENSIONS:  # targets stand beside the cells from the start
         wanted = targets[name].select(F.col("value").alias(name), F.col("target").alias(f"target_{name}"))
         fitted = fitted.join(wanted, name, "left")
     fitted = stored(fitted)
-    for _ in range(rounds):
+    gaps: list[float] = []
+    for done in range(1, rounds + 1):
         for name in DIMENSIONS:
-            # Sums are combined on the map side; a stored step keeps the next one's plan small.
-            sums = fitted.groupBy(name).agg(F.sum("weight").alias("have"))
+            have = F.sum("weight").over(Window.partitionBy(name))
             scale = F.when(F.col("have") > 0, F.coalesce(f"target_{name}", F.lit(0.0)) / F.col("have")).otherwise(0.0)
-            fitted = stored(fitted.join(sums, name).withColumn("weight", F.col("weight") * scale).drop("have"))
+            fitted = fitted.withColumn("have", have).withColumn("weight", F.col("weight") * scale).drop("have")
+        fitted = stored(fitted)  # one small job a round, over cells only
+        if done != rounds and (done < ROUNDS or (done - ROUNDS) % EVERY):
+            continue
+        gaps.append(deviation(fitted))
+        if gaps[-1] <= tolerance:
+            break
+        if done == rounds or (len(gaps) > STALL and gaps[-1] > 0.99 * gaps[-1 - STALL]):
+            warnings.warn(f"after {done} rounds a marginal is {gaps[-1]:.3g} from its target", stacklevel=3)
+            break
     return fitted
 
 
-def deviation(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
-    """Largest difference of a marginal from its target."""
-    worst = 0.0
-    for name in DIMENSIONS:
-        sums = cells.groupBy(F.col(name).alias("value")).agg(F.sum("weight").alias("have"))
-        gap = sums.join(targets[name], "value", "left").agg(
-            F.max(F.abs(F.col("have") - F.coalesce("target", F.lit(0.0))))
+def deviation(fitted: DataFrame) -> float:
+    """Largest difference of a marginal from its target, over all dimensions in one pass."""
+    each = F.array(
+        *(
+            F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.coalesce(f"target_{d}", F.lit(0.0)).alias("target"))
+            for d in DIMENSIONS
         )
-        worst = max(worst, gap.first()[0] or 0.0)
-    return worst
+    )
+    sums = fitted.select(F.explode(each).alias("m"), "weight").groupBy("m").agg(F.sum("weight").alias("have"))
+    return sums.agg(F.max(F.abs(F.col("have") - F.col("m.target")))).first()[0] or 0.0
 
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     language_col: str = "lang", topic: Column | None = None, targets: dict[str, dict] | None = None,
-    power: float = POWER, keep: float = KEEP, rounds: int = ROUNDS, seed: str = SEED,
+    power: float = POWER, keep: float = KEEP, rounds: int = LIMIT, seed: str = SEED,
 ) -> DataFrame:
     """One row per document: id, source, language, topic, tokens, multiplier, expected, copies."""
     text = docs[f"`{text_col}`"]

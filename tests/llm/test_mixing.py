@@ -35,3 +35,14 @@ def test_odd_input(spark):
     docs = spark.createDataFrame([(1, None, None, None), (1, "", "a", "b"), (None, "x y", "a", "b"), (2, "x", "a", None)], kind)
     assert sorted(r.tokens for r in mix_sources(docs, rounds=2).collect()) == [0, 0, 1, 2]
     assert mix_sources(docs.limit(0), rounds=2).count() == 0
+
+
+def test_correlated_cells_with_default_rounds(spark):
+    rows = []
+    for s, lang in enumerate(["en", "fr", "de", "es"]):  # each source nearly in one language
+        rows += [(1000 * s + i, "w " * 10, f"s{s}", lang if i % 5 else ["fr", "de", "es", "en"][s]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"s0": 0.4, "s1": 0.3, "s2": 0.2, "s3": 0.1}, "language": {"en": 0.38, "fr": 0.31, "de": 0.2, "es": 0.11}}
+    got = mix_sources(docs, topic=F.lit("t"), targets=targets).groupBy("source").agg(F.sum(F.col("tokens") * F.col("multiplier")) / 16000)
+    for source, share in got.collect():
+        assert share == pytest.approx(targets["source"][source], abs=1e-5)
