@@ -12,8 +12,11 @@ from .exact_dedup import DedupIndex
 from .html_text import extract_main_text
 from .jaccard_join import similar_documents
 from .language import identify
+from .lexical import search
 from .licenses import detect, summarise
+from .lines import drop_repeated_lines
 from .mixing import mix_sources
+from .negatives import ANCHOR_EVERY, mine_negatives
 from .quality import THRESHOLD, score_quality
 from .secret_scan import BASE_KINDS, scan_versions, span_text
 from .substrings import repeated_passages
@@ -86,6 +89,22 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return mine_negatives(rows, F.col("id") % ANCHOR_EVERY == 0)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -100,6 +119,9 @@ LLM_QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 LLM_ORACLE = {
@@ -129,4 +151,44 @@ LLM_ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_ranked_search": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '{SQL_LETTERS}') AS w FROM documents),
+        s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d),
+        b AS (SELECT item_id, term, count(*) AS times
+              FROM (SELECT item_id, unnest(regexp_extract_all({SQL_LOWER}, '{SQL_LETTERS}')) AS term FROM benchmark) GROUP BY ALL),
+        p AS (SELECT doc_id, n, term, count(*) AS tf
+              FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) SEMI JOIN b USING (term) GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        g AS (SELECT item_id, doc_id, sum(times * floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+                     * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::BIGINT AS score
+              FROM p JOIN f USING (term) JOIN b USING (term), s GROUP BY ALL),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+              FROM g WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 10""",
+    "op12_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, o.vec_id AS other_id, a.label = o.label AS same,
+                     list_inner_product(a.v, o.v)::BIGINT AS score
+              FROM e a JOIN e o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id AND len(a.v) = len(o.v)),
+        p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS place FROM s WHERE same),
+        n AS (SELECT p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score,
+                     s.score AS negative_score,
+                     row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank
+              FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND p.place <= 5
+                   AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
+    "op13_line_dedup": """
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place FROM documents),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        f AS (SELECT key, max(doc_id) AS keep_id FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        m AS (SELECT k.*, coalesce(doc_id <> keep_id, false) AS gone FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
 }
