@@ -10,7 +10,7 @@ from ..schemas import (
     CATEGORIES, CHILDREN, CONDITIONS, GENDERS, IMAGE_EXTENSIONS, MAX_PRICE, MIN_PRICE, PREFECTURES, RENTAL_PERIODS,
     SHIPPING_ESTIMATES, SHIPPING_PAYERS,
 )
-from ..session import stored
+from .claims import granted
 
 # The forms' patterns. (?d) leaves \n as the only line end and (?U) lets \d take the digits of every script.
 PASSWORD = r"(?dU)^(?=.*[a-zA-Z])(?=.*\d).{8,}$"
@@ -73,31 +73,12 @@ def registration_rules() -> Rules:
 def first_come(claims: DataFrame, names: list[str]) -> DataFrame:
     """Rows (seq, names...) that get all their names when served in ``seq`` order, first come first served.
 
-    A row that loses one name leaves its other names free, so one pass is not enough: each round
-    serves the rows that come first under every name and turns away those that clash with them.
-    Rounds go on until nothing is open; only rows with a clash reach the second round.
+    A row that loses one name leaves its other names free.
     """
-    opened, served = claims.select("seq", *names), []
-    while True:
-        ranked = opened
-        for name in names:
-            first = opened.groupBy(name).agg(F.min("seq").alias(f"_first_{name}"))
-            ranked = ranked.join(first, name)
-        wins = F.lit(True)
-        for name in names:
-            wins = wins & (F.col("seq") == F.col(f"_first_{name}"))
-        result = stored(ranked.select("seq", *names, wins.alias("wins")))
-        winners = result.where("wins").select("seq", *names)
-        served.append(winners)
-        opened = result.where("not wins").select("seq", *names)
-        for name in names:
-            opened = opened.join(winners.select(name), name, "left_anti")
-        if opened.isEmpty():
-            break
-    out = served[0]
-    for more in served[1:]:
-        out = out.unionByName(more)
-    return out
+    rows = claims.select("seq", *names)
+    wanted = F.array(*[F.concat(F.lit(f"{name} "), name) for name in names])
+    asked = rows.select("seq", F.concat(F.lit("form "), "seq").alias("actor"), wanted.alias("names"))
+    return rows.join(granted(asked), "seq", "left_semi")
 
 
 def validate_registrations(forms: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -134,18 +115,19 @@ def validate_registrations(forms: DataFrame, accounts: DataFrame) -> DataFrame:
 def validate_profile_changes(changes: DataFrame, accounts: DataFrame) -> DataFrame:
     """Profile changes with an ``errors`` map: the new user name must not belong to another account.
 
-    Names are compared with the table as it is before the batch; a free name goes to the first
-    account that asks for it. A name given up in the batch is free again in the next one.
+    Names are compared as they are when a change comes in ``seq`` order: an accepted change gives
+    the account's former name free. A change without a name leaves the name as it is.
     """
-    # One owner per name before the join, so that a name many ask for can be split there.
-    held = accounts.groupBy("account_name").agg(F.min("account_id").alias("_low"), F.max("account_id").alias("_high"))
-    first = changes.groupBy("account_name").agg(F.min_by("account_id", "seq").alias("_first"))
-    owner = first.join(held, "account_name", "left").select(
-        "account_name", F.coalesce("_low", "_first").alias("_low"), F.coalesce("_high", "_first").alias("_high")
+    asked = changes.select(
+        F.col("seq").cast("bigint").alias("seq"),
+        F.coalesce(F.col("account_id").cast("string"), F.concat(F.lit("change "), "seq")).alias("actor"),
+        F.array("account_name").alias("names"),
     )
-    taken = (F.col("_low") != F.col("account_id")) | (F.col("_high") != F.col("account_id"))
+    held = accounts.select(F.col("account_name").alias("name"), F.col("account_id").cast("string").alias("actor"))
+    accepted = granted(asked, held.where("name IS NOT NULL")).select(F.col("seq").alias("_seq"))
+    taken = F.col("_seq").isNull()
     return (
-        changes.join(owner, "account_name", "left")
+        changes.join(accepted, changes["seq"] == accepted["_seq"], "left")
         .transform(validate, [("username", F.when(taken, "taken"))])
         .select(*changes.columns, "errors")
     )

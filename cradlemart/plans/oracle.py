@@ -236,10 +236,23 @@ VIEWS = {
                printf('%07d', event_id) AS postal_code, {_pick(PREFECTURES, 'event_id')} AS prefecture,
                event_type AS city_ward, CAST(event_id AS VARCHAR) AS address_number
         FROM events WHERE event_type = 'click'""",
+    # One change after the other. Keys: an account's name now; -1 the number of the change; below that the outcomes.
+    "profile_replay": """
+        WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM profile_change),
+        held(k, name, n) USING KEY (k) AS (
+            SELECT account_id, account_name, 0 FROM account
+            UNION ALL SELECT -1, NULL, 0
+            UNION
+            SELECT CASE i WHEN 1 THEN -1 WHEN 2 THEN -1 - x.n ELSE x.account_id END,
+                   CASE i WHEN 2 THEN x.errors WHEN 3 THEN x.account_name END, x.n
+            FROM (SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM recurring.held h WHERE h.name = c.account_name
+                                                AND h.k >= 0 AND h.k <> c.account_id) THEN 'username:taken' ELSE '' END AS errors
+                  FROM held w JOIN c ON w.k = -1 AND c.n = w.n + 1) x, (VALUES (1), (2), (3)) v(i)
+            WHERE i < 3 OR x.errors = '')
+        SELECT n, name AS errors FROM held WHERE k < -1""",
     "profile_checked": """
-        SELECT *, CASE WHEN account_id <> first_value(account_id) OVER (PARTITION BY account_name ORDER BY seq)
-                       THEN 'username:taken' ELSE '' END AS errors
-        FROM profile_change""",
+        SELECT c.* EXCLUDE (n), r.errors
+        FROM (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM profile_change) c JOIN profile_replay r USING (n)""",
     "profile_latest": """
         SELECT * FROM profile_checked WHERE errors = ''
         QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY seq DESC) = 1""",
