@@ -66,6 +66,47 @@ def _balance(opening: str) -> str:
     return f"CAST({start} + cum - coalesce(greatest(0BD, {start} + top - {CAP}BD), 0BD) AS {MONEY})"
 
 
+def _known(events: DataFrame) -> DataFrame:
+    return events.select("account_id", "seq", "kind", F.col("amount").cast(MONEY).alias("amount")).where(
+        F.col("kind").isin("grant", "reset", "credit", "debit")
+    )
+
+
+def _moves(known: DataFrame) -> DataFrame:
+    """Events with what they do to a balance: ``set_to``, ``delta`` and ``peak``."""
+    return (
+        known.selectExpr(
+            "*",
+            f"""CAST(CASE WHEN kind = 'reset' THEN 0 WHEN kind = 'grant' AND (amount IS NULL OR amount >= {SURE}BD)
+                THEN {CAP} END AS {MONEY}) AS set_to""",
+        )
+        .selectExpr("*", "coalesce(set_to, if(kind = 'debit', -amount, amount)) AS delta")
+        .selectExpr("*", "if(kind = 'grant' AND set_to IS NULL, delta, NULL) AS peak")
+    )
+
+
+def _as_event(*keys: str) -> list[str]:
+    """What a stretch of events does as a whole, in the shape of one event."""
+    return [
+        *keys, f"if(sets > 0, {_balance('0BD')}, NULL) AS set_to", f"if(sets > 0, {_balance('0BD')}, cum) AS delta",
+        "if(sets = 0, top, NULL) AS peak",
+    ]
+
+
+def net_effects(events: DataFrame, share: float = SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
+    """What a batch of events does to each account (account_id, set_to, delta, peak), in one row.
+
+    A balance b becomes ``set_to`` where that is given, else b + ``delta`` less what b + ``peak``
+    is above the cap. Busy accounts are summed up block by block.
+    """
+    every, _ = with_blocks(_moves(_known(events)), ["account_id"], "seq", share, min_rows)
+    end = F.struct("sets", "cum", "top")
+    blocks = _steps(every, ["account_id", BLOCK], EVENT_ORDER).groupBy("account_id", BLOCK).agg(_newest(end).alias("end"))
+    whole = _steps(blocks.select("account_id", BLOCK, "end.*").selectExpr(*_as_event("account_id", BLOCK)), ["account_id"], [BLOCK])
+    last = whole.groupBy("account_id").agg(F.max_by(end, BLOCK).alias("end"))
+    return last.select("account_id", "end.*").selectExpr(*_as_event("account_id"))
+
+
 def points_ledger(
     events: DataFrame, opening: DataFrame | None = None, share: float = SHARE, min_rows: int = MIN_ROWS
 ) -> DataFrame:
@@ -75,9 +116,7 @@ def points_ledger(
     Amounts and balances are decimal(38,0).
     ``opening`` (account_id, points) gives balances before the first event; its rows carry no seq.
     """
-    known = events.select("account_id", "seq", "kind", F.col("amount").cast(MONEY).alias("amount")).where(
-        F.col("kind").isin("grant", "reset", "credit", "debit")
-    )
+    known = _known(events)
     if opening is not None:
         known = known.unionByName(
             opening.select(
@@ -87,15 +126,7 @@ def points_ledger(
                 F.col("points").cast(MONEY).alias("amount"),
             )
         )
-    moves = (
-        known.selectExpr(
-            "*",
-            f"""CAST(CASE WHEN kind = 'reset' THEN 0 WHEN kind = 'grant' AND (amount IS NULL OR amount >= {SURE}BD)
-                THEN {CAP} END AS {MONEY}) AS set_to""",
-        )
-        .selectExpr("*", "coalesce(set_to, if(kind = 'debit', -amount, amount)) AS delta")
-        .selectExpr("*", "if(kind = 'grant' AND set_to IS NULL, delta, NULL) AS peak")
-    )
+    moves = _moves(known)
     every, large = with_blocks(moves, ["account_id"], "seq", share, min_rows)
     local = _steps(every, ["account_id", BLOCK], EVENT_ORDER)
 
@@ -106,10 +137,7 @@ def points_ledger(
         .agg(_newest(F.struct("sets", "cum", "top")).alias("end"))
         .select("account_id", BLOCK, "end.*")
     )
-    as_events = ends.selectExpr(
-        "account_id", BLOCK, f"if(sets > 0, {_balance('0BD')}, NULL) AS set_to",
-        f"if(sets > 0, {_balance('0BD')}, cum) AS delta", "if(sets = 0, top, NULL) AS peak",
-    )
+    as_events = ends.selectExpr(*_as_event("account_id", BLOCK))
     opened = (
         _steps(as_events, ["account_id"], [BLOCK])
         .selectExpr("account_id", BLOCK, f"{_balance('0BD')} AS _close")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import japanese_time
-from .ordered import MIN_ROWS, SHARE, running_number
+from .ordered import BLOCK, MIN_ROWS, SHARE, carry, running_number, with_blocks
 
 EDGE = ["followed_id", "follower_id"]
 
@@ -22,6 +22,22 @@ def follow_now(log: DataFrame) -> DataFrame:
     return last.where(F.col("action") == "follow").select(*EDGE)
 
 
+def follow_starts(log: DataFrame, present: DataFrame) -> DataFrame:
+    """The follow actions that make an edge: those that do not find it there already.
+
+    ``present`` are the edges before the log. An edge whose log is very long is cut into blocks;
+    each block gets the action before its first.
+    """
+    every, large = with_blocks(log.select(*EDGE, "seq", "action"), EDGE, "seq")
+    ends = large.groupBy(*EDGE, BLOCK).agg(F.max_by("action", "seq").alias("_end"))
+    earlier = ends.select(*EDGE, BLOCK, F.lag("_end").over(Window.partitionBy(*EDGE).orderBy(BLOCK)).alias("_earlier"))
+    before = F.lag("action").over(Window.partitionBy(*EDGE, BLOCK).orderBy("seq"))
+    marked = carry(every.withColumn("_before", before), earlier, EDGE)
+    marked = marked.join(present.select(*EDGE, F.lit("follow").alias("_present")), EDGE, "left")
+    absent = F.coalesce("_before", "_earlier", "_present", F.lit("unfollow")) != "follow"
+    return marked.where((F.col("action") == "follow") & absent).select(*EDGE, "seq")
+
+
 def follow_add(requests: DataFrame, follows: DataFrame) -> DataFrame:
     """New edges of a batch, each once with its first request; edges that exist already are left out."""
     first = requests.groupBy(*EDGE).agg(F.min("seq").alias("seq"))

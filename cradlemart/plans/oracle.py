@@ -635,11 +635,24 @@ _BODIES = {
     "stream_points_opening": """
         SELECT account_id, balance AS points FROM replay_opened
         QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY rn DESC) = 1""",
-    "stream_follow": "SELECT followed_id, follower_id FROM follow",
+    # Every follow that finds no edge gets the next id.
+    "stream_follow": """
+        SELECT f.followed_id, f.follower_id, arg_max(i.id, i.seq) AS follow_id
+        FROM follow f JOIN (
+            SELECT *, printf('%05d', row_number() OVER (ORDER BY seq)) AS id
+            FROM (SELECT *, lag(action) OVER (PARTITION BY followed_id, follower_id ORDER BY seq) AS prev FROM follow_log)
+            WHERE action = 'follow' AND (prev IS NULL OR prev = 'unfollow')) i USING (followed_id, follower_id)
+        GROUP BY ALL""",
     "stream_registration": "SELECT * FROM registration_errors",
     "stream_window_counts": f"""
         SELECT strftime(date_trunc('hour', ts), {_SHOWN}) AS window_start, event_type AS kind, count(*) AS n
         FROM events GROUP BY ALL""",
+    # The feed comes in three parts; a row is late by the newest time of the parts before its own.
+    "stream_window_late": """
+        WITH p AS (SELECT *, event_id % 3 AS part FROM events),
+        m AS (SELECT part, max(ts) AS newest FROM p GROUP BY part)
+        SELECT event_id, event_type AS kind FROM p
+        WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(newest) FROM m WHERE m.part < p.part) - INTERVAL 1 DAY""",
 }
 
 _BODIES["lookup_listing"] = f"SELECT * FROM ({_BODIES['item_detail']}) x WHERE channel = 'sale' AND listing_id = 7"

@@ -490,6 +490,10 @@ def stream_window_counts(v: V) -> DataFrame:
     return jobs.run_window_counts(v)
 
 
+def stream_window_late(v: V) -> DataFrame:
+    return jobs.run_window_late(v)
+
+
 ALL: list[Callable[[V], DataFrame]] = [
     browse, visible, catalog_union, lookup_listing, lookup_account, lookup_seller, lookup_post, keyword_search, keyword_wildcards, keyword_terms, facet_category, facet_condition,
     facet_price, facet_index, facet_counts, item_detail, photo_slots, comments, comments_live, comment_counts, seller,
@@ -502,6 +506,7 @@ ALL: list[Callable[[V], DataFrame]] = [
     valid_edit, edit_sale, edit_rental, edit_sale_category, edit_rental_category, replace_photos, replace_icon,
     valid_registration, valid_listing, valid_post, normalise, postal_enrich, stream_points, stream_listing_state,
     stream_settle, stream_settle_events, stream_settle_listings, stream_settle_rejects, stream_points_opening, stream_follow, stream_registration, stream_window_counts,
+    stream_window_late,
 ]
 
 

@@ -3,28 +3,35 @@
 Every batch function reads the state left by earlier batches only and overwrites the output of its
 own batch id, so a batch that runs again after a failure leaves the same result. Events are applied
 in ``seq`` order inside a micro-batch; an event that arrives later is applied on arrival, as the
-site does.
+site does. State is kept as runs of changes (``sources.changes``): a batch writes what it changes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ledger, quality, settlement, social
 from ..operators.catalog import LISTING
 from ..operators.social import EDGE
-from ..session import work_dir
+from ..operators.writes import assign_ids
+from ..schemas import CAP
+from ..session import stored, work_dir
+from ..sources.changes import put_changes, read_state
 from ..sources.driver import DriverViews
 from ..sources.tables import append, publish, read_feed, read_snapshot
 
 
-def start(
-    stream: DataFrame, apply: Callable[[DataFrame, int], None], folder: str, mode: str = "append", **trigger: object
-) -> None:
-    """Run a stream through ``apply`` until its input is used up (or for ever with another trigger)."""
+def launch(
+    stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", **trigger: object
+) -> StreamingQuery:
+    """Run a stream through ``apply``, by default until its input is used up."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
         rows = df.persist()
@@ -33,14 +40,20 @@ def start(
         finally:
             rows.unpersist()
 
-    query = (
+    return (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{folder}/checkpoint")
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(batch)
         .start()
     )
-    query.awaitTermination()
+
+
+def start(
+    stream: DataFrame, apply: Callable[[DataFrame, int], None], folder: str, mode: str = "append", **trigger: object
+) -> None:
+    """Launch a stream and wait for its end."""
+    launch(stream, apply, f"{folder}/checkpoint", mode, **trigger).awaitTermination()
 
 
 def _ddl(df: DataFrame) -> str:
@@ -56,12 +69,6 @@ def earlier_batches(like: DataFrame, path: str, batch_id: int) -> DataFrame:
     return rows.where(F.col("batch") < batch_id).drop("batch")
 
 
-def upsert(changed: DataFrame, path: str, keys: list[str], batch_id: int) -> None:
-    """Publish the earlier snapshot with the changed rows in place of their old versions."""
-    old = read_snapshot(changed.sparkSession, path, _ddl(changed), before=batch_id)
-    publish(old.join(changed, keys, "left_anti").unionByName(changed), path, batch_id)
-
-
 def _now(table: DataFrame | Callable[[], DataFrame]) -> DataFrame:
     """A static side as it is now: a function is called anew in every batch, so it sees appended rows."""
     return table() if callable(table) else table
@@ -70,37 +77,85 @@ def _now(table: DataFrame | Callable[[], DataFrame]) -> DataFrame:
 Table = DataFrame | Callable[[], DataFrame]
 
 
+BALANCE = f"account_id {{kind}}, points {ledger.MONEY}"
+
+
+def _apply_effects(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Move one account's points by the net effect of each batch of its events; a batch of the feed
+    that has been applied (one that ran again) is passed over."""
+    points, done = state.get if state.exists else ("0", -2)
+    points, before = int(points), done
+    effects = pd.concat(list(frames)).sort_values("batch")  # one row a batch of the feed
+    for batch, set_to, delta, peak in zip(*(effects[c] for c in ("batch", "set_to", "delta", "peak")), strict=True):
+        if batch <= done:
+            continue
+        if set_to is not None:
+            points = int(set_to)
+        else:
+            points += int(delta) - (0 if peak is None else max(0, points + int(peak) - CAP))
+        done = int(batch)
+    if done > before:
+        state.update((str(points), done))
+        yield pd.DataFrame({"account_id": [key[0]], "points": [Decimal(points)]})
+
+
 def live_points(events: DataFrame, folder: str, opening: DataFrame | None = None, **trigger: object) -> str:
-    """Balance per account after each micro-batch of ledger events; returns the snapshot path.
+    """Balance per account, kept up with the ledger events; returns the path of the balances (``read_points``).
 
     ``opening`` (account_id, points) gives the balances before the first batch.
 
-    The capped sum depends on order, so each batch goes through the blockwise batch ledger with the
-    earlier balances as opening rows. A busy account is thus cut into blocks here too, where a
-    per-key state function would take all its rows in one task.
+    The capped sum depends on order. A first stream turns each micro-batch into one row per account
+    that says what the batch does to its balance, block by block where an account is busy. A second
+    one holds the balances in a state store and applies these rows, so a batch touches the state of
+    its own accounts only and writes as many rows.
     """
-    path = f"{folder}/balances"
+    spark, path, feed = events.sparkSession, f"{folder}/balances", f"{folder}/effects"
+    kind = dict(events.dtypes)["account_id"]
+    effect = f"account_id {kind}, set_to {ledger.MONEY}, delta {ledger.MONEY}, peak {ledger.MONEY}"
+    begin = spark.createDataFrame([], effect)
+    if opening is not None:
+        points = F.col("points").cast(ledger.MONEY)
+        begin = opening.select("account_id", points.alias("set_to"), points.alias("delta"), F.lit(None).cast(ledger.MONEY).alias("peak"))
+    begin.write.mode("overwrite").parquet(f"{feed}/batch=-1")
+
+    first = launch(
+        events, lambda batch, n: append(ledger.net_effects(batch), feed, n), f"{folder}/checkpoint", **trigger
+    )
+    if not trigger:
+        first.awaitTermination()
+    ddl = BALANCE.format(kind=kind)
+    moved = read_feed(spark, feed, f"{effect}, batch bigint").groupBy("account_id").applyInPandasWithState(
+        _apply_effects, ddl, "points string, batch bigint", "update", GroupStateTimeout.NoTimeout
+    )
+    second = launch(
+        moved, lambda batch, n: put_changes(batch, path, ddl, ["account_id"], n), f"{folder}/checkpoint-balances", "update", **trigger
+    )
+    first.awaitTermination()
+    second.awaitTermination()
+    return path
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        schema = f"account_id {dict(batch.dtypes)['account_id']}, points {ledger.MONEY}"
-        old = read_snapshot(batch.sparkSession, path, schema, before=batch_id)
-        if batch_id == 0 and opening is not None:
-            old = opening.select("account_id", F.col("points").cast(ledger.MONEY).alias("points"))
-        publish(ledger.last_balance(ledger.points_ledger(batch, old)), path, batch_id)
 
-    start(events, apply, folder, **trigger)
-    return path
+def read_points(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """The newest balance of every account that has had an event or an opening balance."""
+    return read_state(spark, path, BALANCE.format(kind=kind), ["account_id"])
+
+
+LISTING_STATE = "channel string, listing_id {kind}, status string, deleted int"
 
 
 def live_listing_state(events: DataFrame, folder: str, **trigger: object) -> str:
-    """Status and deletion flag per listing, kept by a streaming aggregation; returns the snapshot path."""
-    path = f"{folder}/listing_state"
-    start(
-        settlement.listing_state(events), lambda batch, n: upsert(batch, path, LISTING, n), folder, "update", **trigger
-    )
+    """Status and deletion flag per listing, kept by a streaming aggregation; returns the state's path (``read_listings``)."""
+    path, ddl = f"{folder}/listing_state", LISTING_STATE.format(kind=dict(events.dtypes)["listing_id"])
+    state = settlement.listing_state(events)
+    start(state, lambda batch, n: put_changes(batch, path, ddl, LISTING, n), folder, "update", **trigger)
     return path
 
 
+def read_listings(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """The newest state of every listing in the log."""
+    return read_state(spark, path, LISTING_STATE.format(kind=kind), LISTING)
+
+
 def live_settlement(
     purchases: DataFrame, listings: Table, folder: str, mode: str = "as_is", transactions: Table | None = None,
     **trigger: object,
@@ -142,61 +197,115 @@ def live_settlement(
     return paths
 
 
+FOLLOW = "followed_id {kind}, follower_id {kind}, follow_id string"
+
+
 def live_follow(actions: DataFrame, folder: str, existing: DataFrame | None = None, **trigger: object) -> str:
-    """The follow graph after each micro-batch of actions; returns the snapshot path.
+    """The follow graph with ids, kept up with the actions; returns the path of its state (``read_follows``).
 
-    ``existing`` holds the edges stored before the first batch.
+    ``existing`` holds the edges (with follow_id) stored before the first batch. Every follow that
+    finds no edge gets the next id in ``seq`` order, however the actions fall into batches; a follow
+    of an edge that is there changes nothing. An id is not given twice, also when its edge has gone.
     """
-    path = f"{folder}/follow"
+    path, last_ids = f"{folder}/follow", f"{folder}/last_ids"
+    ddl = FOLLOW.format(kind=dict(actions.dtypes)["followed_id"])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         log = batch.select(*EDGE, "seq", "action")
-        old = read_snapshot(batch.sparkSession, path, _ddl(log.select(*EDGE)), before=batch_id)
+        last = read_snapshot(spark, last_ids, "follow_id string", before=batch_id)
+        old = read_state(spark, path, ddl, EDGE, batch_id, log)
         if batch_id == 0 and existing is not None:
-            old = existing.select(*EDGE)
-        before = old.withColumns({"seq": F.lit(-(2**63)), "action": F.lit("follow")})
-        publish(social.follow_now(log.unionByName(before)), path, batch_id)
+            known = existing.select(*EDGE, "follow_id")
+            last, old = known.select("follow_id"), known.join(log.select(*EDGE).distinct(), EDGE, "left_semi")
+        old = stored(old)
+        made = stored(assign_ids(stored(social.follow_starts(log, old)), last, "follow_id", "seq"))
+        newest = made.groupBy(*EDGE).agg(F.max_by("follow_id", "seq").alias("_new"))
+        ends = log.groupBy(*EDGE).agg((F.max_by("action", "seq") != "follow").alias("gone"))
+        changed = ends.join(newest, EDGE, "left").join(old, EDGE, "left")
+        changed = changed.where("(gone AND follow_id IS NOT NULL) OR (NOT gone AND _new IS NOT NULL)")
+        changed = changed.withColumn("follow_id", F.coalesce("_new", "follow_id")).select(*EDGE, "follow_id", "gone")
+        if batch_id == 0 and existing is not None:
+            untouched = known.join(changed.select(*EDGE), EDGE, "left_anti")
+            changed = changed.unionByName(untouched.withColumn("gone", F.lit(False)))
+        put_changes(changed, path, ddl, EDGE, batch_id)
+        number = F.max(F.col("follow_id").try_cast("bigint"))
+        publish(last.unionByName(made.select("follow_id")).agg(number.cast("string").alias("follow_id")), last_ids, batch_id)
 
     start(actions, apply, folder, **trigger)
     return path
 
 
+def read_follows(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """The edges there now."""
+    return read_state(spark, path, FOLLOW.format(kind=kind), EDGE)
+
+
+HELD = "field string, name string"
+
+
 def live_registration(forms: DataFrame, accounts: Table, folder: str, **trigger: object) -> str:
     """Checked registrations (with their ``errors``) per batch; returns the output path.
 
-    A form sent again (the same ``seq``) is handled once, whenever it comes; a form that arrives late
-    is handled on arrival. Names accepted by earlier batches are taken. ``accounts`` may be a function,
-    which is called in every batch.
+    A form sent again (the same ``seq``) is handled once, whenever it comes: the stream's state store
+    knows what has been handled. A form that arrives late is handled on arrival. Names accepted by
+    earlier batches are taken; only the batch's own names are looked up among them. ``accounts`` may
+    be a function, which is called in every batch.
     """
-    path = f"{folder}/registrations"
+    path, names = f"{folder}/registrations", f"{folder}/names"
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("name")) for f in ("username", "email")])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        like = batch.drop("password", "password_confirm").withColumn("errors", F.lit(None).cast("map<string,string>"))
-        handled = earlier_batches(like, path, batch_id)
-        new = batch.dropDuplicates(["seq"]).join(handled.select("seq"), "seq", "left_anti").select(*batch.columns)
-        accepted = handled.where(F.size("errors") == 0)
-        held = _now(accounts).select("account_name", "email").unionByName(
-            accepted.select(F.col("username").alias("account_name"), "email")
-        )
-        append(quality.validate_registrations(new, held), path, batch_id)
-
-    start(forms, apply, folder, **trigger)
+        spark = batch.sparkSession
+        asked = batch.select(F.explode(fields).alias("x")).select("x.*")
+        held = stored(read_state(spark, names, HELD, ["field", "name"], batch_id, asked))
+        taken = _now(accounts).select("account_name", "email").unionByName(held.select(
+            F.when(F.col("field") == "username", F.col("name")).alias("account_name"),
+            F.when(F.col("field") == "email", F.col("name")).alias("email"),
+        ))
+        checked = quality.validate_registrations(batch, taken)
+        append(checked, path, batch_id)
+        written = spark.read.schema(checked.schema).parquet(f"{path}/batch={batch_id}")
+        accepted = written.where(F.size("errors") == 0).select(F.explode(fields).alias("x")).select("x.*")
+        put_changes(accepted.distinct(), names, HELD, ["field", "name"], batch_id)
+
+    start(forms.dropDuplicates(["seq"]), apply, folder, **trigger)
     return path
 
 
+COUNTS = "window_start timestamp, kind string, n bigint"
+
+
 def live_window_counts(
     events: DataFrame, time: str, kind: str, folder: str, width: str = "1 hour", late: str = "1 day", **trigger: object
-) -> str:
-    """Rows per tumbling window and kind; rows later than ``late`` are dropped. Returns the snapshot path."""
-    path = f"{folder}/windows"
-    counts = (
-        events.withWatermark(time, late)
-        .groupBy(F.window(time, width).alias("w"), F.col(kind).alias("kind"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("window_start"), "kind", "n")
-    )
-    start(counts, lambda batch, n: upsert(batch, path, ["window_start", "kind"], n), folder, "update", **trigger)
-    return path
+) -> tuple[str, str]:
+    """Rows per tumbling window and kind; returns the paths of the counts (``read_counts``) and of the late rows.
+
+    A row is late when its window ended ``late`` or more before the newest time of earlier batches. Late
+    rows are not counted but written to an output of their own, one folder a batch.
+    """
+    path, late_path, newest = f"{folder}/windows", f"{folder}/late", f"{folder}/newest"
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        before = read_snapshot(batch.sparkSession, newest, "at timestamp", before=batch_id)
+        mark = before.agg((F.max("at") - F.expr(f"INTERVAL {late}")).alias("_mark")).scalar()
+        window = F.window(time, width)
+        is_late = F.coalesce(window["end"] <= F.col("_mark"), F.lit(False))
+        dealt = batch.withColumn("_mark", mark).withColumns({"_late": is_late, "_start": window["start"]})
+        append(dealt.where("_late").select(*batch.columns), late_path, batch_id)
+        counts = dealt.where("NOT _late AND _start IS NOT NULL").groupBy(
+            F.col("_start").alias("window_start"), F.col(kind).alias("kind")
+        ).agg(F.count(F.lit(1)).alias("n"))
+        put_changes(counts, path, COUNTS, ["window_start", "kind"], batch_id, sums=["n"])
+        publish(before.unionByName(batch.select(F.col(time).alias("at"))).agg(F.max("at").alias("at")), newest, batch_id)
+
+    start(events, apply, folder, **trigger)
+    return path, late_path
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows per window and kind so far."""
+    return read_state(spark, path, COUNTS, ["window_start", "kind"], sums=["n"])
 
 
 # ---- the streams over the test tables ----------------------------------------------------------
@@ -212,12 +321,20 @@ class StreamedViews(DriverViews):
 
     def table(self, name: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        key, folder = rows.columns[0], work_dir(self.spark)
+        key = rows.columns[0]
         low, high = rows.agg(F.min(key), F.max(key)).first()
         step = ((high or 0) - (low or 0)) // self.PARTS + 1
-        for part in range(self.PARTS):
-            mine = F.coalesce(F.floor((F.col(key) - (low or 0)) / step), F.lit(0)) == part
-            rows.where(mine).write.parquet(f"{folder}/{part}")
+        return self._fed(rows, F.coalesce(F.floor((F.col(key) - (low or 0)) / step), F.lit(0)))
+
+    def mixed(self, name: str) -> DataFrame:
+        """The table dealt out by its first column, so that every part has rows of all times."""
+        rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._fed(rows, F.pmod(rows.columns[0], F.lit(self.PARTS)))
+
+    def _fed(self, rows: DataFrame, part: Column) -> DataFrame:
+        folder = work_dir(self.spark)
+        for number in range(self.PARTS):
+            rows.where(part == number).write.parquet(f"{folder}/{number}")
         return read_feed(self.spark, f"{folder}/*", _ddl(rows), max_files=1)
 
     def whole(self, name: str) -> DataFrame:
@@ -227,20 +344,16 @@ class StreamedViews(DriverViews):
 
 
 def run_points(v: DriverViews) -> DataFrame:
-    stream = StreamedViews(v.spark, v.dir).ledger_event()
-    path = live_points(stream, work_dir(v.spark))
-    return read_snapshot(v.spark, path, f"account_id bigint, points {ledger.MONEY}")
+    return read_points(v.spark, live_points(StreamedViews(v.spark, v.dir).ledger_event(), work_dir(v.spark)))
 
 
 def run_points_opening(v: DriverViews) -> DataFrame:
     """On top of the points the accounts start with."""
-    path = live_points(StreamedViews(v.spark, v.dir).ledger_event(), work_dir(v.spark), v.account())
-    return read_snapshot(v.spark, path, f"account_id bigint, points {ledger.MONEY}")
+    return read_points(v.spark, live_points(StreamedViews(v.spark, v.dir).ledger_event(), work_dir(v.spark), v.account()))
 
 
 def run_listing_state(v: DriverViews) -> DataFrame:
-    path = live_listing_state(StreamedViews(v.spark, v.dir).listing_event(), work_dir(v.spark))
-    return read_snapshot(v.spark, path, "channel string, listing_id bigint, status string, deleted int")
+    return read_listings(v.spark, live_listing_state(StreamedViews(v.spark, v.dir).listing_event(), work_dir(v.spark)))
 
 
 def run_settlement(v: DriverViews) -> dict[str, DataFrame]:
@@ -252,8 +365,7 @@ def run_settlement(v: DriverViews) -> dict[str, DataFrame]:
 
 
 def run_follow(v: DriverViews) -> DataFrame:
-    path = live_follow(StreamedViews(v.spark, v.dir).follow_log(), work_dir(v.spark))
-    return read_snapshot(v.spark, path, "followed_id bigint, follower_id bigint")
+    return read_follows(v.spark, live_follow(StreamedViews(v.spark, v.dir).follow_log(), work_dir(v.spark)))
 
 
 def run_registration(v: DriverViews) -> DataFrame:
@@ -263,6 +375,12 @@ def run_registration(v: DriverViews) -> DataFrame:
 
 def run_window_counts(v: DriverViews) -> DataFrame:
     events = StreamedViews(v.spark, v.dir).whole("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    path = live_window_counts(events, "ts", "event_type", work_dir(v.spark))
-    counts = read_snapshot(v.spark, path, "window_start timestamp, kind string, n bigint")
+    counts = read_counts(v.spark, live_window_counts(events, "ts", "event_type", work_dir(v.spark))[0])
     return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+def run_window_late(v: DriverViews) -> DataFrame:
+    """The events that came too late for their window, with the events of all times fed in three parts."""
+    events = StreamedViews(v.spark, v.dir).mixed("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = live_window_counts(events, "ts", "event_type", work_dir(v.spark))[1]
+    return v.spark.read.parquet(path).select("event_id", F.col("event_type").alias("kind"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cradlemart.operators import ledger, quality, settlement, social
 from cradlemart.schemas import FEEDS, LISTED, PAY_CARD, PAY_POINTS
+from cradlemart.sources.changes import put_changes, read_state, runs, superseded
 from cradlemart.sources.tables import append, committed_versions, publish, read_feed, read_snapshot
 from cradlemart.streaming import jobs
 
@@ -34,8 +35,7 @@ def test_points(spark, tmp_path):
         FEEDS["ledger_event"],
     )
     path = jobs.live_points(feed(spark, str(tmp_path / "in"), log, 4), str(tmp_path / "out"))
-    assert len(committed_versions(spark, path)) == 4
-    got = read_snapshot(spark, path, "account_id string, points decimal(38,0)")
+    got = jobs.read_points(spark, path, "string")
     assert rows(got) == rows(ledger.last_balance(ledger.points_ledger(log)))
 
 
@@ -46,7 +46,7 @@ def test_listing_state(spark, tmp_path):
         FEEDS["listing_event"],
     )
     path = jobs.live_listing_state(feed(spark, str(tmp_path / "in"), log, 3), str(tmp_path / "out"))
-    got = read_snapshot(spark, path, "channel string, listing_id string, status string, deleted int")
+    got = jobs.read_listings(spark, path, "string")
     assert rows(got) == rows(settlement.listing_state(log))
 
 
@@ -85,7 +85,18 @@ def test_follow(spark, tmp_path):
         "seq long, followed_id string, follower_id string, action string",
     )
     path = jobs.live_follow(feed(spark, str(tmp_path / "in"), log, 3), str(tmp_path / "out"))
-    assert rows(read_snapshot(spark, path, "followed_id string, follower_id string")) == rows(social.follow_now(log))
+    got = jobs.read_follows(spark, path, "string")
+    assert rows(got.drop("follow_id")) == rows(social.follow_now(log))
+    ids, there, last = {}, set(), 0
+    for r in log.orderBy("seq").collect():
+        edge = (r.followed_id, r.follower_id)
+        if r.action == "unfollow":
+            there.discard(edge)
+        elif edge not in there:
+            there.add(edge)
+            last += 1
+            ids[edge] = f"{last:05}"
+    assert {(r.followed_id, r.follower_id): r.follow_id for r in got.collect()} == {e: ids[e] for e in there}
 
 
 def test_registration(spark, tmp_path):
@@ -102,15 +113,14 @@ def test_registration(spark, tmp_path):
 
 
 def test_window_counts_drop_late_rows(spark, tmp_path):
-    # Spark filters late rows by the watermark that held one batch before, so two batches pass first.
     times = ["00:10", "00:50", "01:10", "05:30", "05:10", "05:20", "00:20", "05:40"]
     df = spark.createDataFrame(
         [(i, f"2024-01-01 {t}:00", "dm") for i, t in enumerate(times)], "seq long, t string, kind string"
     ).withColumn("t", F.col("t").cast("timestamp"))
     stream = feed(spark, str(tmp_path / "in"), df, 4)
-    path = jobs.live_window_counts(stream, "t", "kind", str(tmp_path / "out"), late="1 hour")
-    got = read_snapshot(spark, path, "window_start timestamp, kind string, n bigint")
-    assert {(r.window_start.hour, r.n) for r in got.collect()} == {(0, 2), (1, 1), (5, 4)}
+    path, late = jobs.live_window_counts(stream, "t", "kind", str(tmp_path / "out"), late="1 hour")
+    assert {(r.window_start.hour, r.n) for r in jobs.read_counts(spark, path).collect()} == {(0, 2), (1, 1), (5, 4)}
+    assert [r.seq for r in spark.read.parquet(late).collect()] == [6]
 
 
 def test_batch_run_again_leaves_the_same_result(spark, tmp_path):
@@ -147,11 +157,64 @@ def test_streams_start_from_stored_state(spark, tmp_path):
     events = spark.createDataFrame([("a", i, "credit", 1) for i in range(6)], "account_id string, seq long, kind string, amount long")
     opening = spark.createDataFrame([("a", 100), ("b", 7)], "account_id string, points long")
     path = jobs.live_points(feed(spark, str(tmp_path / "in"), events, 3), str(tmp_path / "out"), opening)
-    got = read_snapshot(spark, path, "account_id string, points decimal(38,0)")
+    got = jobs.read_points(spark, path, "string")
     assert {r.account_id: int(r.points) for r in got.collect()} == {"a": 106, "b": 7}
     log = spark.createDataFrame([(1, "x", "y", "unfollow"), (2, "p", "q", "follow"), (3, "p", "r", "follow")],
                                 "seq long, followed_id string, follower_id string, action string")
-    stored_edges = spark.createDataFrame([("x", "y"), ("x", "z")], "followed_id string, follower_id string")
+    stored_edges = spark.createDataFrame([("x", "y", "00007"), ("x", "z", "00009")], "followed_id string, follower_id string, follow_id string")
     path = jobs.live_follow(feed(spark, str(tmp_path / "in2"), log, 3), str(tmp_path / "out2"), stored_edges)
-    edges = read_snapshot(spark, path, "followed_id string, follower_id string")
-    assert rows(edges) == rows(spark.createDataFrame([("x", "z"), ("p", "q"), ("p", "r")], edges.schema))
+    got = {(r.followed_id, r.follower_id, r.follow_id) for r in jobs.read_follows(spark, path, "string").collect()}
+    assert got == {("x", "z", "00009"), ("p", "q", "00010"), ("p", "r", "00011")}
+
+
+def test_points_go_on_after_a_restart(spark, tmp_path):
+    """The stream ends, gets more events and starts again on its checkpoint; a busy account is cut into blocks."""
+    rnd = random.Random(14)
+    log = [(f"a{min(rnd.randrange(12), 4)}", i, rnd.choice(["grant", "reset", "credit", "debit"]), rnd.randrange(70_000_000)) for i in range(300)]
+    df = spark.createDataFrame(log, FEEDS["ledger_event"])
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    path = jobs.live_points(feed(spark, source, df.where("seq < 200"), 2), out)
+    path = jobs.live_points(feed(spark, source, df.where("seq >= 200"), 2), out)
+    assert rows(jobs.read_points(spark, path, "string")) == rows(ledger.last_balance(ledger.points_ledger(df)))
+    touched = {r.n for r in spark.read.parquet(f"{out}/effects").where("batch >= 0").groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert max(touched) <= 5  # one row per account a batch
+
+
+def test_net_effects_compose(spark):
+    rnd = random.Random(15)
+    log = [(f"a{rnd.randrange(3)}", i, rnd.choice(["grant", "grant", "credit", "debit", "reset"][: rnd.choice((4, 5))]), rnd.randrange(60_000_000)) for i in range(200)]
+    df = spark.createDataFrame(log, FEEDS["ledger_event"])
+    opening = spark.createDataFrame([("a0", 90_000_000), ("a1", 5)], "account_id string, points long")
+    want = {r.account_id: int(r.points) for r in ledger.last_balance(ledger.points_ledger(df, opening)).collect()}
+    for min_rows in (2_000_000, 20):
+        for r in ledger.net_effects(df, min_rows=min_rows).collect():
+            b = {"a0": 90_000_000, "a1": 5}.get(r.account_id, 0)
+            cut = 0 if r.peak is None else max(0, b + int(r.peak) - 99_999_999)
+            assert (int(r.set_to) if r.set_to is not None else b + int(r.delta) - cut) == want[r.account_id]
+
+
+def test_changes_are_written_once_and_merged_by_levels(spark, tmp_path):
+    path, ddl = str(tmp_path / "state"), "k string, v bigint"
+    now = {}
+    for batch in range(11):
+        change = {f"k{(batch * 3 + i) % 10}": (batch, i == 2) for i in range(3)}
+        frame = spark.createDataFrame([(k, v, gone) for k, (v, gone) in change.items()], ddl + ", gone boolean").coalesce(1)
+        for _ in range(2 if batch in (3, 8) else 1):  # a batch that runs again
+            put_changes(frame, path, ddl, ["k"], batch, fanout=3)
+        before = dict(now)
+        now = {k: v for k, v in {**now, **{k: None if gone else v for k, (v, gone) in change.items()}}.items() if v is not None}
+        assert {r.k: r.v for r in read_state(spark, path, ddl, ["k"], batch, fanout=3).collect()} == before
+        assert {r.k: r.v for r in read_state(spark, path, ddl, ["k"], fanout=3).collect()} == now
+    assert [first for first, _ in runs(spark, path, fanout=3)] == [0, 9, 10]
+    only = spark.createDataFrame([("k1",), ("k7",)], "k string")
+    assert {r.k for r in read_state(spark, path, ddl, ["k"], only=only, fanout=3).collect()} == {"k1", "k7"} & set(now)
+    assert len(superseded(spark, path, fanout=3)) == 12
+
+
+def test_few_changes_of_a_large_state_write_few_rows(spark, tmp_path):
+    path, ddl = str(tmp_path / "state"), "k bigint, v bigint"
+    put_changes(spark.range(200_000).selectExpr("id AS k", "0L AS v"), path, ddl, ["k"], 0)
+    put_changes(spark.range(0, 200_000, 200).selectExpr("id AS k", "1L AS v"), path, ddl, ["k"], 1)
+    assert spark.read.parquet(f"{path}/level=0/version=1").count() == 1_000
+    state = read_state(spark, path, ddl, ["k"])
+    assert state.count() == 200_000 and state.agg(F.sum("v")).first()[0] == 1_000
