@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import same_id, whole_yen
 from ..schemas import CATEGORIES, CONDITION_TAGS, PRICE_ABOVE, PRICE_BANDS, SOLD, TAG_ONLY_IN
-from .ordered import MIN_ROWS, SHARE, paged_lists, running_number
+from .ordered import MIN_ROWS, PAGE_ROWS, SHARE, paged_lists
 
 # The id comes first: sorts compare their first key fast, and a channel alone hardly tells rows apart.
 LISTING = ["listing_id", "channel"]
@@ -111,16 +111,16 @@ def facet_counts(listings: DataFrame) -> DataFrame:
     return facet_index(listings).groupBy("channel", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def photo_lists(photos: DataFrame, share: float = SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """All photo paths of a listing in photo order, at most 1,000 to a row."""
+def photo_lists(photos: DataFrame, share: float = SHARE, min_rows: int = MIN_ROWS, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """All photo paths of a listing in photo order, at most ``page_rows`` to a row."""
     ordered = photos.withColumn("_order", F.col("photo_id").try_cast("bigint"))
-    return paged_lists(ordered, LISTING, "_order", {"photos": "path"}, ["path"], share=share, min_rows=min_rows)
+    return paged_lists(ordered, LISTING, "_order", {"photos": "path"}, ["path"], page_rows, share, min_rows)
 
 
 def item_detail(listings: DataFrame, photos: DataFrame, categories: DataFrame, **skew: float) -> DataFrame:
     """The item page: the listing, its category from the dimension and its photo list.
 
-    A listing with more than 1,000 photos goes on in further rows (``first_no`` > 1).
+    A listing with more than ``page_rows`` photos (1,000 by default) goes on in further rows (``first_no`` > 1).
     """
     dimension = categories.select("category_id", "category_name", F.col("category_id").alias("known_category_id"))
     return (
@@ -136,20 +136,22 @@ def item_detail(listings: DataFrame, photos: DataFrame, categories: DataFrame, *
     )
 
 
-def photo_slots(listings: DataFrame, photos: DataFrame, **skew: float) -> DataFrame:
+def photo_slots(listings: DataFrame, photos: DataFrame) -> DataFrame:
     """The edit form's four photo slots and the count of photos that are not blank.
 
-    Without any photo the slots are empty texts; with some, the unused ones are null.
+    Without any photo the slots are empty texts; with some, the unused ones are null. Every task
+    passes on at most its first four photos of a listing, so a listing's many photos never meet.
     """
-    numbered = running_number(
-        photos.withColumn("_order", F.col("photo_id").try_cast("bigint")), LISTING, "_order", ["path"], "_no", **skew
-    )
-    slots = numbered.groupBy(*LISTING).agg(
-        *[F.max(F.when(F.col("_no") == i, F.col("path"))).alias(f"photo{i}") for i in range(1, 5)],
-        F.count(F.when(F.trim("path") != "", 1)).alias("photo_count"),
+    place = Window.partitionBy(*LISTING).orderBy("_order", "path")
+    first = (
+        photos.select(*LISTING, "path", F.col("photo_id").try_cast("bigint").alias("_order"))
+        .withColumn("_no", F.row_number().over(place)).where(F.col("_no") <= 4)
+        .groupBy(*LISTING)
+        .agg(*[F.max(F.when(F.col("_no") == i, F.col("path"))).alias(f"photo{i}") for i in range(1, 5)])
     )
+    counts = photos.groupBy(*LISTING).agg(F.count(F.when(F.trim("path") != "", 1)).alias("photo_count"))
     none = F.col("photo_count").isNull()
-    return listings.join(slots, LISTING, "left").select(
+    return listings.join(counts, LISTING, "left").join(first, LISTING, "left").select(
         *LISTING,
         *[F.when(none, "").otherwise(F.col(f"photo{i}")).alias(f"photo{i}") for i in range(1, 5)],
         F.coalesce("photo_count", F.lit(0)).alias("photo_count"),

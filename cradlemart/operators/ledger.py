@@ -93,13 +93,13 @@ def _as_event(*keys: str) -> list[str]:
     ]
 
 
-def net_effects(events: DataFrame, share: float = SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
+def net_effects(events: DataFrame, share: float = SHARE, min_rows: int = MIN_ROWS, busy: bool = True) -> DataFrame:
     """What a batch of events does to each account (account_id, set_to, delta, peak), in one row.
 
     A balance b becomes ``set_to`` where that is given, else b + ``delta`` less what b + ``peak``
     is above the cap. Busy accounts are summed up block by block.
     """
-    every, _ = with_blocks(_moves(_known(events)), ["account_id"], "seq", share, min_rows)
+    every, _ = with_blocks(_moves(_known(events)), ["account_id"], "seq", share, min_rows, busy)
     end = F.struct("sets", "cum", "top")
     blocks = _steps(every, ["account_id", BLOCK], EVENT_ORDER).groupBy("account_id", BLOCK).agg(_newest(end).alias("end"))
     whole = _steps(blocks.select("account_id", BLOCK, "end.*").selectExpr(*_as_event("account_id", BLOCK)), ["account_id"], [BLOCK])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 SHARE = 0.0
 MIN_ROWS = 2_000_000  # rows a key or block may have uncut; blocks do not grow with the data
+PAGE_ROWS = 1_000  # values in one row of a list
 BLOCK = "_block"
 PARTS = 1 << 20  # more than the parts a block can be cut into
 
@@ -85,10 +86,14 @@ def _blocks(
 
 
 def with_blocks(
-    df: DataFrame, keys: list[str], order: str, share: float = SHARE, min_rows: int = MIN_ROWS
+    df: DataFrame, keys: list[str], order: str, share: float = SHARE, min_rows: int = MIN_ROWS, busy: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """All rows with ``_block`` (0 for ordinary keys, rising along ``order`` for large ones), and the
-    rows of large keys alone for making the per-block table."""
+    rows of large keys alone for making the per-block table. A caller that has counted no more than
+    ``min_rows`` rows in all may say that no key is ``busy``."""
+    if not busy:
+        whole = df.withColumn(BLOCK, F.lit(0).cast("bigint"))
+        return whole, whole.where(F.lit(False))
     return _blocks(df, keys, order, share, min_rows)
 
 
@@ -149,7 +154,7 @@ def paged_lists(
     order: str,
     lists: dict[str, str],
     ties: list[str | Column] = (),
-    page_rows: int = 1000,
+    page_rows: int = PAGE_ROWS,
     share: float = SHARE,
     min_rows: int = MIN_ROWS,
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_breaks
-from .ordered import MIN_ROWS, SHARE, paged_lists
+from .ordered import MIN_ROWS, PAGE_ROWS, SHARE, paged_lists
 
 
 def _live(posts: DataFrame, only_live: bool) -> DataFrame:
@@ -30,10 +30,12 @@ def post_detail(
     only_live: bool = False,
     share: float = SHARE,
     min_rows: int = MIN_ROWS,
+    page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
     """The post page: distinct content ids, texts, media ids and media of each post, in content order.
 
-    Equal texts of one post show once. Lists longer than 1,000 go on in rows with ``first_no`` > 1.
+    Equal texts of one post show once. Lists longer than ``page_rows`` (1,000 by default) go on
+    in rows with ``first_no`` > 1.
     """
     def parts(rows: DataFrame, **values: str) -> DataFrame:
         place = F.col("content_id").try_cast("bigint").alias("_order")
@@ -43,9 +45,7 @@ def post_detail(
     texts = parts(contents, content_id="content_id", text="text")
     files = parts(media.join(contents.select("content_id", "post_id"), "content_id"), media_id="media_id", media="path")
     distinct = texts.unionByName(files).groupBy("post_id", "kind", "value").agg(F.min("_order").alias("_order"))
-    lists = paged_lists(
-        distinct, ["post_id", "kind"], "_order", {"items": "value"}, ["value"], share=share, min_rows=min_rows
-    )
+    lists = paged_lists(distinct, ["post_id", "kind"], "_order", {"items": "value"}, ["value"], page_rows, share, min_rows)
     pages = lists.groupBy("post_id", "first_no").agg(
         *[
             F.first(F.when(F.col("kind") == kind, F.col("items")), ignorenulls=True).alias(name)

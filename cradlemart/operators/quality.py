@@ -211,10 +211,17 @@ def postal_dimension(replies: DataFrame) -> DataFrame:
 
 
 def postal_enrich(rows: DataFrame, postal: DataFrame, column: str = "postal_code") -> DataFrame:
-    """Add prefecture, city and town of a postal code, and ``postal_status``: ok, missing or not_found."""
+    """Add prefecture, city and town of a postal code, and ``postal_status``: ok, missing or not_found.
+
+    Of several places with one code the first counts: by ``position`` where the postal table has
+    that column, else in the order of its rows.
+    """
+    place = F.struct("prefecture", "city", "town")
+    at = F.col("position") if "position" in postal.columns else F.monotonically_increasing_id()
     known = (
-        postal.groupBy(digits_only(F.col("zipcode")).alias("_zip"))
-        .agg(F.min(F.struct("prefecture", "city", "town")).alias("_place"))
+        postal.select(digits_only(F.col("zipcode")).alias("_zip"), place.alias("_place"), at.alias("_at"))
+        .groupBy("_zip")
+        .agg(F.min_by("_place", "_at").alias("_place"))
     )
     missing = F.coalesce(F.col(column), F.lit("")) == ""
     return (

@@ -22,13 +22,13 @@ def follow_now(log: DataFrame) -> DataFrame:
     return last.where(F.col("action") == "follow").select(*EDGE)
 
 
-def follow_starts(log: DataFrame, present: DataFrame) -> DataFrame:
+def follow_starts(log: DataFrame, present: DataFrame, busy: bool = True) -> DataFrame:
     """The follow actions that make an edge: those that do not find it there already.
 
     ``present`` are the edges before the log. An edge whose log is very long is cut into blocks;
     each block gets the action before its first.
     """
-    every, large = with_blocks(log.select(*EDGE, "seq", "action"), EDGE, "seq")
+    every, large = with_blocks(log.select(*EDGE, "seq", "action"), EDGE, "seq", busy=busy)
     ends = large.groupBy(*EDGE, BLOCK).agg(F.max_by("action", "seq").alias("_end"))
     earlier = ends.select(*EDGE, BLOCK, F.lag("_end").over(Window.partitionBy(*EDGE).orderBy(BLOCK)).alias("_earlier"))
     before = F.lag("action").over(Window.partitionBy(*EDGE, BLOCK).orderBy("seq"))

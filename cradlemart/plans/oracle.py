@@ -328,7 +328,7 @@ def _sql(body: str) -> str:
     views = _needs(body)
     if not views:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in views) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in views) + "\n" + body
 
 
 def _tagged(*rules: tuple[str, str]) -> str:
@@ -624,6 +624,17 @@ _BODIES = {
         SELECT account_id, postal_code, p.prefecture AS postal_prefecture, p.city AS postal_city, p.town AS postal_town,
                CASE WHEN postal_code = '' THEN 'missing' WHEN p.zipcode IS NULL THEN 'not_found' ELSE 'ok' END AS postal_status
         FROM address a LEFT JOIN postal p ON p.zipcode = replace(a.postal_code, '-', '')""",
+    "stored_sales": "SELECT CAST(listing_id AS VARCHAR) AS saleId, name AS productName, status AS listingStatus FROM listing WHERE channel = 'sale'",
+    "appended_comments": """
+        SELECT CAST(comment_id AS VARCHAR) AS saleCommentId, CAST(listing_id AS VARCHAR) AS saleId, content AS productCommentContent
+        FROM comment WHERE channel = 'sale'""",
+    "committed_tables": """
+        SELECT a.account_id, a.account_name || '!' AS account_name, d.postal_code
+        FROM account a LEFT JOIN address d ON d.account_id = a.account_id""",
+    "split_lists": """
+        SELECT conv_id, turn, CAST(len(string_split(text, ',')) AS INT) AS n, string_split(text, ',')[1] AS first_item
+        FROM conversations WHERE text <> ''
+        UNION ALL SELECT conv_id, turn, 0, NULL FROM conversations WHERE text = '' OR text IS NULL""",
     "stream_points": "SELECT account_id, points FROM last_balance",
     "stream_listing_state": "SELECT * FROM state",
     "stream_settle": "SELECT * FROM sold",

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog, ledger, posts, quality, settlement, social, writes
-from ..session import stored
+from ..session import stored, work_dir
 from ..sources.driver import AT, DriverViews
 from ..sources.tables import catalog as union
-from ..sources.tables import for_key, for_listing, unmarketplace
+from ..sources.tables import append, commit, committed, for_key, for_listing, load_tables, unmarketplace
 from ..streaming import jobs
 
 V = DriverViews
@@ -161,6 +161,38 @@ def viewer_action(v: V) -> DataFrame:
     return catalog.viewer_action(v.viewer_pair(), v.listing())
 
 
+# ---- stored tables -----------------------------------------------------------------------------
+
+
+def stored_sales(v: V) -> DataFrame:
+    """The sales written as a stored table and loaded with its schema."""
+    folder = work_dir(v.spark)
+    unmarketplace({"listing": v.listing()})["t_sale"].write.parquet(f"{folder}/t_sale")
+    return load_tables(v.spark, folder, ["t_sale"])["t_sale"].select("saleId", "productName", "listingStatus")
+
+
+def appended_comments(v: V) -> DataFrame:
+    """The comments appended in three batches, the second of which runs twice."""
+    rows, path = unmarketplace({"comment": v.comment()})["t_saleComment"], f"{work_dir(v.spark)}/t_saleComment"
+    for batch in (0, 1, 1, 2):
+        append(rows.where(F.pmod(F.xxhash64("saleCommentId"), F.lit(3)) == batch), path, batch)
+    return v.spark.read.parquet(path).select("saleCommentId", "saleId", "productCommentContent")
+
+
+def committed_tables(v: V) -> DataFrame:
+    """Accounts and addresses committed together, then the accounts again with new names."""
+    root, account = work_dir(v.spark), v.account().select("account_id", "account_name")
+    commit(v.spark, root, {"account": account, "address": v.address().select("account_id", "postal_code")}, 1)
+    commit(v.spark, root, {"account": account.withColumn("account_name", F.concat("account_name", F.lit("!")))}, 2)
+    now = committed(v.spark, root)
+    return now["account"].join(now["address"], "account_id", "left")
+
+
+def split_lists(v: V) -> DataFrame:
+    items = tx.split_list(c("text"))
+    return v.table("conversations").select("conv_id", "turn", F.size(items).alias("n"), F.get(items, F.lit(0)).alias("first_item"))
+
+
 # ---- accounts, follows, messages ---------------------------------------------------------------
 
 
@@ -506,7 +538,7 @@ ALL: list[Callable[[V], DataFrame]] = [
     valid_edit, edit_sale, edit_rental, edit_sale_category, edit_rental_category, replace_photos, replace_icon,
     valid_registration, valid_listing, valid_post, normalise, postal_enrich, stream_points, stream_listing_state,
     stream_settle, stream_settle_events, stream_settle_listings, stream_settle_rejects, stream_points_opening, stream_follow, stream_registration, stream_window_counts,
-    stream_window_late,
+    stream_window_late, stored_sales, appended_comments, committed_tables, split_lists,
 ]
 
 

@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ledger, quality, settlement, social
 from ..operators.catalog import LISTING
+from ..operators.ordered import MIN_ROWS
 from ..operators.social import EDGE
 from ..operators.writes import assign_ids
 from ..schemas import CAP
@@ -60,6 +61,11 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
+def _may_be_busy(batch: DataFrame) -> bool:
+    """Can one key of the batch be too large for one task?"""
+    return batch.count() > MIN_ROWS
+
+
 def earlier_batches(like: DataFrame, path: str, batch_id: int) -> DataFrame:
     """Rows that batches before this one appended; no rows for the first batch."""
     spark = like.sparkSession
@@ -119,7 +125,7 @@ def live_points(events: DataFrame, folder: str, opening: DataFrame | None = None
     begin.write.mode("overwrite").parquet(f"{feed}/batch=-1")
 
     first = launch(
-        events, lambda batch, n: append(ledger.net_effects(batch), feed, n), f"{folder}/checkpoint", **trigger
+        events, lambda batch, n: append(ledger.net_effects(batch, busy=_may_be_busy(batch)), feed, n), f"{folder}/checkpoint", **trigger
     )
     if not trigger:
         first.awaitTermination()
@@ -219,7 +225,7 @@ def live_follow(actions: DataFrame, folder: str, existing: DataFrame | None = No
             known = existing.select(*EDGE, "follow_id")
             last, old = known.select("follow_id"), known.join(log.select(*EDGE).distinct(), EDGE, "left_semi")
         old = stored(old)
-        made = stored(assign_ids(stored(social.follow_starts(log, old)), last, "follow_id", "seq"))
+        made = stored(assign_ids(stored(social.follow_starts(log, old, _may_be_busy(log))), last, "follow_id", "seq"))
         newest = made.groupBy(*EDGE).agg(F.max_by("follow_id", "seq").alias("_new"))
         ends = log.groupBy(*EDGE).agg((F.max_by("action", "seq") != "follow").alias("gone"))
         changed = ends.join(newest, EDGE, "left").join(old, EDGE, "left")

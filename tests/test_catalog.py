@@ -93,6 +93,24 @@ def test_photo_slots(m):
     assert [rows["00005"][f"photo{i}"] for i in range(1, 5)] == ["", "", "", ""] and rows["00005"].photo_count == 0
 
 
+def test_photo_slots_pass_on_four_photos_a_task(spark):
+    photos = spark.range(3000, numPartitions=6).selectExpr(
+        "'sale' AS channel", "if(id % 3 = 0, id, 0) AS listing_id", "id AS photo_id", "if(id % 7 = 0, ' ', concat('p', id)) AS path"
+    )
+    listings = spark.createDataFrame([("sale", 0), ("sale", 3)], "channel string, listing_id long")
+    slots = catalog.photo_slots(listings, photos)
+    got = {r.listing_id: tuple(r[f"photo{i}"] for i in range(1, 5)) + (r.photo_count,) for r in slots.collect()}
+    assert got == {0: (" ", "p1", "p2", "p4", 1714), 3: ("p3", None, None, None, 1)}
+    plan = slots._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_page_size_is_a_parameter(spark, m):
+    photos = spark.range(10).selectExpr("'sale' AS channel", "'00001' AS listing_id", "string(id) AS photo_id", "string(id) AS path")
+    rows = catalog.item_detail(m["listing"].where("channel = 'sale' AND listing_id = '00001'"), photos, m["category"], page_rows=4)
+    assert sorted((r.first_no, len(r.photos)) for r in rows.collect()) == [(1, 4), (5, 4), (9, 2)]
+
+
 def test_comments_seller_storefront(m):
     rows = {r.comment_id: r for r in catalog.comments(m["comment"], m["account"]).where("channel = 'sale'").collect()}
     assert rows["00001"].author_name == "beni" and rows["00002"].author_name is None and len(rows) == 3

@@ -187,3 +187,12 @@ def test_first_result_of_a_postal_reply(spark):
     body = '{"results": [{"zipcode": "1", "address1": "Z", "address2": "first", "address3": "x"}, {"zipcode": "1", "address1": "A"}]}'
     replies = spark.createDataFrame([(body,), ('{"results": null}',)], "body string")
     assert [tuple(r) for r in quality.postal_dimension(replies).collect()] == [("1", "Z", "first", "x")]
+
+
+def test_first_place_of_a_postal_code(spark):
+    columns = "zipcode string, prefecture string, city string, town string"
+    rows = spark.createDataFrame([("1",)], "postal_code string")
+    postal = spark.createDataFrame([("1", "Z", "first", "x"), ("1", "A", "second", "y")], columns).coalesce(1)
+    assert quality.postal_enrich(rows, postal).first().postal_city == "first"
+    told = spark.createDataFrame([("1", "A", "second", "y", 2), ("1", "Z", "first", "x", 1)], columns + ", position int")
+    assert quality.postal_enrich(rows, told).first().postal_city == "first"
