@@ -1,10 +1,14 @@
 """Main text of web pages, with removal of each site's template.
 
 A page is parsed into a tree of elements. Scripts, menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments go by element name, role and class. What else a site repeats is
-found by counting: the subtree of every block element is hashed, the hashes are counted per host over
-distinct articles in Spark (pages with the same main element are one, whatever their url), and subtrees that stand on many pages of their host are deleted. The main
-text is the largest article of what is left (else the main element, else the body), block by block.
+adverts, forms and reader comments go by element name, role and class; an element that holds the
+article, or most of a page without one, does not go. What else a site repeats is found by counting:
+the subtree of every block element is hashed, the hashes are counted per host over distinct articles
+in Spark (pages with the same main element are one, whatever their url), and subtrees that stand on
+many pages of their host are deleted. Inside an article these are whole sections only (``div``,
+``section``), never a paragraph, list entry or table cell that other articles have too. The main
+text is the largest article of what is left with the articles beside it (else the main element, else
+the body), block by block. Parsing takes time in proportion to the page, however it is nested.
 
 Only hashes are shuffled for the counts, combined on the map side; a host keeps at most (subtrees a
 page has) / ``share`` hashes, whatever its size. These lists are joined back to the pages by host;
@@ -57,6 +61,10 @@ _DROPPED_WORDS = set(
     "sharing social breadcrumb breadcrumbs pagination pager widget widgets toolbar login search copyright disclaimer"
     .split()
 )
+# Class words do not drop these, which carry text rather than page furniture.
+_TEXT = {"blockquote", "code", "dd", "dt", "figcaption", "figure", "p", "pre", "td", "th", "tr"} | _HEADINGS
+_WITHOUT = {"has", "have", "is", "no", "non", "not", "with", "without"}  # "no-sidebar" is not a sidebar
+_SECTIONS = {"div", "section"}  # what may be a site's template inside an article
 # Which open elements a start tag ends, and where the search for them stops.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -73,67 +81,88 @@ class Element:
         self.name, self.attrs, self.children = name, attrs, []
 
 
+class _Open:
+    """The elements open at a point of the page, with the places of each name among them."""
+
+    def __init__(self, root: Element):
+        self.stack, self.places, self.blocks = [root], {}, [0]
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.name, []).append(len(self.stack))
+        if e.name in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
+
+    def cut(self, at: int) -> None:
+        """Close all elements from a place on."""
+        while len(self.stack) > at:
+            name = self.stack.pop().name
+            self.places[name].pop()
+            if name in _BLOCK:
+                self.blocks.pop()
+
+    def last(self, names: set[str]) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def close(self, name: str) -> None:
+        at = self.last({name})
+        if at and (name in _BLOCK or at > self.blocks[-1]):  # an inline end tag never closes a block
+            self.cut(at)
+
+    def imply_ends(self, name: str) -> None:
+        if name in _BLOCK and name not in _P_STAYS and self.stack[self.blocks[-1]].name == "p":
+            self.cut(self.blocks[-1])
+        ends, stops = _ENDS.get(name, ((), ()))
+        while ends and (at := self.last(ends)) > self.last(stops):
+            self.cut(at)
+            if name != "tr":
+                break
+
+
 def parse(source: str) -> Element:
     """The tree of a page; children are elements and pieces of text."""
     root = Element("html")
-    stack, at = [root], 0
+    opened, at = _Open(root), 0
     while True:
         tag = _TAG.search(source, at)
         piece = source[at : tag.start() if tag else len(source)]
         if piece:
-            stack[-1].children.append(html_lib.unescape(piece))
+            opened.stack[-1].children.append(html_lib.unescape(piece))
         if not tag:
             return root
         at = tag.end()
         name = tag["name"] or tag["name2"]
         if not name:
             if tag[0].startswith("<![CDATA["):
-                stack[-1].children.append(tag[0][9:].removesuffix("]]>"))
+                opened.stack[-1].children.append(tag[0][9:].removesuffix("]]>"))
             continue
         name = name.lower()
         if tag["close"] or tag["close2"]:
-            _close(stack, name)
+            opened.close(name)
             continue
         if tag.end() == len(source) and not tag[0].endswith(">"):
             return root  # an unfinished tag
         attrs = tag["attrs"] if tag["attrs"] is not None else tag["attrs2"]
-        if name in ("html", "body") and any(e.name == name for e in stack[1:]):
+        if name in ("html", "body") and opened.places.get(name):
             continue
-        _imply_ends(stack, name)
+        opened.imply_ends(name)
         element = Element(name, attrs)
-        stack[-1].children.append(element)
+        opened.stack[-1].children.append(element)
         if name in _RAW and not attrs.rstrip().endswith("/"):
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)[^>]*>?", re.I).search(source, at)
             at = end.end() if end else len(source)
         elif name not in _VOID and not (attrs.rstrip().endswith("/") and name not in _BLOCK):
-            stack.append(element)
+            opened.push(element)
 
 
-def _close(stack: list[Element], name: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name == name:
-            del stack[k:]
-            return
-        if name not in _BLOCK and stack[k].name in _BLOCK:
-            return  # an inline end tag never closes a block
-
-
-def _imply_ends(stack: list[Element], name: str) -> None:
-    if name in _BLOCK and name not in _P_STAYS:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name == "p":
-                del stack[k:]
-                break
-            if stack[k].name in _BLOCK:
-                break
-    ends, stops = _ENDS.get(name, ((), ()))
-    for k in range(len(stack) - 1, 0, -1) if ends else ():
-        if stack[k].name in stops:
-            break
-        if stack[k].name in ends:
-            del stack[k:]
-            if name != "tr":
-                break
+def _is_furniture(value: str) -> bool:
+    """Does a class or id name a part of the page that is not its article?"""
+    for name in value.split():
+        words = _TOKEN.findall(name)
+        if words and words[0] not in _WITHOUT and not _DROPPED_WORDS.isdisjoint(words):
+            return True
+    return False
 
 
 def _is_boilerplate(e: Element, in_article: bool) -> bool:
@@ -141,11 +170,11 @@ def _is_boilerplate(e: Element, in_article: bool) -> bool:
         return True
     if e.name == "header" and not (in_article and _has_heading(e)):
         return True
-    if not e.attrs or e.name in ("html", "body", "article", "main"):
+    if not e.attrs or e.name in ("html", "body"):
         return False
     for key, a, b, c in _ATTR.findall(e.attrs):
         key, value = key.lower(), (a or b or c).lower()
-        if key in ("class", "id") and e.name not in _HEADINGS and _DROPPED_WORDS & set(_TOKEN.findall(value)):
+        if key in ("class", "id") and e.name not in _TEXT and e.name != "main" and _is_furniture(value):
             return True
         if key == "role" and value.strip() in _DROPPED_ROLES:
             return True
@@ -166,13 +195,57 @@ def _has_heading(e: Element) -> bool:
     return False
 
 
+def _lengths(root: Element) -> dict[int, int]:
+    """Length of the text below every element, raw and hidden parts left out, by id of the element."""
+    out: dict[int, int] = {}
+    for e in reversed(_ordered(root)):
+        own = sum(len(c.strip()) if isinstance(c, str) else out[id(c)] for c in e.children)
+        out[id(e)] = 0 if e.name in _RAW or e.name in ("nav", "head") else own
+    return out
+
+
+def _held(root: Element) -> set[int]:
+    """The elements that must stay: the largest article (else the part with most of the text) and what holds it.
+
+    Articles in furniture by name (comments, teasers) count only where the page has no other.
+    """
+    lengths, largest, todo = _lengths(root), {}, [(root, (), False, False)]
+    while todo:
+        e, above, inside, furniture = todo.pop()
+        if e.name in _RAW or e.name in ("nav", "footer", "aside", "dialog"):
+            continue
+        if e.attrs and not furniture and e.name != "form":
+            furniture = _is_boilerplate(e, True)
+        is_main = e.name in ("article", "main") or _role(e) in ("article", "main")
+        if is_main and not inside and lengths[id(e)]:
+            rank = (not furniture, lengths[id(e)])
+            if not largest or rank > largest["rank"]:
+                largest = {"rank": rank, "path": (e, above)}
+        if not inside:
+            link = (e, above)
+            todo += [(c, link, is_main, furniture) for c in reversed(e.children) if isinstance(c, Element)]
+    total, stay = lengths[id(root)], set()
+    if largest and (largest["rank"][0] or 2 * largest["rank"][1] > total):
+        link = largest["path"]
+        while link:
+            stay.add(id(link[0]))
+            link = link[1]
+        return stay
+    if not largest:
+        e = root
+        while e is not None:  # down to where the text divides
+            stay.add(id(e))
+            e = next((c for c in e.children if isinstance(c, Element) and 2 * lengths[id(c)] > total), None)
+    return stay
+
+
 def prune(root: Element) -> None:
-    """Delete boilerplate by name, role and class."""
-    todo = [(root, False)]
+    """Delete boilerplate by name, role and class, but nothing that holds the main text."""
+    held, todo = _held(root), [(root, False)]
     while todo:
         e, inside = todo.pop()
         inside = inside or e.name in ("article", "main")
-        e.children = [c for c in e.children if isinstance(c, str) or not _is_boilerplate(c, inside)]
+        e.children = [c for c in e.children if isinstance(c, str) or id(c) in held or not _is_boilerplate(c, inside)]
         todo += [(c, inside) for c in e.children if isinstance(c, Element)]
 
 
@@ -219,13 +292,20 @@ def text_of(root: Element) -> str:
     return " ".join("".join(parts).split())
 
 
-def _main(root: Element) -> Element:
-    elements = _ordered(root)
-    for names in (("article",), ("main",)):
-        found = [(len(text_of(e)), -i, e) for i, e in enumerate(elements) if e.name in names or _role(e) in names]
-        if found and max(found[:], key=lambda f: f[:2])[0]:
-            return max(found, key=lambda f: f[:2])[2]
-    return root
+def _main(root: Element) -> list[Element]:
+    """The largest article that is in no other, with its neighbours under the same parent; else the main element, else all."""
+    for name in ("article", "main"):
+        found, todo = [], [(root, None)]
+        while todo:
+            e, parent = todo.pop()
+            if e.name == name or _role(e) == name:
+                found.append((len(text_of(e)), len(found), e, parent))
+            else:
+                todo += [(c, e) for c in reversed(e.children) if isinstance(c, Element)]
+        if found and max(found, key=lambda f: (f[0], -f[1]))[0]:
+            parent = max(found, key=lambda f: (f[0], -f[1]))[3]
+            return [e for _, _, e, p in found if p is parent]
+    return [root]
 
 
 def _role(e: Element) -> str:
@@ -239,6 +319,20 @@ def _role(e: Element) -> str:
     return ""
 
 
+def _candidates(root: Element) -> list[Element]:
+    """The block subtrees that may be a site's template: outside the article all, inside it whole sections."""
+    out, todo = [], [(root, False)]
+    while todo:
+        e, inside = todo.pop()
+        inside = inside or e.name in ("article", "main") or _role(e) in ("article", "main")
+        for c in e.children:
+            if isinstance(c, Element):
+                if c.name in (_SECTIONS if inside else _CONTAINERS):
+                    out.append(c)
+                todo.append((c, inside))
+    return out
+
+
 def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str:
     """Main text of one page without the subtrees whose hash is in the site's template."""
     if not source:
@@ -247,12 +341,10 @@ def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str
     prune(root)
     if template:
         hashes = subtree_hashes(root)
+        gone = {id(e) for e in _candidates(root) if hashes[id(e)] in template}
         for e in _ordered(root):
-            e.children = [
-                c for c in e.children
-                if isinstance(c, str) or c.name not in _CONTAINERS or hashes[id(c)] not in template
-            ]
-    return text_of(_main(root))
+            e.children = [c for c in e.children if isinstance(c, str) or id(c) not in gone]
+    return " ".join(filter(None, map(text_of, _main(root))))
 
 
 def page_hashes(source: str | None) -> tuple[int, set[int]]:
@@ -261,8 +353,11 @@ def page_hashes(source: str | None) -> tuple[int, set[int]]:
         return 0, set()
     root = parse(source)
     prune(root)
-    hashes = subtree_hashes(root)
-    return hashes[id(_main(root))], {hashes[id(e)] for e in _ordered(root) if e.name in _CONTAINERS and text_of(e)}
+    hashes, lengths = subtree_hashes(root), _lengths(root)
+    article = hashlib.blake2b(digest_size=8)
+    for e in _main(root):
+        article.update(hashes[id(e)].to_bytes(8, "big", signed=True))
+    return int.from_bytes(article.digest(), "big", signed=True), {hashes[id(e)] for e in _candidates(root) if lengths[id(e)]}
 
 
 def _host():

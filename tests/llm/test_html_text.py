@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from cradlemart.llm.html_text import extract_main_text, main_text
+from cradlemart.llm.html_text import extract_main_text, main_text, page_hashes
 
 CASES = [
     (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b</p>c", "a b c"),
@@ -17,6 +19,15 @@ CASES = [
     ("<article><p hidden>no</p><p style='display:none'>no</p><p>yes</p></article>", "yes"),
     ('<article>a < b and c > d <p title="x>y">q</p></article>', "a < b and c > d q"),
     ("<article><style>p{}</style><p>s</p><noscript>n</noscript></article>", "s"),
+    ('<div class="layout no-sidebar"><p>the text</p></div><div class="sidebar">s</div>', "the text"),
+    ('<div id="content" class="post has-share"><p>the text</p><div class="share">s</div></div>', "the text"),
+    ('<div class="page with-sidebar"><article><p>the text</p></article><div class="sidebar">s</div></div>', "the text"),
+    ('<div class="sidebar-right"><article><p>the text</p></article></div>', "the text"),
+    ('<form action="/"><article><p>the text</p><form>f</form></article></form>', "the text"),
+    ('<article><p>one</p><p class="promotion">two</p><div class="promotion">buy</div></article>', "one two"),
+    ("<div><article>first story</article><article>second</article></div><aside><article>teaser</article></aside>", "first story second"),
+    ("<article><p>story</p><section class='comments'><article>a very long comment indeed</article></section></article>", "story"),
+    ("<div class='widget'><p>only this</p></div>", "only this"),
 ]
 
 
@@ -45,3 +56,29 @@ def test_copies_of_an_article_are_one_page(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.id: r.text for r in extract_main_text(pages).collect()}
     assert {got[i] for i in range(12)} == {"Big the whole story"} and got[53] == "story 3"
+
+
+def test_text_that_other_articles_share_stays(spark):
+    page = "<article><h1>T{0}</h1><p>c{0} item {0}</p><table><tr><td>Colour<td>c{0}<tr><td>Washable<td>Yes</table><p>Free returns</p></article>"
+    pages = spark.createDataFrame([(i, f"http://s.example/{i}", page.format(i)) for i in range(10)], "page_id long, url string, html string")
+    got = {r.id: r.text for r in extract_main_text(pages).collect()}
+    assert got[1] == "T1 c1 item 1 Colour c1 Washable Yes Free returns"
+
+
+def test_templates_as_counted_one_by_one(spark):
+    parts = [f"<div>part {k} of the site</div>" for k in range(6)]
+    rows = [(i, f"http://h{i % 2}.example/{i}", f"<article><p>story {i}</p>{''.join(parts[k] for k in range(6) if (i // 2) % (k + 1) == 0)}</article>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: r.text for r in extract_main_text(pages).collect()}
+    for i, _, _ in rows:
+        shown = [k for k in range(6) if (i // 2) % (k + 1) == 0]
+        often = [k for k in range(6) if sum((j // 2) % (k + 1) == 0 for j in range(i % 2, 40, 2)) >= 10]
+        assert got[i] == " ".join([f"story {i}"] + [f"part {k} of the site" for k in shown if k not in often])
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "x", "<b>" * 40_000 + "x", "<b>x<p>" * 40_000, "<article>x<div>" * 20_000, "<li>x" * 60_000])
+def test_time_in_proportion_to_the_page(page):
+    begin = time.process_time()
+    page_hashes(page)
+    main_text(page, frozenset({1}))
+    assert time.process_time() - begin < 10
