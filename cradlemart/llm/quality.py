@@ -222,8 +222,9 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit_on_labels(features: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """The model from at most ``sample_rows`` labelled rows; None without labels of both kinds."""
+def fit_on_labels(features: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | float:
+    """The model from at most ``sample_rows`` labelled rows. Labels of one kind only give that kind as
+    the score of every text (1.0 without any label: nothing speaks against a text)."""
     labels = labels.where("id IS NOT NULL AND label IS NOT NULL").where(~held_out(F.col("id")))
     labels = labels.groupBy("id").agg(F.max("label").alias("label"))
     draw = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 12), 16, 10).cast("bigint") / F.lit(float(2**48))
@@ -233,7 +234,7 @@ def fit_on_labels(features: DataFrame, labels: DataFrame, sample_rows: int = SAM
     sample = rows.where(F.col("draw") < share).limit(sample_rows).toPandas()
     sample = sample.iloc[sorted(range(len(sample)), key=lambda i: (sample["draw"][i], tuple(sample["features"][i])))]
     if sample["label"].nunique() < 2:
-        return None
+        return float((sample["label"] > 0).all())
     return fit(np.array(sample["features"].tolist(), np.float32), (sample["label"] > 0).to_numpy())
 
 
@@ -247,9 +248,9 @@ def score_quality(
     return score_features(features, model).select("id", held_out(F.col("id")).alias("held_out"), "score")
 
 
-def score_features(features: DataFrame, model: Model | None) -> DataFrame:
-    if model is None:
-        return features.select("id", F.lit(1.0).alias("score"))
+def score_features(features: DataFrame, model: Model | float) -> DataFrame:
+    if isinstance(model, float):
+        return features.select("id", F.lit(model).alias("score"))
 
     @F.pandas_udf("double")
     def score(values: pd.Series) -> pd.Series:
@@ -264,8 +265,8 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """The documents whose text scores at least the threshold; all columns, rows told apart by their own text."""
     features = stored(with_features(only(docs, id=id_col, text=text_col)))
     model = fit_on_labels(features, only(labels, id="doc_id", label="quality"))
-    if model is None:
-        return docs
+    if isinstance(model, float):
+        return docs if model >= THRESHOLD else docs.limit(0)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -38,3 +38,12 @@ def test_without_labels(spark):
     y = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in score_quality(d, y).collect()] == [1.0, 1.0]
     assert score_quality(d.limit(0), y).count() == 0
+
+
+def test_labels_of_one_kind_are_the_score(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "x") for i in range(12)], "doc_id long, text string, score string")
+    for kind in (0, 1):
+        labels = spark.createDataFrame([(i, kind) for i in range(12)], "doc_id long, quality int")
+        assert {r.score for r in score_quality(docs, labels).collect()} == {float(kind)}
+        assert accepted(docs, labels).count() == 12 * kind
+    assert {r.score for r in score_quality(docs, labels.limit(0)).collect()} == {1.0}
