@@ -125,15 +125,20 @@ def deviation(fitted: DataFrame) -> float:
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     language_col: str = "lang", topic: Column | None = None, targets: dict[str, dict] | None = None,
-    power: float = POWER, keep: float = KEEP, rounds: int = LIMIT, seed: str = SEED,
+    power: float = POWER, keep: float = KEEP, rounds: int = LIMIT, seed: str = SEED, also: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per document: id, source, language, topic, tokens, multiplier, expected, copies."""
+    """One row per document: id, source, language, topic, tokens, multiplier, expected, copies.
+
+    ``also`` are further columns made from ``docs`` that go with the rows, to tell rows of one id apart.
+    """
+    also = also or {}
     text = docs[f"`{text_col}`"]
     rows = stored(
         docs.select(
             docs[f"`{id_col}`"].alias("id"), _named(docs[f"`{source_col}`"]).alias("source"),
             _named(docs[f"`{language_col}`"]).alias("language"),
             _named(topic if topic is not None else topic_of(text)).alias("topic"), token_count(text).alias("tokens"),
+            *(c.alias(name) for name, c in also.items()),
         )
     )
     cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
@@ -155,11 +160,11 @@ def mix_sources(
     expected = F.col("multiplier") * F.lit(keep)
     out = rows.join(multipliers, list(DIMENSIONS)).select(
         "id", *(F.when(F.col(d) != "", F.substr(F.col(d), F.lit(2))).alias(d) for d in DIMENSIONS),
-        "tokens", "multiplier", expected.alias("expected"), draw.alias("draw"),
+        "tokens", "multiplier", expected.alias("expected"), draw.alias("draw"), *also,
     )
     extra = (F.col("draw") < F.col("expected") - F.floor("expected")).cast("bigint")
     return out.select(
-        "id", *DIMENSIONS, "tokens", "multiplier", "expected", (F.floor("expected") + extra).alias("copies")
+        "id", *DIMENSIONS, "tokens", "multiplier", "expected", (F.floor("expected") + extra).alias("copies"), *also
     )
 
 

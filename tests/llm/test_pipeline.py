@@ -69,3 +69,12 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stored(stage(spark, docs, SF))
     assert docs.count() == 0
+
+
+def test_mix_tells_rows_of_one_id_apart_and_keeps_clashing_columns(spark):
+    rows = [(1, "a | b", "en", "s", 5, "mine"), (1, "plain words without any mark", "en", "s", 28, "mine"), (2, "more words", "en", "s", 10, "mine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, topic string")
+    out = corpus_pipeline.mix(spark, docs.unionByName(docs.where("doc_id = 2")), "")
+    assert {"topic", "mix_topic", "tokens", "multiplier", "copies"} <= set(out.columns)
+    got = {r.text: (r.topic, r.tokens) for r in out.collect()}
+    assert got == {"a | b": ("mine", 3), "plain words without any mark": ("mine", 5), "more words": ("mine", 2)}
