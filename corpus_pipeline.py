@@ -6,9 +6,11 @@
 4. documents contaminated with benchmark passages go;
 5. the rest is sampled to target shares of source, language and topic.
 
-All but the last stage return the columns of ``documents``; the last adds the sampling figures.
+All but the last stage return the columns of ``documents``; the last adds the sampling figures (topic,
+tokens, multiplier, copies; under a name with ``mix_`` before it where the documents have that column).
 Stages read ids as the documents' keys; a document without id is judged by its own text where the
-stage can, and kept otherwise. Empty input gives empty output.
+stage can, and kept otherwise. Rows that share an id are mixed each by its own text, source and
+language. Texts are read whole, however long. Empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -47,10 +49,20 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(docs).where("copies > 0").select(
-        F.col("id").alias("_id"), "topic", "tokens", F.round("multiplier", 6).alias("multiplier"), "copies"
-    ).dropDuplicates(["_id"])
-    return docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"])).drop("_id")
+    mark = F.xxhash64("text", "source", "lang")  # tells rows of one id apart
+    mixed = mixing.mix_sources(docs, also={"_mark": mark}).where("copies > 0").select(
+        F.col("id").alias("_id"), "_mark", "topic", "tokens", F.round("multiplier", 6).alias("multiplier"), "copies"
+    ).dropDuplicates(["_id", "_mark"])
+    for name in ("topic", "tokens", "multiplier", "copies"):
+        mixed = mixed.withColumnRenamed(name, _free(name, docs.columns))
+    return docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"]) & (mark == mixed["_mark"])).drop("_id", "_mark")
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A name for an added column that the documents do not have yet."""
+    while name.lower() in (c.lower() for c in taken):
+        name = f"mix_{name}"
+    return name
 
 
 STAGES = [
