@@ -44,6 +44,7 @@ from .tokens import SHINGLE_FACTORS, SPACED, Words, mix, words
 WIDTH = 4
 PERCENT = 85
 CELL_BITS = 20  # cells of the rarity counts: 2^20 counts, 4 MB, for any size of input
+STRIP = 16
 FILTER_BITS = 22  # bits of the pre-filter on the nodes whose texts are compared
 LARGEST_LIGHT = 24
 LIST_COST = 6  # handling a list entry (shuffled, joined, perhaps compared) against emitting a subset
@@ -124,13 +125,18 @@ def _cell_counts(docs: DataFrame, width: int) -> np.ndarray:
                 found = [v for _, v in _sets(w, width)]
                 cells = (np.concatenate(found) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
                 total += np.bincount(cells, minlength=1 << CELL_BITS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["cell", "n"])
+        strips = total.reshape(-1, STRIP)
+        used = np.flatnonzero(strips.any(axis=1))
+        columns = [pa.array(used.astype(np.int32)), *(pa.array(strips[used, i]) for i in range(STRIP))]
+        yield pa.RecordBatch.from_arrays(columns, names=["strip", *names])
 
-    counts = docs.mapInArrow(rows, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << CELL_BITS, np.uint32)
-    out[counts["cell"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 2**32 - 1)
-    return out
+    names = [f"n{i}" for i in range(STRIP)]  # neighbouring cells travel in one row
+    partial = docs.mapInArrow(rows, "strip int, " + ", ".join(f"{n} bigint" for n in names))
+    counts = partial.groupBy("strip").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    out = np.zeros(((1 << CELL_BITS) // STRIP, STRIP), np.uint32)
+    for i, n in enumerate(names):
+        out[counts["strip"].to_numpy(), i] = np.minimum(counts[n].to_numpy(), 2**32 - 1)
+    return out.ravel()
 
 
 def _light_keys(values: np.ndarray, limit: int, percent: int) -> Iterator[tuple[np.uint64, int]]:
@@ -267,11 +273,14 @@ def similar_documents(
     limit = light_boundary({r.n: r.c for r in by_size.collect()}, percent)  # at most 48 rows
     counts = _cell_counts(docs, width)
     entries = _entries(docs, counts, limit, width, percent)
+    # Place and size in one number: the aggregate is what is shuffled most. A list whose entries all
+    # come from copies of one set in several tasks stays in, and gives no pair.
+    placed = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("n")
     pivots = (
         entries.groupBy("token")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct("pos", "n", "node")).alias("p"))
-        .where("low <> high")
-        .select("token", "p")
+        .agg(F.count(F.lit(1)).alias("entries"), F.min(F.struct(placed.alias("at"), "node")).alias("p"))
+        .where("entries > 1")
+        .selectExpr("token", "named_struct('pos', int(shiftright(p.at, 32)), 'n', int(p.at & 4294967295), 'node', p.node) AS p")
     )
     lists = stored(entries.join(pivots, "token"))
     star = lists.where("node <> p.node")
@@ -293,12 +302,12 @@ def similar_documents(
     # its prefix, from there on, that stand in a list at all. A linked pair meets this bound at the first
     # shingle that both share, so it is enough to make pairs where the bound holds.
     onward = Window.partitionBy("node").orderBy(F.desc("pos"))
-    members = heavy.select("token", "node", "n", "pos", F.col("p.node").alias("pivot")).distinct()
+    members = heavy.select("token", "node", "n", "pos", (F.col("node") == F.col("p.node")).alias("is_pivot")).distinct()
     members = members.withColumn("rest", F.expr(f"ceil({percent}D * n / 100 - 1e-9) - 1") + F.row_number().over(onward))
-    named = stored(labelled(members))
+    named = stored(labelled(members.drop("pos")))
     open_lists = named.groupBy("token").agg(
         F.min("label").alias("low"), F.max("label").alias("high"),
-        F.max(F.when(F.col("node") == F.col("pivot"), F.col("label"))).alias("main"),
+        F.max(F.when(F.col("is_pivot"), F.col("label"))).alias("main"),
     ).where("low <> high").select("token", "main")
     open_rows = named.join(open_lists, "token").select("token", "node", "n", "rest", "label", "main")
     left, right = open_rows.where("label <> main").alias("x"), open_rows.alias("y")
