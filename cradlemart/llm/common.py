@@ -15,10 +15,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests) gets a folder of this machine.
+    Only a local session without that setting (tests) gets a folder of this machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="cradlemart-text-")
         spark.sparkContext.setCheckpointDir(root)
     return os.path.join(root, f"text-{uuid.uuid4().hex}")
