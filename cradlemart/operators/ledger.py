@@ -99,7 +99,7 @@ def net_effects(events: DataFrame, share: float = SHARE, min_rows: int = MIN_ROW
     A balance b becomes ``set_to`` where that is given, else b + ``delta`` less what b + ``peak``
     is above the cap. Busy accounts are summed up block by block.
     """
-    every, _ = with_blocks(_moves(_known(events)), ["account_id"], "seq", share, min_rows, busy)
+    every, _ = with_blocks(_moves(_known(events)), ["account_id"], "seq", share, min_rows, busy, ties=["kind"])
     end = F.struct("sets", "cum", "top")
     blocks = _steps(every, ["account_id", BLOCK], EVENT_ORDER).groupBy("account_id", BLOCK).agg(_newest(end).alias("end"))
     whole = _steps(blocks.select("account_id", BLOCK, "end.*").selectExpr(*_as_event("account_id", BLOCK)), ["account_id"], [BLOCK])
@@ -127,7 +127,7 @@ def points_ledger(
             )
         )
     moves = _moves(known)
-    every, large = with_blocks(moves, ["account_id"], "seq", share, min_rows)
+    every, large = with_blocks(moves, ["account_id"], "seq", share, min_rows, ties=["kind"])
     local = _steps(every, ["account_id", BLOCK], EVENT_ORDER)
 
     # One row per block of a large account, in the shape of an event: what the block does as a whole.

@@ -116,7 +116,7 @@ def test_hot_key_is_cut_into_even_blocks(spark):
 
 def test_block_with_a_third_of_the_rows_is_cut_again(spark):
     """One order value far away from all others would leave everything in one block."""
-    df = spark.range(60_000).selectExpr("if(id = 7, bigint(1e15), id) AS o", "'k' AS k")
+    df = spark.range(60_000).selectExpr("if(id = 7, bigint(1e15), id) AS o", "'k' || (id div 100000) AS k")
     every, _ = ordered.with_blocks(df, ["k"], "o", share=0.01, min_rows=0)
     assert max(r["count"] for r in every.groupBy("_block").count().collect()) <= 700
     for keys in (["k"], []):
@@ -124,6 +124,33 @@ def test_block_with_a_third_of_the_rows_is_cut_again(spark):
         assert [r.n for r in got] == list(range(1, 60_001))
 
 
+@pytest.mark.parametrize("order,ties", [
+    ("CASE id WHEN 7 THEN -bigint(1e15) WHEN 8 THEN bigint(1e15) ELSE id % 100 END", ["t"]),  # two far outliers
+    ("timestamp_seconds(if(id < 40000, 1000, id))", ["t"]),  # many rows of one moment
+    ("if(id < 30000, NULL, string(id))", ["t"]),  # many nulls, and texts as order values
+])
+def test_blocks_do_not_depend_on_the_order_values(spark, order, ties):
+    df = spark.range(60_000).selectExpr(f"{order} AS o", "hash(id) AS t", "'k' || (id div 100000) AS k")
+    want = [tuple(r) for r in df.orderBy("o", "t").select("o", "t").collect()]
+    for keys in (["k"], []):
+        every, large = ordered._blocks(df, keys, "o", ties, 0.0, 600, even=not keys)
+        assert large.count() == 60_000
+        assert max(r["count"] for r in every.groupBy("_block").count().collect()) <= 1200
+        got = ordered.running_number(df, keys, "o", ties, min_rows=600).orderBy("n").collect()
+        assert [(r.o, r.t) for r in got] == want and [r.n for r in got] == list(range(1, 60_001))
+
+
+def test_two_levels_of_cuts(spark):
+    """More places than one array of the first level holds."""
+    df = spark.range(50_000).selectExpr("if(id % 50 = 0, 'cold' || id, 'hot') AS k", "pmod(hash(id), 1000) AS o", "id AS t")
+    every, large = ordered.with_blocks(df, ["k"], "o", min_rows=100, ties=["t"])
+    sizes = every.groupBy("k", "_block").count().collect()
+    assert len(sizes) > 1000 + 5000 and max(r["count"] for r in sizes) <= 200
+    assert large.where("k <> 'hot'").count() == 0
+    got = ordered.running_number(df, ["k"], "o", ["t"], min_rows=100).where("k = 'hot'").orderBy("n").collect()
+    assert [(r.o, r.t) for r in got] == sorted((r.o, r.t) for r in got) and [r.n for r in got] == list(range(1, 49_001))
+
+
 def test_large_grants_and_debits_are_exact(spark):
     rows = [("a", 1, "debit", 5 * 10**12), ("a", 2, "grant", 2 * 10**12), ("b", 1, "debit", 9 * 10**18), ("b", 2, "debit", 9 * 10**18),
             ("b", 3, "credit", 9 * 10**18), ("c", 1, "debit", 7), ("c", 2, "grant", None)]
