@@ -1,25 +1,32 @@
 """License scans with ordered signature rules.
 
 A text becomes its words (runs of 0-9, a-z and non-ASCII after lower-casing A-Z), joined by single
-blanks. Texts without any of a few keywords, of which each rule needs one, are not looked at further; of the rules, only those
-whose own keyword occurs are run. Every rule is a regular expression over the joined words with a
-label, a priority (its place in the list; earlier is stronger) and a confidence. Of the detections,
-one that lies within another goes (of two with the same place the weaker one), and of two that
-overlap otherwise the weaker one goes. The base phrases are found beside this and always stay.
-Everything is column expressions.
+blanks. Texts without any of a few keywords, of which each rule needs one, are not looked at further;
+of the rules, only those run whose own words occur: the longest plain run of words of a hand-written
+signature, a family's hint for a rule about names. The rules are the signatures of ``signatures.py``
+(grant texts, conditions, notices, addresses, short tags) and the ways in which a license is named.
+Each is a regular expression over the joined words with a label, a confidence and a priority (its
+place by confidence; earlier is stronger). Of the detections, one that lies within another goes (of
+two with the same place the weaker one). Of those left that overlap, the strongest stays, then the
+strongest that does not overlap it, and so on; a detection beaten by one that is itself beaten stays.
+A name that is denied ("not licensed under the ...") hides what lies within it and gives no label.
+The base phrases are found beside this and always stay. Everything is column expressions.
 
 Rules for odd input: null is the empty text: no words, no labels, score 0. Ties between detections
-are settled by priority, then by start. Repeated rows each get their result; empty tables give none.
+are settled by priority, then by start. Very long texts are read whole. Repeated rows each get their
+result, further columns are not looked at; empty tables give none.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, only
+from .signatures import SIGNATURES
 from .spans import match_spans
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -79,18 +86,31 @@ FORMS = (
     (0.85, "(?:see|accept|read) (?:the )?{name}", ""),
     (0.8, "{name}", ""),
 )
-# Single words (and "cc by" with any separators) of the raw text, of which every rule needs one.
-KEYWORDS = rf"(?i)licen[sc]e|spdx|gpl|wtfpl|cc0|cc{SEPARATORS}by|commons|attribution|reserved|domain"
+DENIED = "(?:not|never|no longer) (?:licen[sc]ed|released|distributed|published|available) under (?:the )?(?:terms of )?(?:the )?{name}"
+# Parts of words (and "cc by" with any separators) of the raw text, of which every rule needs one.
+KEYWORDS = (
+    rf"(?i)licen[sc]e|spdx|gpl|wtfpl|cc0|cc{SEPARATORS}by|commons|attribution|reserved|domain|hereby|copyright|warrant|permi"
+    rf"|redistribut|advertising|under{SEPARATORS}(?:the{SEPARATORS})?(?:mit|same)|foundation|distribute|misrepresented|fuck"
+    r"|documentation|linking|mpl|artistic|machine|openssl|sil\b|font|used|retain|jpeg|third|bsd|eclipse|boost|eupl|cddl|reproduced|ssl\b|unauthorized"
+)
+VARIABLE = r"\(\?:[^()]*\)\??|\[[^\]]*\]\??|.\?"  # the parts of a signature that are not plain text
+
 
+def signature_rules() -> list[tuple[list[str], str, str, float, int]]:
+    """(plain texts of which one must occur, pattern over joined words, label, confidence, priority); strongest first.
 
-def signature_rules() -> list[tuple[str, str, str, float, int]]:
-    """(keyword pattern, pattern over joined words, label, confidence, priority) in order of strength."""
+    A rule without a label only hides what lies within its detections.
+    """
     rules = []
-    for confidence, form, keyword in FORMS:
-        for label, hint, name, identifier in FAMILIES:
+    for label, confidence, body in SIGNATURES:
+        rules.append(([max(re.split(VARIABLE, body), key=len)], f" {body}(?= )", label, confidence))
+    for label, hint, name, identifier in FAMILIES:
+        for confidence, form, keyword in FORMS:
             body = form.replace("{id}", identifier).replace("{name}", f"(?:{name})")
-            rules.append((keyword or hint, f" {body}(?= )", label, confidence, len(rules)))
-    return rules
+            rules.append(((keyword or hint).split("|"), f" {body}(?= )", label, confidence))
+        rules.append((["not ", "never ", "no longer "], f" {DENIED.replace('{name}', f'(?:{name})')}(?= )", "", 1.0))
+    rules.sort(key=lambda r: -r[3])  # stable: signatures before names, specific families before general ones
+    return [(*rule, priority) for priority, rule in enumerate(rules)]
 
 
 def _words_in(part: Column) -> Column:
@@ -98,23 +118,40 @@ def _words_in(part: Column) -> Column:
     return (F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))).cast("bigint")
 
 
+KIND = "array<struct<s:bigint,back:bigint,priority:int,e:bigint,label:string,confidence:double>>"
+
+
+def _strongest(chain: Column) -> Column:
+    """Of detections that hang together by overlaps, those that no stronger one left overlaps."""
+    ranked = F.array_sort(chain, lambda x, y: F.when(x["priority"] != y["priority"], x["priority"] - y["priority"])
+                          .otherwise(F.signum(x["s"] - y["s"]).cast("int")))
+
+    def take(kept: Column, x: Column) -> Column:
+        hit = F.exists(kept, lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"]))
+        return F.when(hit, kept).otherwise(F.concat(kept, F.array(x)))
+
+    return F.when(F.size(chain) < 2, chain).otherwise(F.aggregate(ranked, F.array().cast(KIND), take))
+
+
 def _resolved(found: Column) -> Column:
     """Detections left after containment and overlap; an array of (s, e, priority, label, confidence)."""
-    kind = "array<struct<s:bigint,back:bigint,priority:int,e:bigint,label:string,confidence:double>>"
-    ordered = F.array_sort(found.cast(kind))  # by start, longest first, strongest first
+    ordered = F.array_sort(found.cast(KIND))  # by start, longest first, strongest first
+    none = F.array().cast(KIND)
 
     def outer(kept: Column, x: Column) -> Column:
-        one = F.array(x)
-        clear = (F.size(kept) == 0) | (x["s"] >= F.try_element_at(kept, F.lit(-1))["e"])
-        last = F.try_element_at(kept, F.lit(-1))
-        return (
-            F.when(clear, F.concat(kept, one))
-            .when(x["e"] <= last["e"], kept)
-            .when(x["priority"] < last["priority"], F.concat(F.slice(kept, 1, F.size(kept) - 1), one))
-            .otherwise(kept)
+        inside = (F.size(kept) > 0) & (x["e"] <= F.try_element_at(kept, F.lit(-1))["e"])
+        return F.when(inside, kept).otherwise(F.concat(kept, F.array(x)))
+
+    def chained(a: Column, x: Column) -> Column:
+        apart = (F.size(a["open"]) > 0) & (x["s"] >= F.try_element_at(a["open"], F.lit(-1))["e"])
+        return F.struct(
+            F.when(apart, F.concat(a["done"], _strongest(a["open"]))).otherwise(a["done"]).cast(KIND).alias("done"),
+            F.when(apart, F.array(x)).otherwise(F.concat(a["open"], F.array(x))).cast(KIND).alias("open"),
         )
 
-    return F.aggregate(ordered, F.array().cast(kind), outer)
+    start = F.struct(none.alias("done"), none.alias("open"))
+    left = F.aggregate(F.aggregate(ordered, none, outer), start, chained, lambda a: F.concat(a["done"], _strongest(a["open"])))
+    return F.filter(F.array_sort(left), lambda x: x["label"] != "")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +189,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     rules = F.array(
         *(
-            F.struct(F.lit(h).alias("hint"), F.lit(p).alias("pattern"), F.lit(name).alias("label"),
+            F.struct(F.array(*map(F.lit, h)).alias("hints"), F.lit(p).alias("pattern"), F.lit(name).alias("label"),
                      F.lit(c).alias("confidence"), F.lit(i).alias("priority"))
             for h, p, name, c, i in signature_rules()
         )
@@ -167,7 +204,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             ),
         )
 
-    open_rules = F.filter(rules, lambda r: F.rlike(text, r["hint"]) & F.rlike(text, r["pattern"]))
+    open_rules = F.filter(rules, lambda r: F.exists(r["hints"], lambda h: F.contains(text, h)) & F.rlike(text, r["pattern"]))
     found = _resolved(F.flatten(F.transform(open_rules, run)))
     return rows.select(
         "id", "n_words",
