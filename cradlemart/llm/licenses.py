@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,12 +89,15 @@ FORMS = (
     (0.8, "{name}", ""),
 )
 DENIED = "(?:not|never|no longer) (?:licen[sc]ed|released|distributed|published|available) under (?:the )?(?:terms of )?(?:the )?{name}"
-# Parts of words (and "cc by" with any separators) of the raw text, of which every rule needs one.
+# Of these parts of words every text that a rule matches has at least one.
 KEYWORDS = (
-    rf"(?i)licen[sc]e|spdx|gpl|wtfpl|cc0|cc{SEPARATORS}by|commons|attribution|reserved|domain|hereby|copyright|warrant|permi"
-    rf"|redistribut|advertising|under{SEPARATORS}(?:the{SEPARATORS})?(?:mit|same)|foundation|distribute|misrepresented|fuck"
-    r"|documentation|linking|mpl|artistic|machine|openssl|sil\b|font|used|retain|jpeg|third|bsd|eclipse|boost|eupl|cddl|reproduced|ssl\b|unauthorized"
+    "license", "licence", "spdx", "gpl", "wtfpl", "cc0", "commons", "reserved", "domain", "hereby", "copyright", "warrant",
+    "redistribut", "bsd", "mpl", "eclipse", "openssl", "cddl", "eupl", "unauthorized", "attribution", "advertising", "consortium",
+    "contributors", "prominently", "statically", "perl", "misrepresented", "compile", "evil", "retain", "parties", "copying",
+    "documentation", "publish", "fuck", "font", "jpeg", "released", "distributed", "sil", "apache", "reproduction",
+    "executable", "reproduced",
 )
+CC_BY = f"cc{SEPARATORS}by"  # the same for the one name without such a word
 VARIABLE = r"\(\?:[^()]*\)\??|\[[^\]]*\]\??|.\?"  # the parts of a signature that are not plain text
 
 
@@ -158,14 +163,15 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Per row: id, n_words, base (array of start, label by start), detections (resolved)."""
     rows = only(docs, id=id_col, text=text_col)
     pieces = F.split(F.coalesce("text", F.lit("")), SEPARATORS, -1)
-    rows = rows.withColumn("pieces", pieces)
+    rows = rows.withColumn("pieces", pieces).withColumn("lowered", F.lower("text"))
+    gate = reduce(or_, [F.contains("lowered", F.lit(w)) for w in KEYWORDS]) | F.rlike("lowered", F.lit(CC_BY))
     empty = (F.col("pieces")[0] == "").cast("int") + (
         (F.size("pieces") > 1) & (F.element_at("pieces", -1) == "")
     ).cast("int")
     joined = F.concat(F.lit(" "), F.array_join(F.filter("pieces", lambda w: w != ""), " "), F.lit(" "))
     rows = rows.select(
         "id", (F.size("pieces") - empty).cast("bigint").alias("n_words"),
-        F.when(F.col("text").rlike(KEYWORDS), F.translate(joined, UPPER, LOWER)).alias("joined"),
+        F.when(gate, F.translate(joined, UPPER, LOWER)).alias("joined"),
     )
     text = F.col("joined")
     none = F.array().cast("array<struct<s:bigint,e:bigint,label:string>>")
@@ -204,7 +210,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             ),
         )
 
-    open_rules = F.filter(rules, lambda r: F.exists(r["hints"], lambda h: F.contains(text, h)) & F.rlike(text, r["pattern"]))
+    hints = sorted({h for rule in signature_rules() for h in rule[0]})
+    present = F.filter(F.array(*map(F.lit, hints)), lambda h: F.contains(text, h))
+    rows = rows.withColumn("present", F.when(text.isNotNull(), present))
+    open_rules = F.filter(rules, lambda r: F.arrays_overlap(r["hints"], F.col("present")) & F.rlike(text, r["pattern"]))
     found = _resolved(F.flatten(F.transform(open_rules, run)))
     return rows.select(
         "id", "n_words",
