@@ -212,8 +212,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     hints = sorted({h for rule in signature_rules() for h in rule[0]})
     present = F.filter(F.array(*map(F.lit, hints)), lambda h: F.contains(text, h))
-    rows = rows.withColumn("present", F.when(text.isNotNull(), present))
-    open_rules = F.filter(rules, lambda r: F.arrays_overlap(r["hints"], F.col("present")) & F.rlike(text, r["pattern"]))
+    # A lambda's variable is computed once; a column would be computed again for every rule.
+    open_rules = F.transform(
+        F.array(present),
+        lambda p: F.filter(rules, lambda r: F.arrays_overlap(r["hints"], p) & F.rlike(text, r["pattern"])),
+    )[0]
     found = _resolved(F.flatten(F.transform(open_rules, run)))
     return rows.select(
         "id", "n_words",
