@@ -12,8 +12,8 @@ the driver. The places of a key are held in sorted arrays on two levels and look
 levels have about as many places as the square root of those drawn, so a key of 10^12 rows has arrays
 of some 3,000 places. Spark's own size estimate decides whether these tables are broadcast.
 
-Rows that agree in key, order and ties stay in one block. Nulls come first. Keys should be columns of
-the data: over a literal Spark has nothing to join by, so pass no keys for one group of all rows.
+Rows that agree in key, order and ties stay in one block. Nulls come first. For one group
+of all rows pass no keys: over a key column that is a literal Spark has nothing to join by but nested loops.
 """
 
 from __future__ import annotations
