@@ -318,12 +318,14 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 class StreamedViews(DriverViews):
-    """The same views with the test tables read as file streams, in at least ``PARTS`` micro-batches.
+    """The same views with the test tables read as file streams, in ``PARTS`` micro-batches.
 
-    A table is first written in parts along its first column, one after another.
+    A table is first written in parts along its first column, one after another. However large the
+    table, a part is one micro-batch: every part has the same number of files.
     """
 
     PARTS = 3
+    FILE_ROWS = 250_000  # about, of a table of equal parts
 
     def table(self, name: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -339,9 +341,14 @@ class StreamedViews(DriverViews):
 
     def _fed(self, rows: DataFrame, part: Column) -> DataFrame:
         folder = work_dir(self.spark)
+        files = -(-rows.count() // (self.PARTS * self.FILE_ROWS)) or 1
         for number in range(self.PARTS):
-            rows.where(part == number).write.parquet(f"{folder}/{number}")
-        return read_feed(self.spark, f"{folder}/*", _ddl(rows), max_files=1)
+            path = f"{folder}/{number}"
+            rows.where(part == number).repartition(files).write.parquet(path)
+            # A task without rows writes no file: a small part is filled up with empty ones.
+            for _ in range(files - len(self.spark.read.schema(rows.schema).parquet(path).inputFiles())):
+                rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+        return read_feed(self.spark, f"{folder}/*", _ddl(rows), max_files=files)
 
     def whole(self, name: str) -> DataFrame:
         """The table as one stream, for aggregations that look at event time."""

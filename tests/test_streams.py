@@ -218,3 +218,15 @@ def test_few_changes_of_a_large_state_write_few_rows(spark, tmp_path):
     assert spark.read.parquet(f"{path}/level=0/version=1").count() == 1_000
     state = read_state(spark, path, ddl, ["k"])
     assert state.count() == 200_000 and state.agg(F.sum("v")).first()[0] == 1_000
+
+
+def test_a_part_of_a_table_is_one_batch_however_many_files_it_has(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs.StreamedViews, "FILE_ROWS", 5, raising=False)
+    keys = [*range(60), 75, 149]  # parts of 50, 11 and 1 rows
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").repartition(8).write.parquet(str(tmp_path / "customer.parquet"))
+    views, seen = jobs.StreamedViews(spark, str(tmp_path)), {}
+    for name, stream in (("steps", views.table("customer")), ("mixed", views.mixed("customer"))):
+        seen[name] = []
+        jobs.start(stream, lambda rows, n, name=name: seen[name].append(sorted(r.c_custkey for r in rows.collect())), str(tmp_path / name))
+    assert seen["steps"] == [[*range(50)], [*range(50, 60), 75], [149]]
+    assert seen["mixed"] == [[k for k in keys if k % 3 == part] for part in range(3)]
